@@ -31,3 +31,63 @@ def rank_top(df: DataFrame, order: list[Column], n: int, name: str = "rank") ->
     """The first ``n`` rows of a total order, numbered from 1 (top-k, then a window over k rows)."""
     top = df.orderBy(*order).limit(n)
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("int"))
+
+
+def _n_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+    """``name`` = 1-based position of each row inside its group ``keys`` in ``order``.
+
+    Skew-safe: rows are range-partitioned on (keys, order), so a hot group is spread
+    over many tasks; each task numbers its rows, and a group's count in earlier
+    partitions (one row per (partition, group)) is added.  No task ever holds a
+    whole group.  ``order`` must be a total order inside a group.
+    """
+    n = _n_parts(df)
+    k = F.struct(*[F.col(c) for c in keys], *order)
+    r = (df.withColumn("_k", k).repartitionByRange(n, "_k").sortWithinPartitions("_k")
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_li", F.monotonically_increasing_id()))
+    stats = r.groupBy("_pid", *keys).agg(F.min("_li").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    stats = stats.withColumn("_before", F.coalesce(
+        F.sum("_cnt").over(Window.partitionBy(*keys).orderBy("_pid")
+                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = r.join(stats.drop("_cnt"), ["_pid", *keys])
+    return out.withColumn(name, (F.col("_li") - F.col("_first") + F.col("_before") + 1).cast("long")) \
+        .drop("_k", "_pid", "_li", "_first", "_before")
+
+
+def running_sum_max(df: DataFrame, order: list[Column], x: str, sum_name: str = "S",
+                    max_name: str = "M") -> DataFrame:
+    """Inclusive running sum ``S`` of ``x``, ``M = max(0, running max of S)`` and
+    ``M_excl`` (the same over the rows before) in a total ``order``, computed in two levels (per range partition, then over one row
+    per partition), so no single task sees the whole table."""
+    n = _n_parts(df)
+    r = (df.withColumn("_k", F.struct(*order)).repartitionByRange(n, "_k")
+         .withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    w_ex = Window.partitionBy("_pid").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_ls", F.sum(x).over(w)).withColumn("_lm", F.max("_ls").over(w)) \
+        .withColumn("_lme", F.max("_ls").over(w_ex))
+    parts = r.groupBy("_pid").agg(F.sum(x).alias("_pt"), F.max("_ls").alias("_pm"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (parts.withColumn("_off", F.coalesce(F.sum("_pt").over(before), F.lit(0)))
+             .withColumn("_pmax", F.coalesce(F.max(F.col("_off") + F.col("_pm")).over(before), F.lit(0))))
+    out = r.join(F.broadcast(parts.select("_pid", "_off", "_pmax")), "_pid")  # one row per partition
+    out = out.withColumn(sum_name, F.col("_off") + F.col("_ls")) \
+        .withColumn(max_name, F.greatest(F.lit(0), F.col("_pmax"), F.col("_off") + F.col("_lm"))) \
+        .withColumn(max_name + "_excl", F.greatest(F.lit(0), F.col("_pmax"), F.col("_off") + F.col("_lme")))
+    return out.drop("_k", "_pid", "_ls", "_lm", "_lme", "_off", "_pmax")
+
+
+def first_per_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
+    """Rows that are the first (smallest ``seq``) of their ``keys``.
+
+    ``groupBy().min`` aggregates partially before the shuffle, so a hot key costs one
+    row per task; the semi join back is on (keys, seq), which is unique and so not
+    skewed."""
+    firsts = df.groupBy(*keys).agg(F.min(F.struct(*seq)).alias("_m")) \
+        .select(*keys, *[F.col("_m." + s).alias(s) for s in seq])
+    return df.join(firsts, [*keys, *seq], "left_semi")

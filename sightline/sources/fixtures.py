@@ -157,8 +157,9 @@ VIEW_SQL = {
 }
 
 
-def with_views(body: str, *extra: tuple[str, str]) -> str:
+def with_views(body: str, *extra: tuple[str, str], recursive: bool = False) -> str:
     """Prefix an oracle query with the fixture views (and extra named CTEs)."""
     parts = [f"{name} AS ({sql.strip()})" for name, sql in VIEW_SQL.items()]
     parts += [f"{name} AS ({sql.strip()})" for name, sql in extra]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(parts) + "\n" + body.strip()
