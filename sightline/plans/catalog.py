@@ -25,5 +25,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     # importing registers
-    from . import text_queries, dataset_queries  # noqa: F401
+    from . import text_queries, dataset_queries, similar_queries  # noqa: F401
     return QUERIES, ORACLE
