@@ -71,24 +71,36 @@ def number_token(token) -> Column:
     return F.when(is_number(t), F.lit(TOKEN_NUMBER)).otherwise(t)
 
 
+# A camel-case split point exists (lower->Upper, or Upper->Upper+lower).
+CAMEL_PATTERN = "[a-z][A-Z]|[A-Z][A-Z][a-z]"
+
+
 def vocab_word_tokens(token, digit_token: bool = True) -> Column:
-    """Vocabulary tokens of one word (row 72, per token)."""
+    """Vocabulary tokens of one word (row 72, per token).  Each branch is guarded by
+    a cheap test, so the splitting work only runs on the tokens that need it."""
     t = _c(token)
-    camel = camel_pieces(t)
     if digit_token:
         digits = F.array(F.lit(TOKEN_NUMBER))
     else:
         digits = _prefix_continuations(F.split(t, "", -1))
     return (F.when(t.contains("_"), underscore_split(t))
-            .when(F.size(camel) > 1, _prefix_continuations(camel))
+            .when(t.rlike(CAMEL_PATTERN), _prefix_continuations(camel_pieces(t)))
             .when(is_number(t), digits)
             .otherwise(F.array(t)))
 
 
+# A line can only hold a token that needs more than the plain split if it has an
+# underscore, a camel-case split point or a decimal digit somewhere.
+NEEDS_WORD_RULES = "_|" + CAMEL_PATTERN + r"|\p{Nd}"
+
+
 def vocab_tokens(line, digit_token: bool = True) -> Column:
     """Row 72: split the line (68), then underscore pieces, else camel-case pieces,
-    else digits, else the token itself."""
-    return F.flatten(F.transform(split_code(line), lambda t: vocab_word_tokens(t, digit_token)))
+    else digits, else the token itself.  Lines without any underscore, camel-case
+    point or digit take the plain split (exact: every token is a substring)."""
+    ln = _c(line)
+    rules = F.flatten(F.transform(split_code(ln), lambda t: vocab_word_tokens(t, digit_token)))
+    return F.when(ln.rlike(NEEDS_WORD_RULES), rules).otherwise(split_code(ln))
 
 
 # --- identifier signatures (row 74) ---------------------------------------

@@ -38,14 +38,14 @@ def metric_p(metric: str | float | None) -> float:
 
 def pool_first(vectors) -> Column:
     """Row 86 POOL_NSP: the first token's vector."""
-    return F.element_at(_c(vectors), 1)
+    return F.try_element_at(_c(vectors), F.lit(1))
 
 
 def pool_mean(vectors) -> Column:
     """Row 86 POOL_AVE: mean over positions (element-wise)."""
     v = _c(vectors)
     n = F.size(v).cast("double")
-    width = F.size(F.element_at(v, 1))
+    width = F.size(F.try_element_at(v, F.lit(1)))
     sums = F.aggregate(v, F.array_repeat(F.lit(0.0), width),
                        lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b.cast("double")))
     return F.transform(sums, lambda s: s / n)
@@ -57,7 +57,7 @@ def pool_max(vectors, mask=None) -> Column:
     if mask is not None:
         v = F.filter(F.arrays_zip(v.alias("v"), _c(mask).alias("m")), lambda z: z["m"])
         v = F.transform(v, lambda z: z["v"])
-    width = F.size(F.element_at(v, 1))
+    width = F.size(F.try_element_at(v, F.lit(1)))
     return F.aggregate(v, F.array_repeat(F.lit(float("-inf")), width),
                        lambda acc, x: F.zip_with(acc, x, lambda a, b: F.greatest(a, b.cast("double"))))
 

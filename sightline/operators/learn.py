@@ -1,12 +1,170 @@
-"""Scoring helpers and naive Bayes learning on tables (rows 21, 31, 93-98, 106)."""
+"""Learning and scoring on tables (rows 21, 31, 93-98, 106).
+
+The reference fine-tunes a neural network.  Here the contract is kept (labelled
+rows in, scored rows out, same thresholds and output columns) and the learner is
+a multinomial naive Bayes model, which Spark computes by aggregation:
+
+* model table ``token, n0, n1`` (token counts per class) plus one row with
+  ``token = NULL`` holding the number of training rows per class (the priors);
+* continuing from an earlier model adds counts (``base``);
+* scoring joins line tokens to the model (AQE picks broadcast when the model is
+  small, skew-join splitting when a token is hot) and sums log ratios per line.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import vocab_tokens
+from .ordering import explode_rows
+
 
 def decide(score, threshold: float = 0.5, strict: bool = False) -> Column:
     """Row 21: lines use ``score >= t`` (strict=False); subjects use ``score > t``."""
     s = F.col(score) if isinstance(score, str) else score
     return ((s > threshold) if strict else (s >= threshold)).cast("int")
+
+
+def balanced_weights(df: DataFrame, label_col: str) -> DataFrame:
+    """Rows 41/42: ``label, n, weight`` with weight = n_all / (classes present * n_label).
+    The totals come from a window over the grouped table (one row per class)."""
+    per = df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    allw = Window.partitionBy()
+    return per.select(F.col(label_col), "n",
+                      (F.sum("n").over(allw) / (F.count(F.lit(1)).over(allw) * F.col("n"))).alias("weight"))
+
+
+def _priors(model: DataFrame):
+    r = model.where(F.col("token").isNull()).agg(F.sum("n0").alias("p0"), F.sum("n1").alias("p1")).first()
+    return float(r["p0"] or 0.0), float(r["p1"] or 0.0)
+
+
+def train_binary(df: DataFrame, text_col: str, label_col: str, weight_instances: bool = False,
+                 base: DataFrame | None = None, tokenizer=None) -> DataFrame:
+    """Row 93: naive Bayes model of P(label=1 | tokens of text).
+
+    Returns ``token, n0, n1`` (doubles; a NULL token row holds the row counts per
+    class).  ``base`` (an earlier model) adds its counts.  ``weight_instances``
+    scales each class by its balanced weight (row 42)."""
+    tok = tokenizer or vocab_tokens
+    rows = df.where(F.col(label_col).isNotNull()).select(
+        F.col(label_col).cast("int").alias("_y"), tok(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
+    counts = (explode_rows(rows, ["_y"], F.col("_t"), "token")
+              .groupBy("token").agg(F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("double").alias("n0"),
+                                    F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("double").alias("n1")))
+    priors = rows.agg(F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("double").alias("n0"),
+                      F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("double").alias("n1")) \
+        .select(F.lit(None).cast("string").alias("token"), "n0", "n1")
+    model = counts.unionByName(priors)
+    if base is not None:
+        model = model.unionByName(base.select("token", "n0", "n1")) \
+            .groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    if weight_instances:
+        p0, p1 = _priors(model)
+        k = (p0 > 0) + (p1 > 0)
+        w0 = (p0 + p1) / (k * p0) if p0 else 0.0
+        w1 = (p0 + p1) / (k * p1) if p1 else 0.0
+        model = model.select("token", (F.col("n0") * w0).alias("n0"), (F.col("n1") * w1).alias("n1"))
+    return model
+
+
+def model_totals(model: DataFrame) -> dict:
+    """Class totals of a binary model in one pass: token counts N0/N1, vocabulary
+    size V and row counts p0/p1 (five scalars for the driver)."""
+    tok = F.col("token").isNotNull()
+    t = model.agg(F.sum(F.when(tok, F.col("n0"))).alias("N0"), F.sum(F.when(tok, F.col("n1"))).alias("N1"),
+                  F.count(F.when(tok, 1)).alias("V"), F.sum(F.when(~tok, F.col("n0"))).alias("p0"),
+                  F.sum(F.when(~tok, F.col("n1"))).alias("p1")).first()
+    return {k: float(t[k] or 0.0) for k in ("N0", "N1", "V", "p0", "p1")}
+
+
+def _log_odds_table(model: DataFrame, alpha: float = 1.0):
+    toks = model.where(F.col("token").isNotNull())
+    t = model_totals(model)
+    N0, N1, V, p0, p1 = t["N0"], t["N1"], t["V"], t["p0"], t["p1"]
+    w = toks.select("token", (F.log((F.col("n1") + alpha) / F.lit(N1 + alpha * V))
+                              - F.log((F.col("n0") + alpha) / F.lit(N0 + alpha * V))).alias("w"))
+    prior = F.log(F.lit(p1) / F.lit(p0 + p1)) - F.log(F.lit(p0) / F.lit(p0 + p1))
+    return w, prior
+
+
+def score_binary(df: DataFrame, text_col: str, model: DataFrame, id_cols: list[str],
+                 tokenizer=None, alpha: float = 1.0, out_col: str = "score") -> DataFrame:
+    """Row 94 core: ``id_cols + [out_col]`` = P(label = 1 | text); tokens unseen in
+    training are ignored.  Per-(row, token) counts are aggregated before the join;
+    the model side is joined by token (AQE broadcasts it when small, splits hot
+    tokens otherwise)."""
+    tok = tokenizer or vocab_tokens
+    w, prior = _log_odds_table(model, alpha)
+    t = df.select(*id_cols, F.explode_outer(tok(F.coalesce(F.col(text_col), F.lit("")))).alias("token"))
+    tc = t.groupBy(*id_cols, "token").agg(F.count(F.lit(1)).alias("_c"))
+    s = tc.join(w, "token", "left").groupBy(*id_cols).agg(
+        F.sum(F.coalesce(F.col("w") * F.col("_c"), F.lit(0.0))).alias("_s"))
+    return s.select(*id_cols, (1.0 / (1.0 + F.exp(-(F.col("_s") + prior)))).alias(out_col))
+
+
+def classify_lines(df: DataFrame, model: DataFrame, id_cols: list[str], line_col: str = "line_contents",
+                   threshold: float = 0.5, tokenizer=None) -> DataFrame:
+    """Row 94: the input columns plus ``commented_prob`` and ``commented_pred`` (p >= t)."""
+    s = score_binary(df, line_col, model, id_cols, tokenizer, out_col="commented_prob")
+    return df.join(s, id_cols, "left").withColumn("commented_pred", decide("commented_prob", threshold))
+
+
+def train_multiclass(df: DataFrame, text_col: str, label_col: str, labels: list[str], tokenizer=None) -> DataFrame:
+    """Purpose model (row 95): ``token, label, n`` token counts per label; a NULL
+    token row per label holds its number of training rows."""
+    tok = tokenizer or vocab_tokens
+    rows = df.where(F.col(label_col).isin(list(labels))).select(
+        F.col(label_col).alias("label"), tok(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
+    counts = explode_rows(rows, ["label"], F.col("_t"), "token").groupBy("token", "label") \
+        .agg(F.count(F.lit(1)).cast("double").alias("n"))
+    priors = rows.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("n")) \
+        .select(F.lit(None).cast("string").alias("token"), "label", "n")
+    return counts.unionByName(priors)
+
+
+def score_multiclass(df: DataFrame, text_col: str, model: DataFrame, labels: list[str], id_cols: list[str],
+                     tokenizer=None, alpha: float = 1.0) -> DataFrame:
+    """``id_cols + [scores]``: per-label posterior probabilities, in label order.
+
+    log P(l | x) = log prior_l + sum_t c_t log(n_tl + a) - C log(N_l + a V), t over
+    tokens seen in training (C their count).  Only the sparse (token, label) counts
+    are joined; label constants are literals (the label list is fixed and small)."""
+    tok = tokenizer or vocab_tokens
+    L = len(labels)
+    toks = model.where(F.col("token").isNotNull())
+    N = {r["label"]: float(r["N"]) for r in toks.groupBy("label").agg(F.sum("n").alias("N")).collect()}  # <= L rows
+    P = {r["label"]: float(r["n"]) for r in model.where(F.col("token").isNull()).collect()}  # <= L rows
+    V = float(toks.select("token").distinct().count())
+    tp = sum(P.values())
+    lab_idx = F.create_map(*[x for i, l in enumerate(labels) for x in (F.lit(l), F.lit(i))])
+    vocab = toks.select("token").distinct()
+    sparse = toks.select("token", lab_idx[F.col("label")].alias("li"),
+                         (F.log(F.col("n") + alpha) - F.log(F.lit(alpha))).alias("g"))
+    t = explode_rows(df, id_cols, tok(F.coalesce(F.col(text_col), F.lit(""))), "token")
+    tc = t.groupBy(*id_cols, "token").agg(F.count(F.lit(1)).alias("_c")).join(vocab, "token", "left_semi")
+    C = tc.groupBy(*id_cols).agg(F.sum("_c").alias("_C"))
+    S = tc.join(sparse, "token").groupBy(*id_cols, "li").agg(F.sum(F.col("g") * F.col("_c")).alias("_S")) \
+        .groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("li", "_S"))).alias("_m"))
+    ids = df.select(*id_cols).distinct()
+    j = ids.join(C, id_cols, "left").join(S, id_cols, "left")
+    lp = [float("-inf") if not P.get(l) else math.log(P[l] / tp) for l in labels]
+    lnorm = [math.log(N.get(l, 0.0) + alpha * V) for l in labels]
+    ll = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda i: (
+        F.element_at(F.array(*[F.lit(x) for x in lp]), i + 1)
+        + F.coalesce(F.col("_C"), F.lit(0)) * (F.lit(math.log(alpha))
+                                               - F.element_at(F.array(*[F.lit(x) for x in lnorm]), i + 1))
+        + F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0))))
+    j = j.select(*id_cols, ll.alias("_ll"))
+    j = j.withColumn("_mx", F.array_max("_ll"))
+    j = j.withColumn("_e", F.transform("_ll", lambda x: F.exp(x - F.col("_mx"))))
+    j = j.withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    return j.select(*id_cols, F.transform("_e", lambda x: x / F.col("_z")).alias("scores"))
+
+
+def attach_predictions(df: DataFrame, preds: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Row 31: predictions beside the input rows, matched on a row id (never on position)."""
+    return df.join(preds, id_cols, "left")

@@ -91,3 +91,33 @@ def first_per_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     firsts = df.groupBy(*keys).agg(F.min(F.struct(*seq)).alias("_m")) \
         .select(*keys, *[F.col("_m." + s).alias(s) for s in seq])
     return df.join(firsts, [*keys, *seq], "left_semi")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when ``df`` has fewer partitions than the
+    cluster's parallelism (small inputs such as one-row-group files), so CPU-heavy
+    expressions downstream use every core.  A no-op on large, well-split inputs."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def cpu_partitions(df: DataFrame) -> int:
+    """Partition count for CPU-heavy stages after a shuffle: the session's shuffle
+    partitions, at least the cluster's parallelism (AQE would otherwise coalesce
+    small-but-expensive shuffles into a single task)."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+
+
+def posexplode_rows(df: DataFrame, cols: list, arr: Column, pos: str, val: str) -> DataFrame:
+    """``posexplode`` of a computed array without Catalyst's inferred ``size(arr) > 0``
+    filter (which would evaluate the array expression a second time, below any
+    shuffle): the outer form, then drop the empty-array row by its null position."""
+    return df.select(*cols, F.posexplode_outer(arr).alias(pos, val)).where(F.col(pos).isNotNull())
+
+
+def explode_rows(df: DataFrame, cols: list, arr: Column, val: str) -> DataFrame:
+    """``explode`` of a computed array, see ``posexplode_rows``."""
+    return posexplode_rows(df, cols, arr, "_pos", val).drop("_pos")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import metric_p
+from .ordering import cpu_partitions
 
 PAIR_SCHEMA = "query_id long, ref_id long, distance double, in_range boolean, cell_rank int"
 
@@ -99,6 +100,10 @@ def distance_candidates(queries: DataFrame, refs: DataFrame, p: float = 6, radiu
     rrep = refs.select(F.col("ref_id").alias("ref_id"), F.col("embedding").alias("r_emb"),
                        F.pmod(F.hash("ref_id"), F.lit(RB)).alias("rb"),
                        F.explode(F.sequence(F.lit(0), F.lit(QB - 1))).alias("qb"))
+    # explicit partition count: one cell per task where possible (AQE must not
+    # coalesce these CPU-heavy cells into a few tasks)
+    n = min(QB * RB, 4 * cpu_partitions(queries))
+    qrep, rrep = qrep.repartition(n, "qb", "rb"), rrep.repartition(n, "qb", "rb")
     return (qrep.groupBy("qb", "rb").cogroup(rrep.groupBy("qb", "rb"))
             .applyInPandas(_kernel(p, radius, k), PAIR_SCHEMA))
 

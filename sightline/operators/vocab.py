@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import vocab_tokens
 from ..schemas import BASE_TOKENS, SIGNATURE_TOKENS, TOKEN_NUMBER, VOCAB_CHARS
-from .ordering import dense_index, rank_top
+from .ordering import dense_index, posexplode_rows, rank_top
 
 
 def line_tokens(lines: DataFrame, line_col: str = "line_contents", order_cols=("doc_id", "line_no"),
                 tokenizer=None) -> DataFrame:
     """One row per token: order columns, ``tok_pos`` (from 0) and ``token``."""
     tok = tokenizer or vocab_tokens
-    return lines.select(*order_cols, F.posexplode(tok(F.col(line_col))).alias("tok_pos", "token"))
+    return posexplode_rows(lines, list(order_cols), tok(F.col(line_col)), "tok_pos", "token")
 
 
 def token_counts(lines: DataFrame, line_col: str = "line_contents", order_cols=("doc_id", "line_no"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import vocab as vb
+from ..operators.ordering import explode_rows, posexplode_rows
 from ..sources import fixtures as fx
 from . import sqltext as S
 from .catalog import register
@@ -14,7 +15,7 @@ W = fx.with_views
 
 
 def _explode(df, arr, cols, pos="tok_pos", val="token"):
-    return df.select(*cols, F.posexplode(arr).alias(pos, val))
+    return posexplode_rows(df, cols, arr, pos, val)
 
 
 def _sql_explode(src: str, arr_expr: str, cols: str, pos="tok_pos", val="token") -> str:
@@ -37,7 +38,7 @@ def q_drop_blank(spark, sf):
 
 def _distinct_words_spark(spark, sf):
     lines = fx.v_markup_lines(spark, sf).unionByName(fx.v_lines(spark, sf))
-    return lines.select(F.explode(tx.split_code("line_contents")).alias("word")).distinct()
+    return explode_rows(lines, [], tx.split_code("line_contents"), "word").distinct()
 
 
 _DISTINCT_WORDS_SQL = ("SELECT DISTINCT unnest(" + S.split_code("line_contents") + ") AS word FROM "
@@ -49,7 +50,7 @@ _DISTINCT_WORDS_SQL = ("SELECT DISTINCT unnest(" + S.split_code("line_contents")
     f"(SELECT word, {S.camel_pieces('word')} AS _a FROM words)", ("words", _DISTINCT_WORDS_SQL)))
 def q_camel(spark, sf):
     w = _distinct_words_spark(spark, sf)
-    return w.select("word", F.posexplode(tx.camel_split("word")).alias("piece_pos", "piece"))
+    return posexplode_rows(w, ["word"], tx.camel_split("word"), "piece_pos", "piece")
 
 
 @register("underscore_split", W(
@@ -58,7 +59,7 @@ def q_camel(spark, sf):
     ("words", _DISTINCT_WORDS_SQL)))
 def q_underscore(spark, sf):
     w = _distinct_words_spark(spark, sf).where(F.col("word").contains("_"))
-    return w.select("word", F.posexplode(tx.underscore_split("word")).alias("piece_pos", "piece"))
+    return posexplode_rows(w, ["word"], tx.underscore_split("word"), "piece_pos", "piece")
 
 
 @register("number_token", W(
