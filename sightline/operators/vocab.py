@@ -60,7 +60,9 @@ def build_vocab(lines: DataFrame, line_col: str = "line_contents", order_cols=("
         if t not in seen:
             seen.add(t)
             ordered.append(t)
-    lit_df = spark.createDataFrame([(t, i) for i, t in enumerate(ordered)], "token string, lit_order int")
+    if min_token_length:  # the literal block is known here: prune it on the driver
+        ordered = [t for t in ordered if not (t.startswith("##") and len(t) < min_token_length + 2)]
+    lit_df = spark.createDataFrame([(t, i) for i, t in enumerate(ordered)], "token string, token_id long")
 
     counts = token_counts(lines, line_col, order_cols, tokenizer).where(F.col("token") != "")
     corpus = counts.join(F.broadcast(lit_df), "token", "left_anti")  # literal table: fixed size
@@ -68,27 +70,10 @@ def build_vocab(lines: DataFrame, line_col: str = "line_contents", order_cols=("
         corpus = corpus.where(F.col("n") >= min_count)
     if min_token_length:
         corpus = corpus.where(~(F.col("token").startswith("##") & (F.length("token") < min_token_length + 2)))
-    lit_counts = lit_df.join(counts.select("token", "n"), "token", "left")
-    if min_token_length:
-        lit_counts = lit_counts.where(
-            ~(F.col("token").startswith("##") & (F.length("token") < min_token_length + 2))
-            | F.col("token").isin(BASE_TOKENS))
-    n_lit = len(ordered)
-    lit_part = lit_counts.select("token", F.col("lit_order").cast("long").alias("token_id"),
-                                 F.coalesce("n", F.lit(0)).alias("n"))
-    if min_token_length:
-        # renumber the literal block densely after pruning (fixed size, one small window)
-        from pyspark.sql import Window
-        lit_part = lit_part.withColumn("token_id", (F.row_number().over(Window.orderBy("token_id")) - 1).cast("long"))
-        n_lit = None
-    if n_lit is None:
-        lit_n = lit_part.agg(F.count(F.lit(1)).alias("n_lit"))
-        body = dense_index(corpus, [F.desc("n"), F.asc("first_pos")], "rel_id")
-        body = body.crossJoin(F.broadcast(lit_n)).select(
-            "token", (F.col("rel_id") + F.col("n_lit")).alias("token_id"), "n")
-    else:
-        body = dense_index(corpus, [F.desc("n"), F.asc("first_pos")], "token_id", start=n_lit) \
-            .select("token", "token_id", "n")
+    lit_part = lit_df.join(counts.select("token", "n"), "token", "left") \
+        .select("token", "token_id", F.coalesce("n", F.lit(0)).alias("n"))
+    body = dense_index(corpus, [F.desc("n"), F.asc("first_pos")], "token_id", start=len(ordered)) \
+        .select("token", "token_id", "n")
     return lit_part.unionByName(body)
 
 

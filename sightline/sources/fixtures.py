@@ -98,8 +98,8 @@ def v_queries(spark, sf_dir) -> DataFrame:
 
 def v_comments(spark, sf_dir) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
-    n_vec = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n_vec"))
-    c = conv.crossJoin(F.broadcast(n_vec))  # one-row side
+    n_vec = table(spark, sf_dir, "embeddings").count()  # one scalar
+    c = conv.withColumn("n_vec", F.lit(n_vec))
     return c.select(
         "conv_id", "turn",
         F.concat(F.lit("line_"), ((F.col("conv_id") * 31 + F.col("turn")) % F.col("n_vec")).cast("string"))
@@ -113,6 +113,19 @@ def v_comments(spark, sf_dir) -> DataFrame:
     )
 
 
+def v_comment_preds(spark, sf_dir) -> DataFrame:
+    """Stand-in predictions for the comments: purpose right for 70 % of the rows
+    (else 'assistant'), each subject flag flipped for 15 %."""
+    c = v_comments(spark, sf_dir)
+    b1 = md5_bucket(F.col("conv_id") * 100 + F.col("turn"))
+    b2 = md5_bucket(F.col("conv_id") * 100 + F.col("turn") + 7)
+    out = c.withColumn("pred_purpose", F.when(b1 < 70, F.col("purpose")).otherwise(F.lit("assistant")))
+    for s in FIXTURE_SUBJECTS:
+        v = F.coalesce(F.col(s), F.lit(0.0))
+        out = out.withColumn("pred_" + s, F.when(b2 < 15, 1.0 - v).otherwise(v))
+    return out
+
+
 # ---------------------------------------------------------------------------
 # DuckDB twins (used only by the SQL oracle)
 # ---------------------------------------------------------------------------
@@ -156,6 +169,16 @@ VIEW_SQL = {
                CASE WHEN length(text) % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS code_style,
                CASE WHEN conv_id % 5 = 4 THEN NULL WHEN conv_id % 5 < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS code_logic
         FROM conversations""",
+    "v_comment_preds": """
+        SELECT *, CASE WHEN ('0x' || substr(md5(CAST(conv_id * 100 + turn AS VARCHAR)), 1, 8))::BIGINT % 100 < 70
+                       THEN purpose ELSE 'assistant' END AS pred_purpose,
+               CASE WHEN ('0x' || substr(md5(CAST(conv_id * 100 + turn + 7 AS VARCHAR)), 1, 8))::BIGINT % 100 < 15
+                    THEN 1.0 - coalesce(code_design, 0.0) ELSE coalesce(code_design, 0.0) END::DOUBLE AS pred_code_design,
+               CASE WHEN ('0x' || substr(md5(CAST(conv_id * 100 + turn + 7 AS VARCHAR)), 1, 8))::BIGINT % 100 < 15
+                    THEN 1.0 - coalesce(code_style, 0.0) ELSE coalesce(code_style, 0.0) END::DOUBLE AS pred_code_style,
+               CASE WHEN ('0x' || substr(md5(CAST(conv_id * 100 + turn + 7 AS VARCHAR)), 1, 8))::BIGINT % 100 < 15
+                    THEN 1.0 - coalesce(code_logic, 0.0) ELSE coalesce(code_logic, 0.0) END::DOUBLE AS pred_code_logic
+        FROM v_comments""",
 }
 
 
