@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx", start: int = 0) -> DataFrame:
-    """Add ``name`` = position of each row in ``order`` (a total order), from ``start``."""
+    """Add ``name`` = position of each row in ``order`` (ascending value expressions
+    forming a total order; negate a numeric key for descending), from ``start``."""
     keyed = df.withColumn("_k", F.struct(*order))
     ranged = keyed.repartitionByRange("_k").sortWithinPartitions("_k")
     ranged = ranged.withColumn("_pid", F.spark_partition_id())

@@ -72,7 +72,7 @@ def build_vocab(lines: DataFrame, line_col: str = "line_contents", order_cols=("
         corpus = corpus.where(~(F.col("token").startswith("##") & (F.length("token") < min_token_length + 2)))
     lit_part = lit_df.join(counts.select("token", "n"), "token", "left") \
         .select("token", "token_id", F.coalesce("n", F.lit(0)).alias("n"))
-    body = dense_index(corpus, [F.desc("n"), F.asc("first_pos")], "token_id", start=len(ordered)) \
+    body = dense_index(corpus, [-F.col("n"), F.col("first_pos")], "token_id", start=len(ordered)) \
         .select("token", "token_id", "n")
     return lit_part.unionByName(body)
 

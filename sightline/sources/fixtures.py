@@ -184,7 +184,12 @@ VIEW_SQL = {
 
 def with_views(body: str, *extra: tuple[str, str], recursive: bool = False) -> str:
     """Prefix an oracle query with the fixture views (and extra named CTEs)."""
-    parts = [f"{name} AS ({sql.strip()})" for name, sql in VIEW_SQL.items()]
-    parts += [f"{name} AS ({sql.strip()})" for name, sql in extra]
+    def cte(name, sql):
+        sql = sql.strip()
+        if sql.startswith("MATERIALIZED:"):  # computed once (e.g. inside a recursive walk)
+            return f"{name} AS MATERIALIZED ({sql[len('MATERIALIZED:'):].strip()})"
+        return f"{name} AS ({sql})"
+    parts = [cte(name, sql) for name, sql in VIEW_SQL.items()]
+    parts += [cte(name, sql) for name, sql in extra]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(parts) + "\n" + body.strip()
