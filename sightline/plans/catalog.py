@@ -25,5 +25,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     # importing registers
-    from . import text_queries, dataset_queries, similar_queries, recommend_queries, eval_queries, corpus_queries, pair_queries, io_queries  # noqa: F401
+    from . import text_queries, dataset_queries, similar_queries, recommend_queries, eval_queries, corpus_queries, pair_queries, io_queries, stream_queries  # noqa: F401
     return QUERIES, ORACLE
