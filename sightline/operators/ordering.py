@@ -122,3 +122,13 @@ def posexplode_rows(df: DataFrame, cols: list, arr: Column, pos: str, val: str)
 def explode_rows(df: DataFrame, cols: list, arr: Column, val: str) -> DataFrame:
     """``explode`` of a computed array, see ``posexplode_rows``."""
     return posexplode_rows(df, cols, arr, "_pos", val).drop("_pos")
+
+
+# Largest table this library broadcasts on its own (rows); beyond it joins shuffle.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only behind a measured size bound (one count of a small,
+    usually materialized table); larger tables are joined by shuffle."""
+    return F.broadcast(df) if df.count() <= max_rows else df

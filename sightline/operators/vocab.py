@@ -64,7 +64,9 @@ def build_vocab(lines: DataFrame, line_col: str = "line_contents", order_cols=("
         ordered = [t for t in ordered if not (t.startswith("##") and len(t) < min_token_length + 2)]
     lit_df = spark.createDataFrame([(t, i) for i, t in enumerate(ordered)], "token string, token_id long")
 
-    counts = token_counts(lines, line_col, order_cols, tokenizer).where(F.col("token") != "")
+    # the counts feed both the corpus part and the literal part: written once
+    from ..session import cut_lineage
+    counts = cut_lineage(token_counts(lines, line_col, order_cols, tokenizer).where(F.col("token") != ""))
     corpus = counts.join(F.broadcast(lit_df), "token", "left_anti")  # literal table: fixed size
     if min_count:
         corpus = corpus.where(F.col("n") >= min_count)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import drop_blank_tokens, is_number, split_code, token_signature
 from ..schemas import TOKEN_CLS, TOKEN_NUMBER, TOKEN_SEP, TOKEN_UNK
-from .ordering import explode_rows, posexplode_rows
+from .ordering import broadcast_if_small, explode_rows, posexplode_rows
 
 
 def code_words(line: Column, preserve_whitespace: bool = True, use_digit_token: bool = True) -> Column:
@@ -40,8 +40,12 @@ def signature_words(line: Column, vocab_words: Column | None = None, preserve_wh
 
 
 def word_pieces_of(words: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
-    """Row 75 core: ``word, pieces`` (array<string>) for distinct words."""
-    v = vocab.select(F.col("token").alias("_piece"))
+    """Row 75 core: ``word, pieces`` (array<string>) for distinct words.
+
+    One shuffle: distinct words (hash partitioned by word) -> candidate substrings ->
+    map-side join with the broadcast vocabulary (size checked) -> matches grouped by
+    word on the same partitioning -> fold walking the longest matches."""
+    v = vocab.select(F.col("token").alias("_piece"), F.lit(True).alias("_hit"))
     lmax = v.select(F.max(F.length(F.regexp_replace("_piece", "^##", ""))).alias("m")).first()["m"] or 1  # scalar
     w = words.select(F.col(word_col).alias("word")).distinct().where(F.length("word") > 0)
     cand = w.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
@@ -49,20 +53,21 @@ def word_pieces_of(words: DataFrame, vocab: DataFrame, word_col: str = "word") -
                        .alias("l"))
     cand = cand.withColumn("_piece", F.concat(F.when(F.col("s") > 0, F.lit("##")).otherwise(F.lit("")),
                                               F.substring(F.col("word"), F.col("s") + 1, F.col("l"))))
-    best = cand.join(v, "_piece", "left_semi").groupBy("word", "s").agg(F.max("l").alias("l"))
-    jumps = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("s", "l"))).alias("_m"))
-    w2 = w.join(jumps, "word", "left")
+    hits = cand.join(broadcast_if_small(v), "_piece", "left")
+    jumps = hits.groupBy("word").agg(
+        F.collect_list(F.when(F.col("_hit"), F.struct("s", "l"))).alias("_hits"))
     state = F.struct(F.lit(0).alias("nxt"), F.array().cast("array<string>").alias("ps"))
 
     def step(acc, i):
-        l = F.coalesce(F.element_at(F.col("_m"), i), F.lit(1))
+        best = F.array_max(F.transform(F.filter(F.col("_hits"), lambda h: h["s"] == i), lambda h: h["l"]))
+        l = F.coalesce(best, F.lit(1))
         piece = F.concat(F.when(i > 0, F.lit("##")).otherwise(F.lit("")), F.substring(F.col("word"), i + 1, l))
         take = acc["nxt"] == i
         return F.struct(F.when(take, i + l).otherwise(acc["nxt"]).alias("nxt"),
                         F.when(take, F.concat(acc["ps"], F.array(piece))).otherwise(acc["ps"]).alias("ps"))
 
     walked = F.aggregate(F.sequence(F.lit(0), F.length("word") - 1), state, step)
-    return w2.select("word", walked["ps"].alias("pieces"))
+    return jumps.select("word", walked["ps"].alias("pieces"))
 
 
 def word_pieces(df: DataFrame, ids: list[str], words: Column, vocab: DataFrame, pos: str = "pos",
@@ -86,13 +91,20 @@ def collect_ordered(rows: DataFrame, ids: list[str], pos: str, val: str, out: st
 
 def tokenize_lines(df: DataFrame, ids: list[str], line_col: str, vocab: DataFrame,
                    preserve_whitespace: bool = True, tokenizer=None) -> DataFrame:
-    """Row 75 per line: ``ids, tokens`` (array of word pieces; empty lines -> [])."""
+    """Row 75 per line: ``ids, tokens`` (array of word pieces; a line without words
+    gets [] from its own null word row, so no join back to the lines is needed)."""
     if tokenizer is not None:  # row 105: a user tokenizer Column -> Column
         return df.select(*ids, tokenizer(F.col(line_col)).alias("tokens"))
-    rows = word_pieces(df, ids, code_words(F.col(line_col), preserve_whitespace), vocab)
-    toks = collect_ordered(rows, ids, "pos", "token", "tokens")
-    return df.select(*ids).join(toks, ids, "left").select(*ids, F.coalesce("tokens", F.array().cast("array<string>"))
-                                                          .alias("tokens"))
+    wrows = df.select(*ids, F.posexplode_outer(code_words(F.col(line_col), preserve_whitespace)).alias("_wp", "word"))
+    pieces = word_pieces_of(wrows.where(F.col("word").isNotNull() & (F.col("word") != TOKEN_NUMBER)), vocab)
+    j = wrows.join(pieces, "word", "left")
+    arr = F.when(F.col("word").isNull(), F.array().cast("array<string>")) \
+        .when(F.col("word") == TOKEN_NUMBER, F.array(F.col("word"))) \
+        .otherwise(F.coalesce("pieces", F.array(F.col("word"))))
+    per_word = j.select(*ids, F.struct(F.col("_wp"), arr.alias("p")).alias("_e"))
+    return per_word.groupBy(*ids).agg(F.array_sort(F.collect_list("_e")).alias("_a")) \
+        .select(*ids, F.flatten(F.transform("_a", lambda e: F.coalesce(e["p"], F.array().cast("array<string>"))))
+                .alias("tokens"))
 
 
 def signature_word_pieces(df: DataFrame, ids: list[str], line_col: str, vocab: DataFrame,

@@ -11,6 +11,7 @@ from ..operators.ordering import posexplode_rows
 from ..schemas import BASE_TOKENS
 from ..sources import fixtures as fx
 from . import sqltext as S
+from ..session import cut_lineage
 from .catalog import register
 from .text_queries import _COUNTS_SQL, _TOKENS_SQL
 
@@ -71,7 +72,8 @@ _WP_CTES = _VOCAB_CTES + [("lw", _LINE_WORDS)] + _walk_ctes("SELECT word FROM lw
 
 
 def _vocab(spark, sf):
-    return vb.build_vocab(fx.v_lines(spark, sf), min_count=MIN_COUNT)
+    # the vocabulary is an artifact used by every tokenizing step: materialized once
+    return cut_lineage(vb.build_vocab(fx.v_lines(spark, sf), min_count=MIN_COUNT))
 
 
 @register("build_vocab", W("SELECT token, token_id, n FROM vocab", *_VOCAB_CTES))

@@ -12,6 +12,7 @@ from ..operators.ordering import posexplode_rows
 from ..sources import fixtures as fx
 from . import review as rv
 from . import sqltext as S
+from ..session import cut_lineage
 from .catalog import register
 from .similar_queries import _CUT_SQL, _RANKED_SQL, _pairs_sql, sql_minkowski
 
@@ -113,7 +114,8 @@ def _r6(cols):
 # ---------------------------------------------------------------------------
 
 def _model(spark, sf):
-    return ln.train_binary(fx.v_class(spark, sf), "line_contents", "commented")
+    # a trained model is an artifact: materialized once (shared checkpoint folder)
+    return cut_lineage(ln.train_binary(fx.v_class(spark, sf), "line_contents", "commented"))
 
 
 def _reviewed(spark, sf):

@@ -62,6 +62,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a written table in the shared checkpoint folder (never a
+    machine-local one): one job writes Parquet, later steps read it back.  (A
+    reliable ``checkpoint()`` would compute the plan twice: once to count, once to
+    write.)"""
+    import uuid
+    spark = df.sparkSession
+    path = checkpoint_dir(spark).rstrip("/") + "/sightline-tables/" + uuid.uuid4().hex
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
