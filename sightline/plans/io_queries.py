@@ -196,7 +196,9 @@ def q_flatten_added(spark, sf):
                       F.col("hunk_no").cast("int").alias("hunk_no"))
 
 
-@register("write_table")
+@register("write_table", W(
+    "SELECT change_id, filename, CAST(doc_id AS VARCHAR) AS doc_id, CAST(line_no AS VARCHAR) AS line_no, line_contents "
+    "FROM v_lines"))
 def q_write_table(spark, sf):
     path = scratch(spark, "table")
     sk.write_table(fx.v_lines(spark, sf).select(*_LINE_COLS), path, sep=";")
