@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; it is installed at the same path on every machine."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` modulo 2**64 for i < n, kept for the next call of this worker."""
     have = _powers.get(base)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality
-from .common import table
+from . import exact_dedup, html_blocks, minhash, mixing, pitman_yor, quality, sentencepiece, suffix_dedup, toxicity, vbyte
+from .common import table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,6 +19,32 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_pitman_yor(spark, sf_dir):
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_html_blocks(spark, sf_dir):
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_sentencepiece(spark, sf_dir):
+    """Pieces of every whole text, and the digest of the text that decoding them gives back."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    coded = sentencepiece.encode(table(spark, sf_dir, "documents"), path)
+    told = sentencepiece.decode(coded, path)
+    return told.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op4_vbyte_ids(spark, sf_dir):
+    path = vbyte.fresh_path(spark)
+    vbyte.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return vbyte.read_ids(spark, path).drop("ids")
+
+
 @query
 def op5_mix_sources(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"))
@@ -29,11 +56,26 @@ def op6_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_batch(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
 
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_bbit_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL["op8_exact_dedup"] = """
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents) d
