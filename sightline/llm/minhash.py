@@ -5,9 +5,10 @@ of each minimum only ``BITS`` low bits are kept, packed, and candidates whose co
 counts) cannot be a link are dropped; the rest are confirmed on the full sets.  Documents with equal sets are one
 class and meet once.
 
-Buckets never become all their pairs: each member first meets its bucket's leader; components of those links are
-made; only buckets that still hold members of several components compare the members, in blocks of bounded size
-that emit nothing but pairs of different components whose estimate is near the threshold.
+Buckets never become all their pairs: each member first meets the least leader of its buckets; components of those
+links are made; only buckets that still hold several components compare members, in blocks of bounded size.  A first
+pass over packed minima tells which members have a partner near the threshold in another component; their full sets
+then come to the same blocks, and only links that join components leave them.
 
 Defined results: null and blank texts have an empty set, link with nothing and are their own component; a text with
 fewer words than a shingle is one shingle; rows that share a doc_id are one document with several texts (a null
@@ -34,7 +35,7 @@ BANDS, ROWS, BITS = 36, 5, 4
 #: Standard deviations of the estimate below the threshold at which a candidate is dropped.
 SIGMAS = 4.5
 #: Members of a block; a group compared in one task holds two blocks.
-BLOCK = 512
+BLOCK = 256
 NO_ID = -(1 << 63)
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -141,65 +142,106 @@ def _near(least: float):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes are a link."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return False
+    place = np.searchsorted(large, small)
+    place[place == len(large)] = 0
+    both = int((large[place] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            ok = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                place = np.searchsorted(large, small)
-                place[place == len(large)] = 0
-                both = int((large[place] == small).sum()) if len(large) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            ok = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                  for x, y in zip(b.column("x"), b.column("y"))]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
-def _block_pairs(percent: int, least: float):
-    """Pairs of different components inside each run of equal (key, i, j); rows arrive sorted by these."""
-    def pairs(t: pa.Table):
-        cols = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "blk", "node", "component", "n")}
-        sig = _words(t.column("sig"))
-        same = (cols["key"][1:] == cols["key"][:-1]) & (cols["i"][1:] == cols["i"][:-1]) & (cols["j"][1:] == cols["j"][:-1])
-        cuts = np.concatenate([[0], np.flatnonzero(~same) + 1, [t.num_rows]])
-        out = []
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            i, j = cols["i"][s], cols["j"][s]
-            left = np.arange(s, e)[cols["blk"][s:e] == i]
-            right = left if i == j else np.arange(s, e)[cols["blk"][s:e] == j]
-            for at in range(0, len(left), 64):
-                own = left[at:at + 64]
-                n, m = cols["n"][own][:, None], cols["n"][right][None]
-                x, y = np.nonzero((cols["component"][own][:, None] != cols["component"][right][None])
-                                  & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
-                a, b = own[x], right[y]
-                if i == j:
-                    a, b = a[a < b], b[a < b]
-                if len(a):
-                    a, b = (z[estimate(sig[a], sig[b]) >= least] for z in (a, b))
-                    a, b = cols["node"][a], cols["node"][b]
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of whole groups of equal (key, i, j); rows arrive sorted by these."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        last = [t.column(c)[-1].as_py() for c in ("key", "i", "j")]
+        open_ = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last)])
+        cut = int(np.flatnonzero(~open_)[-1]) + 1 if (~open_).any() else 0
+        held = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _cross(t: pa.Table, percent: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of different components inside each group of ``t`` that lengths and estimate allow to be links."""
+    key, i, j, blk, component, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "blk", "component", "n"))
+    sig = _words(t.column("sig"))
+    same = (key[1:] == key[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1])
+    cuts = np.concatenate([[0], np.flatnonzero(~same) + 1, [t.num_rows]])
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        left = np.arange(s, e)[blk[s:e] == i[s]]
+        right = left if i[s] == j[s] else np.arange(s, e)[blk[s:e] == j[s]]
+        for at in range(0, len(left), 64):
+            own = left[at:at + 64]
+            small, large = n[own][:, None], n[right][None]
+            x, y = np.nonzero((component[own][:, None] != component[right][None])
+                              & (100 * np.minimum(small, large) >= percent * np.maximum(small, large)))
+            x, y = own[x], right[y]
+            if i[s] == j[s]:
+                x, y = x[x < y], y[x < y]
+            if len(x):
+                near = estimate(sig[x], sig[y]) >= least
+                yield x[near], y[near]
+
+
+def _suspects(percent: int, least: float):
+    """The rows with a partner that may be a link, looked at in the first band that both share."""
+    def run(batches):
+        for t in _groups(batches):
+            bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
+            key = t.column("key").to_numpy()
+            hit = np.zeros(t.num_rows, bool)
+            for x, y in _cross(t, percent, least):
+                first = (bands[x] == bands[y]).argmax(1)
+                here = bands[x, first] == key[x]
+                hit[x[here]] = hit[y[here]] = True
+            for b in t.drop_columns(["bands"]).filter(pa.array(hit)).to_batches():
+                yield b
+    return run
 
+
+def _block_links(percent: int, least: float):
+    """Confirmed links between different components inside each group; links that only join what the group's links
+    join already are not told."""
     def run(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t])
-            if not t.num_rows:
-                continue
-            last = [t.column(c)[-1].as_py() for c in ("key", "i", "j")]
-            open_ = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last)])
-            cut = int(np.flatnonzero(~open_)[-1]) + 1 if (~open_).any() else 0
-            held = t.slice(cut)
-            if cut:
-                yield pairs(t.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield pairs(held)
+        for t in _groups(batches):
+            node, component = t.column("node").to_numpy(), t.column("component").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
+            root: dict[int, int] = {}
+
+            def find(x):
+                while x in root:
+                    x = root[x]
+                return x
+            out = []
+            for xs, ys in _cross(t, percent, least):
+                for x, y in zip(xs.tolist(), ys.tolist()):
+                    p, q = find(component[x]), find(component[y])
+                    if p != q and _linked(sets[x], sets[y], percent):
+                        root[max(p, q)] = min(p, q)
+                        out.append((node[x], node[y]))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
@@ -229,24 +271,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         y = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
         return cut_lineage(pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(percent), "a long, b long").distinct())
 
-    met = buckets.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    met = cut_lineage(near(met))
-    links = confirmed(met)
+    # each member with the first of its buckets' leaders
+    met = buckets.groupBy("node").agg(F.min("lead").alias("a")).where("node <> a").select("a", F.col("node").alias("b"))
+    links = confirmed(near(met))
     found = connected_components(links)
     # buckets that still hold several components
     placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = cut_lineage(placed.select("key", "node", "component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
     open_ = open_.where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(open_, "key").join(sigs, "node")
+    rows = placed.join(open_, "key").join(classes.select("node", "n", "sig", "bands"), "node")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "node", "component", "n", "sig", "blk", other)
-    rows = rows.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("other")
+    rows = rows.select("key", "node", "component", "n", "sig", "blk", "bands", other)
+    rows = rows.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "component",
+                       "n", "sig", "bands")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rows.mapInArrow(_block_pairs(percent, least), "a long, b long").distinct()
-    more = cut_lineage(more.join(met, ["a", "b"], "left_anti"))
-    found = connected_components(links.union(confirmed(more)))
+    suspects = cut_lineage(rows.mapInArrow(_suspects(percent, least), rows.drop("bands").schema))
+    full = suspects.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = connected_components(links.union(full.mapInArrow(_block_links(percent, least), "a long, b long")))
     first = found.groupBy("component").agg(F.min("node").alias("component_id"))
     found = found.join(first, "component").select("node", "component_id")
     # every row by its class, then by its class's component
