@@ -105,14 +105,10 @@ def vocab_tokens(line, digit_token: bool = True) -> Column:
 
 # --- identifier signatures (row 74) ---------------------------------------
 
-# Repeated groups collapsed after the run collapse, in this fixed order.  The
+# SIGNATURE_TOKENS: repeated groups collapsed after the run collapse, in that order.  The
 # reference guards each rewrite by the presence of the characters the group
 # contains; a group can only match when those are present, so the guards are
 # implied by the patterns themselves.
-SIGNATURE_GROUPS = ["Aa0", "Aa_", "Aa", "a0", "0a", "a_", "_a", "0a_", "_a0", "_0a", "_a0a",
-                    "0A", "A0", "A_", "_A", "_A0", "_0A", "0_"]
-assert SIGNATURE_GROUPS == SIGNATURE_TOKENS
-
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _UPPER = _LOWER.upper()
 _DIGITS = "0123456789"
@@ -120,10 +116,10 @@ _DIGITS = "0123456789"
 
 def token_signature(token) -> Column:
     """Row 74: a->lower, A->upper, 0->digit; collapse runs of one character,
-    then collapse repeats of each group in SIGNATURE_GROUPS."""
+    then collapse repeats of each group in SIGNATURE_TOKENS."""
     t = F.translate(_c(token), _LOWER + _UPPER + _DIGITS, "a" * 26 + "A" * 26 + "0" * 10)
     t = F.regexp_replace(t, r"(.)\1+", "$1")
-    for g in SIGNATURE_GROUPS:
+    for g in SIGNATURE_TOKENS:
         t = F.regexp_replace(t, "(?:" + g + "){2,}", g)
     return t
 

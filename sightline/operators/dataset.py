@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import dense_index, first_per_key, rank_in_group, running_sum_max
 
 DEFAULT_COLUMNS_TO_PRESERVE = ["change_id", "revision_id", "filename", "line_contents"]
@@ -77,7 +78,7 @@ def filter_files(df: DataFrame, path_col: str, extensions: list[str] | None = No
 def limit_files(df: DataFrame, path_col: str, n: int) -> DataFrame:
     """Row 22: rows of the first ``n`` files in listing (path) order."""
     files = df.select(path_col).distinct().orderBy(path_col).limit(n)
-    return df.join(F.broadcast(files), path_col, "left_semi")  # at most n rows
+    return df.join(files, path_col, "left_semi")
 
 
 # --- rows 23-25: joins by change ------------------------------------------
@@ -173,11 +174,12 @@ def prepare_dataset(commented: DataFrame, lines: DataFrame, seq: list[str],
     Steps: fill (15), drop empty (17), lines of reviewed changes (23), cap (55),
     dedup (54), eligible OK lines (24, Q9 fixed), quota (56/57), uniqueness (58, Q10
     fixed: ambiguous texts go to the preferred class, order-free), union (66).
-    Shuffles are keyed by change or by (text, seq); no task holds a whole change.
+    Shuffles are keyed by change or by (text, seq).
     """
-    cm = drop_empty_lines(fill_text(commented, [line_col, change_col]), line_col)
+    # each table feeds several steps: stored once
+    cm = cut_lineage(drop_empty_lines(fill_text(commented, [line_col, change_col]), line_col))
     ln = drop_empty_lines(fill_text(lines, [line_col, change_col]), line_col)
-    ln = lines_in_reviewed_changes(ln, cm, change_col)
+    ln = cut_lineage(lines_in_reviewed_changes(ln, cm, change_col))
     order = change_order(cm, seq, change_col)
 
     kept = cap_commented(cm, ln, seq, change_col) if balance_commented_lines_for_change else cm
@@ -192,6 +194,7 @@ def prepare_dataset(commented: DataFrame, lines: DataFrame, seq: list[str],
             kept = kept.join(both, line_col, "left_anti")
         kept = first_per_key(kept, [line_col], seq)
         eligible = first_per_key(eligible, [line_col], seq)
+    kept, eligible = cut_lineage(kept), cut_lineage(eligible)
 
     c = kept.groupBy(change_col).agg(F.count(F.lit(1)).alias("c"))
     a = eligible.groupBy(change_col).agg(F.count(F.lit(1)).alias("a"))

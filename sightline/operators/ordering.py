@@ -1,8 +1,8 @@
 """Order-dependent helpers that stay distributed.
 
-``dense_index`` numbers rows 0..n-1 in a total order without moving all rows to
-one task: a range-partitioned sort, per-partition row numbers, and per-partition
-offsets from a prefix sum over one row per partition (a tiny broadcast side).
+All of them range-partition the rows on the order once and write that frame, with each row's partition and place, to
+the shared checkpoint folder.  Per-partition totals and the rows themselves are both read from the stored table, so
+they cannot disagree (a second shuffle would sample its own bounds, and adaptive execution may coalesce it otherwise).
 """
 
 from __future__ import annotations
@@ -10,32 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+
+def _ranged(df: DataFrame, key: Column) -> DataFrame:
+    """``df`` in ranges of ``key``, stored: ``_pid`` orders the ranges, ``_li`` the rows of a range."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    r = df.withColumn("_k", key).repartitionByRange(parts, "_k").sortWithinPartitions("_k")
+    return cut_lineage(r.withColumn("_pid", F.spark_partition_id()).withColumn("_li", F.monotonically_increasing_id()))
+
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx", start: int = 0) -> DataFrame:
     """Add ``name`` = position of each row in ``order`` (ascending value expressions
     forming a total order; negate a numeric key for descending), from ``start``."""
-    keyed = df.withColumn("_k", F.struct(*order))
-    ranged = keyed.repartitionByRange("_k").sortWithinPartitions("_k")
-    ranged = ranged.withColumn("_pid", F.spark_partition_id())
-    ranged = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy("_k")))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    ranged = _ranged(df, F.struct(*order))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_li").alias("_first"))
     # one row per partition: the unpartitioned window is bounded by the partition count
     offsets = sizes.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0))).drop("_cnt")
     out = ranged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_rn") - 1 + start).cast("long")) \
-        .drop("_k", "_pid", "_rn", "_off")
-
-
-def rank_top(df: DataFrame, order: list[Column], n: int, name: str = "rank") -> DataFrame:
-    """The first ``n`` rows of a total order, numbered from 1 (top-k, then a window over k rows)."""
-    top = df.orderBy(*order).limit(n)
-    return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("int"))
-
-
-def _n_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return out.withColumn(name, (F.col("_off") + F.col("_li") - F.col("_first") + start).cast("long")) \
+        .drop("_k", "_pid", "_li", "_off", "_first")
 
 
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
@@ -44,20 +40,19 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str
     Skew-safe: rows are range-partitioned on (keys, order), so a hot group is spread
     over many tasks; each task numbers its rows, and a group's count in earlier
     partitions (one row per (partition, group)) is added.  No task ever holds a
-    whole group.  ``order`` must be a total order inside a group.
-    """
-    n = _n_parts(df)
-    k = F.struct(*[F.col(c) for c in keys], *order)
-    r = (df.withColumn("_k", k).repartitionByRange(n, "_k").sortWithinPartitions("_k")
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_li", F.monotonically_increasing_id()))
+    whole group.  ``order`` must be a total order inside a group; a null key is a group."""
+    r = _ranged(df, F.struct(*[F.col(c) for c in keys], *order))
     stats = r.groupBy("_pid", *keys).agg(F.min("_li").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     stats = stats.withColumn("_before", F.coalesce(
         F.sum("_cnt").over(Window.partitionBy(*keys).orderBy("_pid")
                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = r.join(stats.drop("_cnt"), ["_pid", *keys])
+    stats = stats.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", "_before")
+    on = F.col("_pid") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = r.join(stats, on)
     return out.withColumn(name, (F.col("_li") - F.col("_first") + F.col("_before") + 1).cast("long")) \
-        .drop("_k", "_pid", "_li", "_first", "_before")
+        .drop("_k", "_pid", "_li", "_first", "_before", "_p", *[f"_k{i}" for i in range(len(keys))])
 
 
 def running_sum_max(df: DataFrame, order: list[Column], x: str, sum_name: str = "S",
@@ -65,11 +60,9 @@ def running_sum_max(df: DataFrame, order: list[Column], x: str, sum_name: str =
     """Inclusive running sum ``S`` of ``x``, ``M = max(0, running max of S)`` and
     ``M_excl`` (the same over the rows before) in a total ``order``, computed in two levels (per range partition, then over one row
     per partition), so no single task sees the whole table."""
-    n = _n_parts(df)
-    r = (df.withColumn("_k", F.struct(*order)).repartitionByRange(n, "_k")
-         .withColumn("_pid", F.spark_partition_id()))
-    w = Window.partitionBy("_pid").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    w_ex = Window.partitionBy("_pid").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    r = _ranged(df, F.struct(*order))
+    w = Window.partitionBy("_pid").orderBy("_li").rowsBetween(Window.unboundedPreceding, 0)
+    w_ex = Window.partitionBy("_pid").orderBy("_li").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("_ls", F.sum(x).over(w)).withColumn("_lm", F.max("_ls").over(w)) \
         .withColumn("_lme", F.max("_ls").over(w_ex))
     parts = r.groupBy("_pid").agg(F.sum(x).alias("_pt"), F.max("_ls").alias("_pm"))
@@ -80,7 +73,7 @@ def running_sum_max(df: DataFrame, order: list[Column], x: str, sum_name: str =
     out = out.withColumn(sum_name, F.col("_off") + F.col("_ls")) \
         .withColumn(max_name, F.greatest(F.lit(0), F.col("_pmax"), F.col("_off") + F.col("_lm"))) \
         .withColumn(max_name + "_excl", F.greatest(F.lit(0), F.col("_pmax"), F.col("_off") + F.col("_lme")))
-    return out.drop("_k", "_pid", "_ls", "_lm", "_lme", "_off", "_pmax")
+    return out.drop("_k", "_pid", "_li", "_ls", "_lm", "_lme", "_off", "_pmax")
 
 
 def first_per_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
@@ -94,16 +87,6 @@ def first_per_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     return df.join(firsts, [*keys, *seq], "left_semi")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when ``df`` has fewer partitions than the
-    cluster's parallelism (small inputs such as one-row-group files), so CPU-heavy
-    expressions downstream use every core.  A no-op on large, well-split inputs."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def cpu_partitions(df: DataFrame) -> int:
     """Partition count for CPU-heavy stages after a shuffle: the session's shuffle
     partitions, at least the cluster's parallelism (AQE would otherwise coalesce
@@ -122,13 +105,3 @@ def posexplode_rows(df: DataFrame, cols: list, arr: Column, pos: str, val: str)
 def explode_rows(df: DataFrame, cols: list, arr: Column, val: str) -> DataFrame:
     """``explode`` of a computed array, see ``posexplode_rows``."""
     return posexplode_rows(df, cols, arr, "_pos", val).drop("_pos")
-
-
-# Largest table this library broadcasts on its own (rows); beyond it joins shuffle.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a measured size bound (one count of a small,
-    usually materialized table); larger tables are joined by shuffle."""
-    return F.broadcast(df) if df.count() <= max_rows else df

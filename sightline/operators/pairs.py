@@ -133,10 +133,10 @@ def masked_examples(pairs: DataFrame, vocab_size: int, vocab: DataFrame, seed: i
     # replacement token by hash -> vocabulary id; resolved with a join on the id
     out_tok = F.transform(F.arrays_zip(F.col("_t").alias("t"), F.col("_c").alias("c"), F.col("_hs").alias("h")),
                           lambda z, i: F.when(~z["c"], z["t"])
-                          .when(_h(F.lit(seed), F.lit("k"), F.col("pair_seq"), i) % 10 < int(mask_mask_rate * 10),
+                          .when(_h(F.lit(seed), F.lit("k"), F.col("pair_seq"), i) / scale < mask_mask_rate,
                                 F.lit(TOKEN_MASK))
-                          .when(_h(F.lit(seed), F.lit("k"), F.col("pair_seq"), i) % 10
-                                < int((mask_mask_rate + mask_random_rate) * 10),
+                          .when(_h(F.lit(seed), F.lit("k"), F.col("pair_seq"), i) / scale
+                                < mask_mask_rate + mask_random_rate,
                                 F.concat(F.lit("\u0000id:"), (_h(F.lit(seed), F.lit("r"), F.col("pair_seq"), i)
                                                                % vocab_size).cast("string")))
                           .otherwise(z["t"]))

@@ -57,17 +57,21 @@ def _kernel(p: float, radius: float | None, k: int):
                 else:
                     acc += d ** p
             dist = acc if (math.isinf(p) or p == 1) else acc ** (1.0 / p)
-            order = np.argsort(dist, axis=1, kind="stable")  # refs sorted by id: ties -> smaller id
-            ranks = np.empty_like(order)
-            rows = np.arange(dist.shape[0])[:, None]
-            ranks[rows, order] = np.arange(dist.shape[1])[None, :]
-            keep = ranks < k if k > 0 else np.zeros(dist.shape, dtype=bool)
+            # refs are sorted by id, so the first minimum is the nearest (ties -> smaller id); the k nearest are all
+            # within the k-th smallest distance (ties beyond k are cut by the rank over all cells)
+            nearest = np.zeros(dist.shape, dtype=bool)
+            if k > 0:
+                nearest[np.arange(dist.shape[0]), dist.argmin(1)] = True
+            keep = nearest
+            if 1 < k:
+                at = min(k, dist.shape[1]) - 1
+                keep = dist <= np.partition(dist, at, axis=1)[:, at][:, None]
             inr = dist <= radius if radius is not None else np.zeros(dist.shape, dtype=bool)
             sel = keep | inr
             qi, ri = np.nonzero(sel)
             out.append(pd.DataFrame({"query_id": qids[s:s + step][qi], "ref_id": rids[ri],
                                      "distance": dist[qi, ri], "in_range": inr[qi, ri],
-                                     "cell_rank": (ranks[qi, ri] + 1).astype(np.int32)}))
+                                     "cell_rank": np.where(nearest[qi, ri], 1, 2).astype(np.int32)}))
         return pd.concat(out, ignore_index=True)
     return run
 
@@ -140,13 +144,15 @@ def nearest_line(queries: DataFrame, refs: DataFrame, metric=None, **kw) -> Data
         .select("query_id", F.col("m.ref_id").alias("ref_id"), F.col("m.distance").alias("distance"))
 
 
-def cutoff_sample(refs: DataFrame, sample: int, seed: int = 0) -> DataFrame:
-    """Q21 fixed: a seeded hash sample of ``sample`` references (top-n by md5)."""
+def cutoff_sample(refs: DataFrame, sample: int | None, seed: int = 0) -> DataFrame:
+    """Q21 fixed: a seeded hash sample of ``sample`` references (top-n by md5); None: all."""
+    if sample is None:
+        return refs
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("ref_id").cast("string")))
     return refs.withColumn("_h", h).orderBy("_h").limit(sample).drop("_h")
 
 
-def similarity_cutoff(refs: DataFrame, percentile: float = 50, sample: int = 500, seed: int = 0,
+def similarity_cutoff(refs: DataFrame, percentile: float = 50, sample: int | None = 500, seed: int = 0,
                       metric=None, **kw) -> DataFrame:
     """Row 51: distance of each sampled reference to its 2nd nearest reference (itself
     being the 1st), and the ``percentile`` of those (linear interpolation).
@@ -160,14 +166,13 @@ def similar_pairs(queries: DataFrame, refs: DataFrame, cut_off: float | None, ma
                   at_least_one_result: bool = True, metric=None, **kw) -> DataFrame:
     """Row 29 core: per query, references within the cut-off (at most ``max_similar``);
     with ``at_least_one_result`` the nearest when none qualifies (Q20 fixed: without a
-    cut-off, the k nearest, or all).  One pass over the grid: in-range pairs and the
+    cut-off, the ``max_similar`` nearest).  One pass over the grid: in-range pairs and the
     nearest of each cell are emitted together."""
     p = metric_p(metric)
     if cut_off is None:
-        k = max_similar
-        if k is None:
-            k = refs.count() if kw.get("n_refs") is None else kw["n_refs"]
-        return knn_join(queries, refs, k, metric=metric, **kw)
+        if max_similar is None:
+            raise ValueError("without a cut-off, max_similar must say how many references to return")
+        return knn_join(queries, refs, max_similar, metric=metric, **kw)
     c = distance_candidates(queries, refs, p=p, radius=cut_off, k=1 if at_least_one_result else 0, **kw)
     c = c.withColumn("_has", F.max(F.col("in_range").cast("int")).over(Window.partitionBy("query_id")))
     hit = c.where("in_range")

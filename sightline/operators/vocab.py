@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import vocab_tokens
 from ..schemas import BASE_TOKENS, SIGNATURE_TOKENS, TOKEN_NUMBER, VOCAB_CHARS
-from .ordering import dense_index, posexplode_rows, rank_top
+from .ordering import dense_index, posexplode_rows
 
 
 def line_tokens(lines: DataFrame, line_col: str = "line_contents", order_cols=("doc_id", "line_no"),
@@ -27,11 +27,15 @@ def token_counts(lines: DataFrame, line_col: str = "line_contents", order_cols=(
         F.min(F.struct(*[F.col(c) for c in order_cols], F.col("tok_pos"))).alias("first_pos"))
 
 
-def most_common_tokens(lines: DataFrame, n: int, line_col: str = "line_contents",
+def most_common_tokens(lines: DataFrame, n: int | None = None, line_col: str = "line_contents",
                        order_cols=("doc_id", "line_no"), tokenizer=None) -> DataFrame:
-    """Row 63: ``rank, token, n`` by count descending, ties by first appearance."""
+    """Row 63: ``rank, token, n`` by count descending, ties by first appearance; all
+    tokens, or the ``n`` most common."""
     counts = token_counts(lines, line_col, order_cols, tokenizer)
-    return rank_top(counts, [F.desc("n"), F.asc("first_pos")], n).select("rank", "token", "n")
+    ranked = dense_index(counts, [-F.col("n"), F.col("first_pos")], "rank", start=1)
+    if n is not None:
+        ranked = ranked.where(F.col("rank") <= n)
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "token", "n")
 
 
 def build_vocab(lines: DataFrame, line_col: str = "line_contents", order_cols=("doc_id", "line_no"),

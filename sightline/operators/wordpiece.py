@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import drop_blank_tokens, is_number, split_code, token_signature
 from ..schemas import TOKEN_CLS, TOKEN_NUMBER, TOKEN_SEP, TOKEN_UNK
-from .ordering import broadcast_if_small, explode_rows, posexplode_rows
+from .ordering import explode_rows, posexplode_rows
 
 
 def code_words(line: Column, preserve_whitespace: bool = True, use_digit_token: bool = True) -> Column:
@@ -43,8 +43,8 @@ def word_pieces_of(words: DataFrame, vocab: DataFrame, word_col: str = "word") -
     """Row 75 core: ``word, pieces`` (array<string>) for distinct words.
 
     One shuffle: distinct words (hash partitioned by word) -> candidate substrings ->
-    map-side join with the broadcast vocabulary (size checked) -> matches grouped by
-    word on the same partitioning -> fold walking the longest matches."""
+    join with the vocabulary (adaptive execution broadcasts it after measuring it) ->
+    matches grouped by word -> fold walking the longest matches."""
     v = vocab.select(F.col("token").alias("_piece"), F.lit(True).alias("_hit"))
     lmax = v.select(F.max(F.length(F.regexp_replace("_piece", "^##", ""))).alias("m")).first()["m"] or 1  # scalar
     w = words.select(F.col(word_col).alias("word")).distinct().where(F.length("word") > 0)
@@ -53,7 +53,7 @@ def word_pieces_of(words: DataFrame, vocab: DataFrame, word_col: str = "word") -
                        .alias("l"))
     cand = cand.withColumn("_piece", F.concat(F.when(F.col("s") > 0, F.lit("##")).otherwise(F.lit("")),
                                               F.substring(F.col("word"), F.col("s") + 1, F.col("l"))))
-    hits = cand.join(broadcast_if_small(v), "_piece", "left")
+    hits = cand.join(v, "_piece", "left")
     jumps = hits.groupBy("word").agg(
         F.collect_list(F.when(F.col("_hit"), F.struct("s", "l"))).alias("_hits"))
     state = F.struct(F.lit(0).alias("nxt"), F.array().cast("array<string>").alias("ps"))

@@ -56,11 +56,14 @@ def q_read_comments(spark, sf):
     "SELECT doc_id, line_no - 1 AS line_no, line_contents AS line FROM v_lines"))
 def q_read_corpus(spark, sf):
     path = scratch(spark, "corpus")
-    docs = fx.table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    docs.select(F.to_json(F.struct("doc_id", "lines")).alias("value")).write.text(path)
-    raw = spark.read.text(path).select(F.from_json("value", "doc_id long, lines array<string>").alias("d"))
-    return raw.select("d.doc_id", F.posexplode("d.lines").alias("line_no", "line")) \
-        .select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    # a file's first line tells its document
+    docs = fx.table(spark, sf, "documents").select(
+        F.concat(F.array(F.col("doc_id").cast("string")), F.split("text", "\n", -1)).alias("lines"))
+    docs.select(F.to_json("lines").alias("value")).write.text(path)
+    out = rd.read_corpus(spark, path)
+    name = out.where("line_no = 0").select("file_no", F.col("line").cast("long").alias("doc_id"))
+    return out.where("line_no > 0").join(name, "file_no") \
+        .select("doc_id", (F.col("line_no") - 1).cast("bigint").alias("line_no"), "line")
 
 
 def _code_tree(spark, sf):

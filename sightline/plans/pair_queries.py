@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as pr
 from ..operators import wordpiece as wp
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from .catalog import register
 from .corpus_queries import _WP_CTES, _vocab
@@ -79,7 +80,7 @@ def q_epoch(spark, sf):
 def _pair_tokens(spark, sf):
     acc = _accepted(spark, sf)
     vocab = _vocab(spark, sf)
-    toks = wp.tokenize_lines(fx.v_lines(spark, sf), ["doc_id", "line_no"], "line_contents", vocab)
+    toks = cut_lineage(wp.tokenize_lines(fx.v_lines(spark, sf), ["doc_id", "line_no"], "line_contents", vocab))
     nxt = toks.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("tokens").alias("right_tokens"))
     return (acc.join(toks.withColumnRenamed("tokens", "left_tokens"), ["doc_id", "line_no"])
             .join(nxt, ["doc_id", "line_no"])), vocab

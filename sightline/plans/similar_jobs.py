@@ -9,7 +9,7 @@ from ..operators import similar as sm
 
 
 def find_similar(reference: DataFrame, queries: DataFrame, cut_off_percentile: float | None = 50,
-                 max_similar: int | None = None, cut_off_sample: int = 500, seed: int = 0,
+                 max_similar: int | None = None, cut_off_sample: int | None = 500, seed: int = 0,
                  metric=None) -> DataFrame:
     """Row 100: ``query_id, query_line, similar_line, distance, rank`` for every query
     row (duplicates kept).  ``reference``: ``ref_id, line, embedding``; ``queries``:

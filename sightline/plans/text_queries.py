@@ -55,10 +55,12 @@ def q_camel(spark, sf):
 
 @register("underscore_split", W(
     "SELECT word, CAST(generate_subscripts(_a, 1) - 1 AS INTEGER) AS piece_pos, unnest(_a) AS piece FROM "
-    f"(SELECT word, {S.prefix_cont(S.underscore_pieces('word'))} AS _a FROM words WHERE contains(word, '_'))",
+    f"(SELECT word, {S.prefix_cont(S.underscore_pieces('word'))} AS _a FROM "
+    "(SELECT DISTINCT replace(word, 'e', '_') AS word FROM words) WHERE contains(word, '_'))",
     ("words", _DISTINCT_WORDS_SQL)))
 def q_underscore(spark, sf):
-    w = _distinct_words_spark(spark, sf).where(F.col("word").contains("_"))
+    w = _distinct_words_spark(spark, sf).select(F.translate("word", "e", "_").alias("word")).distinct()
+    w = w.where(F.col("word").contains("_"))
     return posexplode_rows(w, ["word"], tx.underscore_split("word"), "piece_pos", "piece")
 
 
@@ -95,12 +97,8 @@ def q_token_counts(spark, sf):
                     F.col("first_pos.line_no").alias("first_line"), F.col("first_pos.tok_pos").alias("first_tok"))
 
 
-MOST_COMMON_N = 10000
-
-
 @register("most_common_tokens", W(
-    f"SELECT CAST(row_number() OVER (ORDER BY n DESC, first_pos) AS INTEGER) AS rank, token, n "
-    f"FROM counts ORDER BY n DESC, first_pos LIMIT {MOST_COMMON_N}",
+    "SELECT CAST(row_number() OVER (ORDER BY n DESC, first_pos) AS INTEGER) AS rank, token, n FROM counts",
     ("toks", _TOKENS_SQL), ("counts", _COUNTS_SQL)))
 def q_most_common(spark, sf):
-    return vb.most_common_tokens(fx.v_lines(spark, sf), MOST_COMMON_N)
+    return vb.most_common_tokens(fx.v_lines(spark, sf))

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import spread
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -40,12 +38,12 @@ def lines_from(df: DataFrame, id_col: str, text_col: str, rev_col: str | None,
 
 def v_lines(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return spread(lines_from(docs, "doc_id", "text", "source"))
+    return lines_from(docs.repartition("doc_id"), "doc_id", "text", "source")
 
 
 def v_markup_lines(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return spread(lines_from(pages, "page_id", "html", None, "url"))
+    return lines_from(pages.repartition("page_id"), "page_id", "html", None, "url")
 
 
 def _commented_docs(spark, sf_dir) -> DataFrame:

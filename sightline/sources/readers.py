@@ -7,19 +7,34 @@ numbers carry the order.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dataset import file_suffix
 
+# Stands for U+FFFD of a source file while undecodable bytes are dropped (private-use characters).
+_OWN_MARK = "\uE000\uF8FF\uE000"
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+
+
+def _plain(path: str) -> str:
+    """A path without scheme and final slash."""
+    return re.sub(_SCHEME, "/", path).rstrip("/")
+
 
 def _file_seq(paths: list[str]) -> F.Column:
-    """Position of the row's file in ``paths`` (path order = stacking order)."""
-    arr = F.array(*[F.lit(p) for p in paths])
-    f = F.input_file_name()
-    return F.coalesce(*[F.when(F.instr(f, p.rstrip("/").split("://")[-1]) > 0, F.lit(i)) for i, p in enumerate(paths)],
-                      F.array_position(arr, f) - 1).cast("int")
+    """Position of the row's file in ``paths`` (path order = stacking order): of the file itself, or of the folder
+    that holds it, by whole paths; the first position of a path that is named twice."""
+    place: dict[str, int] = {}
+    for i, p in enumerate(paths):
+        place.setdefault(_plain(p), i)
+    at = F.create_map(*[x for p, i in place.items() for x in (F.lit(p), F.lit(i))])
+    f = F.regexp_replace(F.input_file_name(), _SCHEME, "/")
+    return F.coalesce(at[f], at[F.regexp_replace(f, "/[^/]*$", "")]).cast("int")
 
 
 def read_table(spark: SparkSession, paths: list[str], schema: T.StructType | str | None = None,
@@ -72,14 +87,18 @@ def extract_lines(spark: SparkSession, code_path: str, file_extensions: list[str
     files = files.where(file_suffix("path").isin(list(file_extensions)))
     if limit_files is not None:
         first = files.select("path").orderBy("path").limit(limit_files)
-        files = files.join(F.broadcast(first), "path", "left_semi")  # at most limit_files rows
+        files = files.join(first, "path", "left_semi")
     # undecodable bytes dropped; universal newlines; lines as readlines() gives them
     # (no empty line after a final newline, none at all for an empty file)
-    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "\uFFFD", ""), "\r\n?", "\n")
+    text = F.col("content").cast("string")
+    text = F.replace(text, F.lit("\uFFFD"), F.lit(_OWN_MARK))  # marks of the text itself are kept
+    text = F.replace(F.replace(F.make_valid_utf8(text), F.lit("\uFFFD"), F.lit("")), F.lit(_OWN_MARK), F.lit("\uFFFD"))
+    text = F.regexp_replace(text, "\r\n?", "\n")
     lines = F.when(text == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace(text, "\n$", ""), "\n", -1))
-    base = code_path.rstrip("/").split("://")[-1]
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:", ""), "^/*" + base.lstrip("/").replace(".", "\\.") + "/?", "")
+    base = _plain(code_path) + "/"
+    plain = F.regexp_replace("path", _SCHEME, "/")
+    rel = F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 1 << 20)).otherwise(plain)
     out = files.select("path", rel.alias("filename"),
                        F.posexplode(lines).alias("pos", "line"))
     return out.select("path", "filename", (F.col("pos") + 1).cast("int").alias("line_no"), "line")

@@ -24,25 +24,28 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                  max_files_per_trigger: int = 1, watermark: str = "3650 days",
+                  max_files_per_trigger: int | None = None, watermark: str = "3650 days",
                   available_now: bool = True):
     """Row 103: new review files become rows of ``flatten_comments`` (``out/comments``)
-    and ``flatten_added_lines`` (``out/added``) exactly once; a change seen again
-    within the watermark is dropped; malformed records go to ``out/bad``."""
+    and ``flatten_added_lines`` (``out/added``) exactly once per change and revision: a
+    change seen again brings in its new revisions only (within the watermark).  Records
+    that do not parse, or have no id or no date, go to ``out/bad``."""
     schema = T.StructType(REVIEW_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(source_dir))
-    s = s.withColumn("_ts", parse_dates(F.col("created")))
-    good = s.where(F.col("_corrupt").isNull() & F.col("id").isNotNull()).withWatermark("_ts", watermark) \
-        .dropDuplicatesWithinWatermark(["id"])
+    r = spark.readStream.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    s = r.json(source_dir).withColumn("_ts", parse_dates(F.col("created")))
+    usable = F.col("_corrupt").isNull() & F.col("id").isNotNull() & F.col("_ts").isNotNull()
+    good = s.where(usable).select("id", "created", "_ts", F.explode("revisions").alias("revision", "content")) \
+        .withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(["id", "revision"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.drop("_corrupt", "_ts")
+        batch = batch.select("id", "created", F.create_map("revision", "content").alias("revisions"))
         _write_batch(flatten_comments(batch), out_dir + "/comments", batch_id)
         _write_batch(flatten_added_lines(batch), out_dir + "/added", batch_id)
 
     q1 = good.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint + "/good")
-    bad = s.where(F.col("_corrupt").isNotNull()).select("_corrupt", "id")
+    bad = s.where(~usable).select("_corrupt", "id", "created")
     q2 = bad.writeStream.format("parquet").option("path", out_dir + "/bad") \
         .option("checkpointLocation", checkpoint + "/bad")
     if available_now:
@@ -52,11 +55,14 @@ def ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint
 
 
 def review_stream(spark: SparkSession, lines_dir: str, lines_schema, out_dir: str, checkpoint: str, review_fn,
-                  max_files_per_trigger: int = 1, available_now: bool = True):
+                  max_files_per_trigger: int | None = None, available_now: bool = True):
     """Row 104: submitted lines (Parquet files landing in ``lines_dir``) reviewed
     against a static comment base: ``review_fn(batch_df) -> DataFrame`` (for example
     ``plans.review.review`` with the model, reference and comments bound)."""
-    s = spark.readStream.schema(lines_schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(lines_dir)
+    r = spark.readStream.schema(lines_schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    s = r.parquet(lines_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         _write_batch(review_fn(batch), out_dir, batch_id)

@@ -22,3 +22,10 @@ def test_pushdown_and_pruning(spark):
     p = _plan(e.queries()["filter_dates"](spark, SF))
     assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts" in p
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp" in p
+
+
+@pytest.mark.parametrize("name", ["prepare_dataset", "line_pairs"])
+def test_inputs_are_not_read_again_and_again(spark, name):
+    """What several steps need is stored once: the final plan reads stored tables, not the documents."""
+    p = _plan(e.queries()[name](spark, SF))
+    assert p.count("/documents.parquet") <= 2 and p.count("/labels.parquet") <= 2
