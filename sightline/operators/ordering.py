@@ -14,24 +14,24 @@ from ..session import cut_lineage
 
 
 def _ranged(df: DataFrame, key: Column) -> DataFrame:
-    """``df`` in ranges of ``key``, stored: ``_pid`` orders the ranges, ``_li`` the rows of a range."""
+    """``df`` in ranges of ``key``, stored: ``_od_pid`` orders the ranges, ``_od_li`` the rows of a range."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    r = df.withColumn("_k", key).repartitionByRange(parts, "_k").sortWithinPartitions("_k")
-    return cut_lineage(r.withColumn("_pid", F.spark_partition_id()).withColumn("_li", F.monotonically_increasing_id()))
+    r = df.withColumn("_od_k", key).repartitionByRange(parts, "_od_k").sortWithinPartitions("_od_k")
+    return cut_lineage(r.withColumn("_od_pid", F.spark_partition_id()).withColumn("_od_li", F.monotonically_increasing_id()))
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx", start: int = 0) -> DataFrame:
     """Add ``name`` = position of each row in ``order`` (ascending value expressions
     forming a total order; negate a numeric key for descending), from ``start``."""
     ranged = _ranged(df, F.struct(*order))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_li").alias("_first"))
+    sizes = ranged.groupBy("_od_pid").agg(F.count(F.lit(1)).alias("_od_cnt"), F.min("_od_li").alias("_od_first"))
     # one row per partition: the unpartitioned window is bounded by the partition count
     offsets = sizes.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0))).drop("_cnt")
-    out = ranged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_li") - F.col("_first") + start).cast("long")) \
-        .drop("_k", "_pid", "_li", "_off", "_first")
+        "_od_off", F.coalesce(F.sum("_od_cnt").over(Window.orderBy("_od_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                           F.lit(0))).drop("_od_cnt")
+    out = ranged.join(F.broadcast(offsets), "_od_pid")
+    return out.withColumn(name, (F.col("_od_off") + F.col("_od_li") - F.col("_od_first") + start).cast("long")) \
+        .drop("_od_k", "_od_pid", "_od_li", "_od_off", "_od_first")
 
 
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
@@ -42,17 +42,17 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str
     partitions (one row per (partition, group)) is added.  No task ever holds a
     whole group.  ``order`` must be a total order inside a group; a null key is a group."""
     r = _ranged(df, F.struct(*[F.col(c) for c in keys], *order))
-    stats = r.groupBy("_pid", *keys).agg(F.min("_li").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    stats = stats.withColumn("_before", F.coalesce(
-        F.sum("_cnt").over(Window.partitionBy(*keys).orderBy("_pid")
+    stats = r.groupBy("_od_pid", *keys).agg(F.min("_od_li").alias("_od_first"), F.count(F.lit(1)).alias("_od_cnt"))
+    stats = stats.withColumn("_od_before", F.coalesce(
+        F.sum("_od_cnt").over(Window.partitionBy(*keys).orderBy("_od_pid")
                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    stats = stats.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", "_before")
-    on = F.col("_pid") == F.col("_p")
+    stats = stats.select(F.col("_od_pid").alias("_od_p"), *[F.col(k).alias(f"_od_k{i}") for i, k in enumerate(keys)], "_od_first", "_od_before")
+    on = F.col("_od_pid") == F.col("_od_p")
     for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"_od_k{i}"))
     out = r.join(stats, on)
-    return out.withColumn(name, (F.col("_li") - F.col("_first") + F.col("_before") + 1).cast("long")) \
-        .drop("_k", "_pid", "_li", "_first", "_before", "_p", *[f"_k{i}" for i in range(len(keys))])
+    return out.withColumn(name, (F.col("_od_li") - F.col("_od_first") + F.col("_od_before") + 1).cast("long")) \
+        .drop("_od_k", "_od_pid", "_od_li", "_od_first", "_od_before", "_od_p", *[f"_od_k{i}" for i in range(len(keys))])
 
 
 def running_sum_max(df: DataFrame, order: list[Column], x: str, sum_name: str = "S",
@@ -61,19 +61,19 @@ def running_sum_max(df: DataFrame, order: list[Column], x: str, sum_name: str =
     ``M_excl`` (the same over the rows before) in a total ``order``, computed in two levels (per range partition, then over one row
     per partition), so no single task sees the whole table."""
     r = _ranged(df, F.struct(*order))
-    w = Window.partitionBy("_pid").orderBy("_li").rowsBetween(Window.unboundedPreceding, 0)
-    w_ex = Window.partitionBy("_pid").orderBy("_li").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_ls", F.sum(x).over(w)).withColumn("_lm", F.max("_ls").over(w)) \
-        .withColumn("_lme", F.max("_ls").over(w_ex))
-    parts = r.groupBy("_pid").agg(F.sum(x).alias("_pt"), F.max("_ls").alias("_pm"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (parts.withColumn("_off", F.coalesce(F.sum("_pt").over(before), F.lit(0)))
-             .withColumn("_pmax", F.coalesce(F.max(F.col("_off") + F.col("_pm")).over(before), F.lit(0))))
-    out = r.join(F.broadcast(parts.select("_pid", "_off", "_pmax")), "_pid")  # one row per partition
-    out = out.withColumn(sum_name, F.col("_off") + F.col("_ls")) \
-        .withColumn(max_name, F.greatest(F.lit(0), F.col("_pmax"), F.col("_off") + F.col("_lm"))) \
-        .withColumn(max_name + "_excl", F.greatest(F.lit(0), F.col("_pmax"), F.col("_off") + F.col("_lme")))
-    return out.drop("_k", "_pid", "_li", "_ls", "_lm", "_lme", "_off", "_pmax")
+    w = Window.partitionBy("_od_pid").orderBy("_od_li").rowsBetween(Window.unboundedPreceding, 0)
+    w_ex = Window.partitionBy("_od_pid").orderBy("_od_li").rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_od_ls", F.sum(x).over(w)).withColumn("_od_lm", F.max("_od_ls").over(w)) \
+        .withColumn("_od_lme", F.max("_od_ls").over(w_ex))
+    parts = r.groupBy("_od_pid").agg(F.sum(x).alias("_od_pt"), F.max("_od_ls").alias("_od_pm"))
+    before = Window.orderBy("_od_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (parts.withColumn("_od_off", F.coalesce(F.sum("_od_pt").over(before), F.lit(0)))
+             .withColumn("_od_pmax", F.coalesce(F.max(F.col("_od_off") + F.col("_od_pm")).over(before), F.lit(0))))
+    out = r.join(F.broadcast(parts.select("_od_pid", "_od_off", "_od_pmax")), "_od_pid")  # one row per partition
+    out = out.withColumn(sum_name, F.col("_od_off") + F.col("_od_ls")) \
+        .withColumn(max_name, F.greatest(F.lit(0), F.col("_od_pmax"), F.col("_od_off") + F.col("_od_lm"))) \
+        .withColumn(max_name + "_excl", F.greatest(F.lit(0), F.col("_od_pmax"), F.col("_od_off") + F.col("_od_lme")))
+    return out.drop("_od_k", "_od_pid", "_od_li", "_od_ls", "_od_lm", "_od_lme", "_od_off", "_od_pmax")
 
 
 def first_per_key(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
