@@ -12,8 +12,8 @@ their own, in the order of their ids' crc32; a null doc_id comes first; an empty
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, cut_lineage
-from .common import chunks
+from .common import LOWER, Chunk, chunks
 
 END = 1
 BLOCK_VALUES = 1 << 20
-KEPT_WORDS = 400_000
-KEPT_LENGTH = 64
-#: white space that every pre-tokenizer of this kind cuts at; words between it are encoded one by one
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words whose ids a worker keeps before it starts afresh; bounds its memory, not the result.
+KEPT_WORDS = 3_000_000
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 _loaded: dict = {}
@@ -63,35 +65,80 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokenizer(path: str):
-    """The tokenizer of this worker and the words that it has met; the file is at the same path on every machine."""
-    if path not in _loaded:
+class Words:
+    """A tokenizer and the ids of the words that this worker has met, as sorted hashes and one array of ids.
+
+    White space always separates words, so a text's ids are its words' ids one after the other.  The tokenizer's
+    normalizer lower-cases, so A-Z are lowered first (not in a chunk that may spell a special token), and stops after
+    a letter or digit are a word of their own, as the pre-tokenizer makes them."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        t = Tokenizer.from_file(path)
-        _loaded[path] = (t, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"), {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.start, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(n.sum()))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + len(flat), self.kind)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.start = np.insert(self.start, at, (self.used + np.cumsum(n) - n).astype(np.int32))
+        self.n = np.insert(self.n, at, n)
+        self.used += len(flat)
+
+    def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a chunk's rows one after the other, and their number per row."""
+        raw = c.data
+        if b"<|" not in raw.tobytes():
+            c = Chunk(c.rows, LOWER[raw], c.offs)
+        s, e, row = c.words()
+        last = np.maximum.accumulate(np.where(_STOP[c.data], -1, np.arange(len(c.data))))
+        body = np.maximum(last[e - 1] + 1, s) if len(s) else e
+        cut = np.flatnonzero((body > s) & (body < e) & _ALNUM[c.data[body - 1]]) if len(s) else np.zeros(0, np.int64)
+        s, e, row = np.insert(s, cut + 1, body[cut]), np.insert(e, cut, body[cut]), np.insert(row, cut, row[cut])
+        found, first, which = np.unique(c.span_hashes(s, e), return_index=True, return_inverse=True)
+        if len(self.hashes) > KEPT_WORDS:
+            self._clear()
+        at = np.minimum(np.searchsorted(self.hashes, found), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != found if len(self.hashes) else np.ones(len(found), bool)
+        if new.any():
+            text = c.data.tobytes()
+            self._learn(found[new], [text[s[i]:e[i]].decode("utf-8", "replace") for i in first[new].tolist()])
+        at = np.searchsorted(self.hashes, found)[which] if len(found) else which
+        n = self.n[at].astype(np.int64)
+        place = np.cumsum(n) - n
+        ids = self.ids[np.repeat(self.start[at] - place, n) + np.arange(int(n.sum()))]
+        return ids, np.bincount(row, n, c.n).astype(np.int64)
+
+
+def _tokenizer(path: str) -> Words:
+    """The words of this worker; the tokenizer's file is at the same path on every machine."""
+    if path not in _loaded:
+        _loaded[path] = Words(path)
     return _loaded[path]
 
 
 def _encoder(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, kind, kept = _tokenizer(path)
-        last = np.array([end], kind).tobytes()
+        words = _tokenizer(path)
+        last = np.array([end], words.kind).tobytes()
         for c in chunks(batches):
-            texts = [_WORD.findall(t) if t else [] for t in c.rows.column("text").to_pylist()]
-            new = list({w for ws in texts for w in ws if w not in kept})
-            if len(kept) + len(new) > KEPT_WORDS:  # words met again are encoded again: memory is bounded
-                kept.clear()
-                new = list({w for ws in texts for w in ws})
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                kept[w] = np.array(e.ids, kind).tobytes()
-            ids = [b"".join([kept[w] for w in ws]) + last for ws in texts]
-            for w in new:
-                if len(w) > KEPT_LENGTH:
-                    del kept[w]
+            flat, n = words.encode(c)
+            at = np.concatenate([[0], np.cumsum(n)])
+            ids = [flat[x:y].tobytes() + last for x, y in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([
-                c.rows.column("doc_id"), pa.array([len(x) // kind.itemsize for x in ids], pa.int64()),
-                pa.array([zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in ids], pa.int64()),
+                c.rows.column("doc_id"), pa.array(n + 1),
+                pa.array([zlib.crc32(np.frombuffer(x, words.kind).astype("<u4").tobytes()) for x in ids], pa.int64()),
                 pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "crc", "ids"])
     return run
 
@@ -140,8 +187,8 @@ def _blocks(kind: str, rank_of: np.ndarray):
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -> None:
     """Encodes every whole text and writes blocks and ranks under ``path``."""
     spark = docs.sparkSession
-    kind = _tokenizer(tokenizer_path)[1].str
-    size = max(_tokenizer(tokenizer_path)[0].get_vocab_size(), end + 1)
+    words = _tokenizer(tokenizer_path)
+    kind, size = words.kind.str, max(words.tokenizer.get_vocab_size(), end + 1)
     coded = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _encoder(tokenizer_path, end), "doc_id long, n_tokens long, crc long, ids binary"))
     counts = coded.select("ids").mapInArrow(_counter(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
