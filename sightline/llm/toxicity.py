@@ -25,7 +25,7 @@ DIM = 4
 WINDOW = 8
 SIZES = (3, 4, 5)
 #: Labelled rows of each class that the model is fitted on, in hash order, and the longest text among them.
-SAMPLE_ROWS = {1: 1500, 0: 2500}
+SAMPLE_ROWS = {1: 1200, 0: 2000}
 SAMPLE_BYTES = 8_000
 THRESHOLD = 0.7
 
@@ -93,7 +93,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 70, rate: float =
         return Model(vectors * 0, softmax, np.array([2.0, 0.0]))
     bucket, word = ngrams(c, starts, ends)
     order = np.argsort(word, kind="stable")
-    bucket, word = bucket[order], word[order]
+    bucket, word = bucket[order], word[order].astype(np.int32)
+    del order
     n_words = len(starts)
     per_word = np.bincount(word, minlength=n_words).astype(np.float32)
     word_at = np.concatenate([[0], np.cumsum(per_word)])[:-1].astype(np.int64)
@@ -103,9 +104,9 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 70, rate: float =
     index = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]).astype(np.int64)]))
     y = labels[row[row_at]].astype(np.float32)
     weight = np.where(y > 0, 0.35 / max(y.sum(), 1), 0.65 / max((1 - y).sum(), 1)).astype(np.float32)
-    by_word = np.argsort(which, kind="stable")
+    by_word = np.argsort(which, kind="stable").astype(np.int32)
     by_word_at = np.flatnonzero(np.concatenate([[True], np.diff(which[by_word]) > 0]))
-    by_bucket = np.argsort(bucket, kind="stable")
+    by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
     some = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
     by_bucket_at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by_bucket]) > 0]))
     of_word, of_window = word[by_bucket], window[by_word]
