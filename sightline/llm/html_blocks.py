@@ -49,7 +49,7 @@ SCOPE = {"ul", "ol", "dl", "table", "body", "div", "section", "article", "main",
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<(script|style|textarea|title|template|noscript|iframe|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|$)", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 def _attributes(text: str) -> dict[str, str]:

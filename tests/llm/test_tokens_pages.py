@@ -133,6 +133,7 @@ PAGES = [
     ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table><blockquote>q</blockquote></article>", "one\ntwo\na b\nc\nq"),
     ("<article><p><b>Unclosed<br><p>Next</b></p></article>", "Unclosed\nNext"),
     ("<nav>only a menu</nav><footer>foot</footer>", ""),
+    ("<article><p title='hidden class=ad' style=\"overflow: hidden\">Seen</p><p hidden>not seen</p></article>", "Seen"),
     ("<article>" + "<p>word</p>" * 5000 + "</article>", "\n".join(["word"] * 5000)),
 ]
 
