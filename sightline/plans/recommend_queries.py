@@ -217,7 +217,7 @@ def _matched(spark, sf):
 
 
 def _agg(spark, sf):
-    return rc.aggregate_comments(_matched(spark, sf), PURP, SUBJ, CSEQ)
+    return rc.aggregate_comments(_lookup(spark, sf), fx.v_comments(spark, sf), PURP, SUBJ, CSEQ)
 
 
 @register("comments_for_similar", W("SELECT query_line, similar_line, conv_id, turn FROM matched", *_LOOKUP_CTES))
