@@ -72,4 +72,16 @@ def cut_lineage(df):
     spark = df.sparkSession
     path = checkpoint_dir(spark).rstrip("/") + "/sightline-tables/" + uuid.uuid4().hex
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables) -> None:
+    """Delete the files of tables that ``cut_lineage`` wrote, once nothing reads them any more."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path:
+            sc = t.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
