@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +38,11 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def has_unique_ids(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` modulo 2**64 for i < n, kept for the next call of this worker."""
     have = _powers.get(base)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         hook = both.groupBy("a").agg(F.min(key).alias("m")).select(F.col("a").alias("node"), F.least("m", own)["to"].alias("to"))
         hook = cut_lineage(hook)
         jump = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        hook = cut_lineage(hook.join(jump, "to").select("node", F.col("far").alias("to")))
+        near, hook = hook, cut_lineage(hook.join(jump, "to").select("node", F.col("far").alias("to")))
+        before = links, near, hook, found
         if found is None:
             found = hook.withColumnRenamed("to", "component")
         else:
@@ -35,6 +36,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         right = hook.select(F.col("node").alias("b"), F.col("to").alias("pb"))
         links = cut_lineage(links.join(left, "a").join(right, "b").where("pa <> pb")
                             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        release(*before)
         round_no += 1
     if found is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -63,14 +63,20 @@ def dedup_batch(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """``docs`` (all columns) without the rows whose text another row of the batch, or the index, keeps.
 
-    The rows are numbered in a written table, and the numbers that stay are unique, so the one shuffle of texts (the
-    semi join) is even whatever the groups' sizes; a clashing column name cannot arise, rows travel as one struct."""
+    Digests alone are grouped and met with the index; then one semi join on the unique (digest, doc_id) of the rows
+    that stay shuffles the texts, evenly whatever the groups' sizes.  Only where rows repeat such a pair, one row of
+    each is picked in a further step.  Rows travel as one struct, so column names cannot clash."""
     index = index or DigestIndex(docs.sparkSession)
-    marked = cut_lineage(docs.select(
-        F.struct(*docs.columns).alias("doc"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
-        F.monotonically_increasing_id().alias("row_no")))
-    groups = marked.groupBy("text_sha256").agg(F.max(F.struct("doc.doc_id", "row_no")).alias("top"),
-                                               F.count(F.lit(1)).alias("group_size"))
-    fresh = cut_lineage(groups.join(index.read().hint("merge"), "text_sha256", "left_anti"))
-    index.append(fresh.select("text_sha256", F.col("top.doc_id").alias("keep_id"), "group_size"))
-    return marked.join(fresh.select("top.row_no"), "row_no", "left_semi").select("doc.*")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest)
+    pairs = rows.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = pairs.groupBy("text_sha256").agg(F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "n")).alias("top"), F.sum("n").alias("group_size"))
+    groups = groups.select("text_sha256", F.col("top.doc_id").alias("keep_id"), F.col("top.n").alias("n"), "group_size")
+    fresh = cut_lineage(groups.join(index.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
+    index.append(fresh)
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), digest)
+    stay = fresh.select(F.col("text_sha256").alias("of"), "keep_id")
+    out = marked.join(stay, (F.col("text_sha256") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    if not fresh.where("n > 1").isEmpty():
+        out = out.groupBy("text_sha256").agg(F.first("doc").alias("doc"))
+    return out.select("doc.*")

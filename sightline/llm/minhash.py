@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import Chunk, chunks, mix
+from ..session import cut_lineage, release
+from .common import Chunk, chunks, has_unique_ids, mix
 from .components import connected_components
 
 SHINGLE = 4
@@ -290,6 +290,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     suspects = cut_lineage(rows.mapInArrow(_suspects(percent, least), rows.drop("bands").schema))
     full = suspects.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = connected_components(links.union(full.mapInArrow(_block_links(percent, least), "a long, b long")))
+    release(sets, buckets, placed, suspects, links)  # the components are stored
     first = found.groupBy("component").agg(F.min("node").alias("component_id"))
     found = found.join(first, "component").select("node", "component_id")
     # every row by its class, then by its class's component
@@ -305,7 +306,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay when one document of each component stays: that with the smallest
-    doc_id, and of rows repeating it, one."""
+    doc_id, and of rows repeating it, one.  Rows without a doc_id of their own are numbered in a stored table first."""
+    if has_unique_ids(docs):
+        told = near_duplicates(docs.select("doc_id", "text"), width, percent).where("kept").select(F.col("doc_id").alias("id"))
+        marked = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+        return marked.join(told, "id", "left_semi").select("doc.*")
     marked = cut_lineage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_no")))
     told = near_duplicates(marked.select(F.col("row_no").alias("doc_id"), "doc.text"), width, percent)
     told = told.select(F.col("doc_id").alias("row_no"), "component_id")

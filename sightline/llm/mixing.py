@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD
+from .common import WORD, has_unique_ids
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -85,8 +85,12 @@ def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, m
 def mixed_documents(docs: DataFrame, seed: int = 7, **weights) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: each row as often as it is taken, whole.  The last copy, which the
     budget cuts, is there when at least half of its words are inside the budget; rows without words are not taken."""
-    marked = cut_lineage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_no")))
-    taken = mix(marked.select(F.col("row_no").alias("doc_id"), "doc.source", "doc.text"), seed, **weights)
+    if has_unique_ids(docs):
+        marked = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("row_no"))
+        taken = mix(docs.select("doc_id", "source", "text"), seed, **weights)
+    else:
+        marked = cut_lineage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_no")))
+        taken = mix(marked.select(F.col("row_no").alias("doc_id"), "doc.source", "doc.text"), seed, **weights)
     copies = (F.col("epochs") + (F.col("cut_words") * 2 >= F.col("size")).cast("long")).cast("int")
     taken = taken.where("size > 0").select(F.col("doc_id").alias("row_no"), copies.alias("copies")).where("copies > 0")
     out = marked.join(taken, "row_no")

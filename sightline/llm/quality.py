@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
 from .common import Chunk, chunks, mix, repeats
@@ -76,16 +77,17 @@ def _counts(c: Chunk) -> list[np.ndarray]:
             c.per_row(doc, last == 46)]
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row_no", "doc_id", *COUNTS]
-    for c in chunks(batches):
-        yield pa.RecordBatch.from_arrays([c.rows.column("row_no"), c.rows.column("doc_id"), *map(pa.array, _counts(c))], names)
+def _measure(carried: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            yield pa.RecordBatch.from_arrays([c.rows.column(carried), *map(pa.array, _counts(c))], [carried, *COUNTS])
+    return run
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``COUNTS`` of every whole text, with row_no (given) and doc_id."""
-    schema = "row_no long, doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select("row_no", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure, schema)
+def measure(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """``COUNTS`` of every whole ``text``, beside one more column of ``docs``."""
+    schema = StructType([docs.schema[carried], *(StructField(c, LongType()) for c in COUNTS)])
+    return docs.select(carried, "text").mapInArrow(_measure(carried), schema)
 
 
 def votes(counts: DataFrame, rules: dict = RULES) -> DataFrame:
@@ -128,34 +130,34 @@ def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[np
     return 1 - bad, np.stack([right[-1], right[1]])
 
 
-def judge(docs: DataFrame, rules: dict = RULES, keep: float = KEEP) -> DataFrame:
-    """Per row of ``docs`` (with a unique row_no): row_no, doc_id, ``COUNTS``, votes, base_failed, quality (posterior
-    probability of good) and kept."""
-    spark = docs.sparkSession
-    measured = cut_lineage(votes(measure(docs), rules))
+def verdicts(voted: DataFrame, rules: dict = RULES) -> DataFrame:
+    """The posterior probability of good (``quality``) of every vote pattern in ``voted``: at most one row per pattern."""
     names = ["vote_" + r for r in rules]
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = measured.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** len(rules) rows
+    rows = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** len(rules) rows
     patterns = np.array([[x[c] for c in names] for x in rows], int).reshape(len(rows), len(names))
     good, _ = estimate(patterns, np.array([x["n"] for x in rows], float))
-    told = spark.createDataFrame([(*map(int, p), float(g)) for p, g in zip(patterns, good)],
-                                 ", ".join(f"{c} int" for c in names) + ", quality double")
-    out = measured.join(F.broadcast(told), names)
-    return out.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))
+    return voted.sparkSession.createDataFrame([(*map(int, p), float(g)) for p, g in zip(patterns, good)],
+                                              ", ".join(f"{c} int" for c in names) + ", quality double")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_no", F.monotonically_increasing_id())
+def judged(voted: DataFrame, told: DataFrame, rules: dict = RULES, keep: float = KEEP) -> DataFrame:
+    """``voted`` with quality, base_failed and kept."""
+    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    out = voted.join(F.broadcast(told), ["vote_" + r for r in rules]).withColumn("base_failed", base_failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    out = judge(numbered(docs.select("doc_id", "text")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      "kept", "quality")
+    """Per row of ``docs``: doc_id, the base counts, base_failed, kept and quality."""
+    voted = cut_lineage(votes(measure(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))))
+    return judged(voted, verdicts(voted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                                 "base_failed", "kept", "quality")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns."""
-    marked = cut_lineage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row_no")))
-    kept = judge(marked.select("row_no", "doc.doc_id", "doc.text")).where("kept").select("row_no")
-    return marked.join(kept, "row_no", "left_semi").select("doc.*")
+    """The rows of ``docs`` that the rules keep, all columns.  Texts are read and measured twice (once for the votes
+    of all rows, once to let the kept rows through) and never shuffled or stored."""
+    voted = votes(measure(docs.select("doc_id", "text")))
+    told = verdicts(voted)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return judged(votes(measure(rows, "doc")), told).where("kept").select("doc.*")

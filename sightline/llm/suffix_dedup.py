@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import dense_index
 from ..session import cut_lineage
-from .common import Chunk, chunks
+from .common import Chunk, chunks, has_unique_ids
 
 LENGTH = 100
 GRAM = 30
@@ -283,7 +283,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     """(doc, doc_id, text): ``doc`` orders the documents.  It is the doc_id itself where ids are unique; else the place
     in the order of (doc_id, text hash, row)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+    if has_unique_ids(own):
         return own.select(F.col("doc_id").alias("doc"), "doc_id", "text")
     marked = cut_lineage(own.withColumn("row_no", F.monotonically_increasing_id()))
     keys = marked.select("row_no", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"))
