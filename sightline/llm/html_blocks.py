@@ -3,8 +3,9 @@
 Markup is stripped into lines: one per block of text, and ``WIDTH`` empty lines wherever a boilerplate element (menu,
 header, footer, sidebar, notice, advert, form, comments) was.  A line weighs the characters of its text outside links.
 The sums over ``WIDTH`` consecutive lines rise from zero where a run of text begins (surge) and fall to zero where it
-ends (dive); the text between a surge and its dive is a section.  The heaviest section tells which container of the
-page holds the article; all sections of that container are the main text, so an advert in mid-article costs nothing.
+ends (dive); the text between a surge and its dive is a section.  The main text is every section, whatever its weight,
+of the outermost article and main elements, or where these hold less than half of the page's text, of the smallest
+element that holds all of it: an advert in mid-article, a title or a tail outside an inner element costs nothing.
 
 Defined results: null, empty and text-free pages give the empty text; unclosed tags, comments and entities are read as
 browsers do; a page in plain text is one section; repeated pages give repeated rows.
@@ -41,6 +42,8 @@ BLOCK = {"html", "body", "p", "div", "section", "article", "main", "header", "fo
          "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "blockquote", "pre", "figure",
          "figcaption", "form", "fieldset", "address", "details", "summary", "hr", "br", "center", "dir", "menu", "hgroup", "legend", "dialog"}
 CELL = {"td", "th"}
+#: Elements that may be the whole of an article.
+CONTAINERS = {"body", "div", "section", "article", "main", "table", "td", "center"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: A start tag of these ends an open element of the same group inside the nearest list, table or block.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -74,13 +77,15 @@ def _is_side(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
 
 
 class Lines:
-    """The lines of a page: text, weight and the container (number of the innermost article-like element, 0: none)."""
+    """The lines of a page: text, weight and the innermost container (its number in order of the page, 0: the page)."""
 
     def __init__(self, page: str):
         self.text: list[str] = []
         self.weight: list[int] = []
         self.container: list[int] = []
-        self.parent = {0: 0}
+        self.parent = [0]  # container -> the one around it
+        self.core = [False]  # container -> it is or lies in an article, a main element or one named so
+        self.outer = [False]  # container -> it is or lies in an article or main element
         self._parts: list[str] = []
         self._plain: list[str] = []
         self._stack: list[tuple[str, bool, int]] = []  # tag, opens boilerplate, container
@@ -143,16 +148,19 @@ class Lines:
         if tag in VOID:
             return
         here = self._here()
-        side = _is_side(tag, attrs, here > 0)
+        side = _is_side(tag, attrs, self.core[here])
         if side and not self._side:
             self._end_line()
             self._gap()
-        named = MAIN_WORDS.search(attrs.get("class", "") + " " + attrs.get("id", "")) or attrs.get("role", "").lower() in ("main", "article")
-        if tag in MAIN or named and tag in ("div", "section", "td"):
-            self._end_line()
-            inner = len(self.parent)
-            self.parent[inner] = here
-            here = inner
+        if tag in CONTAINERS:
+            if tag not in CELL:
+                self._end_line()
+            main = tag in MAIN or attrs.get("role", "").lower() in ("main", "article")
+            named = tag in ("div", "section", "td") and MAIN_WORDS.search(attrs.get("class", "") + " " + attrs.get("id", ""))
+            self.parent.append(here)
+            self.core.append(self.core[here] or main or bool(named))
+            self.outer.append(self.outer[here] or main)
+            here = len(self.parent) - 1
         self._side += side
         self._unseen += tag in UNSEEN
         self._links += tag == "a"
@@ -209,29 +217,22 @@ def main_text(page: str | None) -> str:
     found = sections([w or (1 if t else 0) for w, t in zip(lines.weight, lines.text)])
     if not found:
         return ""
-    s, e = max(found, key=lambda x: (sum(lines.weight[x[0]:x[1]]), -x[0]))
-    heavy: dict[int, int] = {}
-    for i in range(s, e):
-        if lines.text[i]:
-            c = lines.container[i]
-            while True:  # a container's text counts for those around it
-                heavy[c] = heavy.get(c, 0) + lines.weight[i]
-                if c == 0:
-                    break
-                c = lines.parent[c]
-    # the innermost container that has nearly all of the heaviest section
-    best = max((c for c in heavy if heavy[c] >= 0.8 * heavy[0]), key=lambda c: (c != 0, c)) if heavy else 0
-    if best:
-        def inside(c: int) -> bool:
-            while c > 0 and c != best:
-                c = lines.parent[c]
-            return c == best
-        keep = [t for t, c in zip(lines.text, lines.container) if t and inside(c)]
+    heavy = [0] * len(lines.parent)
+    for w, c in zip(lines.weight, lines.container):
+        if c >= 0:
+            heavy[c] += w
+    outer = [c for c, o in enumerate(lines.outer) if o]
+    if 2 * sum(heavy[c] for c in outer) >= sum(heavy) and any(heavy[c] for c in outer):
+        inside = lines.outer
     else:
-        # no container tells: sections with running text, by their share of the heaviest
-        least = 0.1 * sum(lines.weight[s:e])
-        keep = [t for a, b in found if sum(lines.weight[a:b]) >= least for t in lines.text[a:b] if t]
-    return "\n".join(keep)
+        for c in range(len(heavy) - 1, 0, -1):  # a container's text counts for those around it
+            heavy[lines.parent[c]] += heavy[c]
+        # those that hold all lie in each other
+        best = max(c for c, w in enumerate(heavy) if w == heavy[0]) if heavy[0] else 0
+        inside = [c == best for c in range(len(heavy))]
+        for c in range(best + 1, len(heavy)):
+            inside[c] = inside[lines.parent[c]]
+    return "\n".join(lines.text[i] for a, b in found for i in range(a, b) if lines.text[i] and inside[lines.container[i]])
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

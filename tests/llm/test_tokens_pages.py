@@ -148,6 +148,20 @@ def test_page_text(spark):
     assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_page_text_keeps_all_of_the_article():
+    long = "A sentence of the article that is long enough to weigh. " * 20
+    a, b = long.strip(), "The second half is lighter, and as much a part of the article."
+    for page, want in [
+            (f"<article><h1>Title</h1><div class='entry-content'><p>{a}</p></div><p>tail</p></article>", f"Title\n{a}\ntail"),
+            (f"<article><div class='content'>{a}</div><div class='ad'>x</div><div class='content'>{b}</div></article>", f"{a}\n{b}"),
+            (f"<body><p>{a}</p><div class='ad'>x</div><p>tail</p></body>", f"{a}\ntail"),
+            (f"<body><h1>Title</h1><div class='post'><p>{a}</p></div><p>tail</p></body>", f"Title\n{a}\ntail"),
+            (f"<article><p>{a}</p></article><article><p>{b}</p></article>", f"{a}\n{b}"),
+            (f"<article>teaser</article><div><p>{a}</p></div>", f"teaser\n{a}"),
+            ("<div>" * 3000 + f"<p>{a}</p>", a)]:
+        assert html_blocks.main_text(page) == want
+
+
 def test_sections_are_runs_of_weight():
     rng = random.Random(2)
     for _ in range(200):
