@@ -1,13 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines: one per block of text, and ``WIDTH`` empty lines wherever a boilerplate element (menu,
-header, footer, sidebar, notice, advert, form, comments) was.  A line weighs the characters of its text outside links.
-The sums over ``WIDTH`` consecutive lines rise from zero where a run of text begins (surge) and fall to zero where it
-ends (dive); the text between a surge and its dive is a section.  The main text is every section, whatever its weight,
-of the outermost article and main elements, or where these hold less than half of the page's text, of the smallest
-element that holds all of it: an advert in mid-article, a title or a tail outside an inner element costs nothing.
+header, footer, sidebar, notice, advert, form, comments) was.  A line weighs the characters of its text outside links;
+consecutive lines of links alone weigh nothing, as ``WIDTH`` empty lines, once they have ``WIDTH`` links.
+The sums over ``WIDTH`` consecutive lines rise from zero where a run of text begins and fall to zero where it ends
+(dive); the text between is a section, and it surges if a sum reaches ``SURGE`` or a paragraph or heading is in it.
+The main text is every section, whatever its weight, of the outermost article and main elements, or where these hold
+less than half of the text that surges, of the smallest element that holds all of it: an advert in mid-article, a title
+or a tail outside an inner element costs nothing.  Names of classes and ids tell boilerplate only on containers;
+inside an article only unmistakable ones, and never on its sections.
 
-Defined results: null, empty and text-free pages give the empty text; unclosed tags, comments and entities are read as
+Defined results: null, empty and text-free pages and pages of link lists alone give the empty text; unclosed tags, comments and entities are read as
 browsers do; a page in plain text is one section; repeated pages give repeated rows.
 """
 
@@ -23,18 +26,30 @@ from pyspark.sql import functions as F
 
 #: Lines in a window, and empty lines in place of a boilerplate element: a run of text always dives there.
 WIDTH = 3
+#: Characters outside links in a window that make a section running text without a paragraph or heading in it.
+SURGE = 30
+#: Part of a line's letters and digits that is outside links; a line with less is a line of links.
+PROSE_SHARE = 1 / 3
 #: Elements whose content is never text of the page.
 UNSEEN = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "head", "title", "select", "textarea",
           "button", "canvas", "audio", "video", "map", "datalist", "applet", "noframes"}
 #: Elements that are never part of an article.
 SIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "alertdialog", "menu", "menubar"}
+#: Elements that a class or id may name as boilerplate, outside and inside of an article.
+NAMED = {"div", "section", "header", "ul", "ol", "dl", "li", "table", "tr", "td", "center", "details", "figure", "a"}
+NAMED_INSIDE = {"div", "ul", "ol", "dl", "table", "center"}
 #: Words of a class or id that name a boilerplate element.
 SIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|"
     r"sidebar|side|rail|footer|masthead|topbar|site-?header|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
     r"comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|newsletter|subscribe|subscription|signup|"
     r"login|search|related|recommended|recommendations|widget|pagination|pager|toolbar|skip|paywall|form)(?=$|[\s_-])", re.I)
+#: Those of them that name no part of an article either.
+SURE_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|nav|navbar|navigation|menubar|breadcrumbs?|sidebar|masthead|topbar|"
+    r"site-?header|cookies?|consent|gdpr|popup|modal|comments?|commentlist|disqus|share|sharing|newsletter|subscribe|signup|login|"
+    r"recommended|recommendations|widget|pagination|pager|toolbar|paywall)(?=$|[\s_-])", re.I)
 #: Words of a class or id that name an article's container; such an element is kept whatever else its name says.
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?=$|[\s_-])", re.I)
 MAIN = {"article", "main"}
@@ -42,6 +57,8 @@ BLOCK = {"html", "body", "p", "div", "section", "article", "main", "header", "fo
          "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "blockquote", "pre", "figure",
          "figcaption", "form", "fieldset", "address", "details", "summary", "hr", "br", "center", "dir", "menu", "hgroup", "legend", "dialog"}
 CELL = {"td", "th"}
+#: Elements that mark running text, however short.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that may be the whole of an article.
 CONTAINERS = {"body", "div", "section", "article", "main", "table", "td", "center"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -67,11 +84,12 @@ def _is_side(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" \
             or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
-    if tag == "main":
+    if tag not in (NAMED_INSIDE if in_main else NAMED):
         return False
+    words = SURE_WORDS if in_main or tag == "section" else SIDE_WORDS
     for name in (attrs.get("class", ""), attrs.get("id", "")):
         name = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)
-        if SIDE_WORDS.search(name) and not (MAIN_WORDS.search(name) and not re.search(r"comment|advert|share|related|footer|header|nav", name, re.I)):
+        if words.search(name) and not (MAIN_WORDS.search(name) and not re.search(r"comment|advert|share|related|footer|header|nav", name, re.I)):
             return True
     return False
 
@@ -82,6 +100,8 @@ class Lines:
     def __init__(self, page: str):
         self.text: list[str] = []
         self.weight: list[int] = []
+        self.links: list[int] = []  # links of a line of links, 0 in any other
+        self.prose: list[bool] = []  # in a paragraph or heading
         self.container: list[int] = []
         self.parent = [0]  # container -> the one around it
         self.core = [False]  # container -> it is or lies in an article, a main element or one named so
@@ -89,9 +109,11 @@ class Lines:
         self._parts: list[str] = []
         self._plain: list[str] = []
         self._stack: list[tuple[str, bool, int]] = []  # tag, opens boilerplate, container
-        self._side = self._unseen = self._links = 0
+        self._side = self._unseen = self._links = self._linked = self._prose = 0
+        self._fresh = False
         self._read(page)
         self._end_line()
+        self._dive()
 
     def _here(self) -> int:
         return self._stack[-1][2] if self._stack else 0
@@ -100,15 +122,37 @@ class Lines:
         if self._parts:
             line = " ".join(html.unescape("".join(self._parts)).split())
             if line:
+                plain = " ".join(html.unescape("".join(self._plain)).split())
+                of_links = self._linked and sum(map(str.isalnum, plain)) < PROSE_SHARE * sum(map(str.isalnum, line))
                 self.text.append(line)
-                self.weight.append(len(" ".join(html.unescape("".join(self._plain)).split())))
+                self.weight.append(0 if of_links else len(plain))
+                self.links.append(self._linked if of_links else 0)
+                self.prose.append(self._prose > 0)
                 self.container.append(self._here())
-            self._parts, self._plain = [], []
+            self._parts, self._plain, self._linked = [], [], 0
+
+    def _dive(self) -> None:
+        """Makes ``WIDTH`` empty lines of every run of link lines that has as many links."""
+        at, end = 0, len(self.text)
+        rows: list[tuple] = []
+        while at < end:
+            to = at
+            while to < end and self.links[to]:
+                to += 1
+            if sum(self.links[at:to]) >= WIDTH:
+                rows += [("", 0, 0, False, -1)] * WIDTH
+            else:
+                to = max(to, at + 1)
+                rows += zip(self.text[at:to], self.weight[at:to], self.links[at:to], self.prose[at:to], self.container[at:to])
+            at = to
+        self.text, self.weight, self.links, self.prose, self.container = map(list, zip(*rows)) if rows else ([], [], [], [], [])
 
     def _gap(self) -> None:
         for _ in range(WIDTH):
             self.text.append("")
             self.weight.append(0)
+            self.links.append(0)
+            self.prose.append(False)
             self.container.append(-1)
 
     def _say(self, text: str) -> None:
@@ -116,6 +160,9 @@ class Lines:
             self._parts.append(text)
             if not self._links:
                 self._plain.append(text)
+            elif self._fresh and not text.isspace():
+                self._linked += 1
+                self._fresh = False
 
     def _pop(self, to: int) -> None:
         for tag, side, _ in reversed(self._stack[to:]):
@@ -124,6 +171,7 @@ class Lines:
             self._side -= side
             self._unseen -= tag in UNSEEN
             self._links -= tag == "a"
+            self._prose -= tag in PROSE
         del self._stack[to:]
 
     def _open(self, tag: str, attrs: dict[str, str]) -> None:
@@ -144,6 +192,8 @@ class Lines:
         if tag in BLOCK:
             self._end_line()
         elif tag in CELL:
+            if self._linked >= WIDTH and not "".join(self._plain).strip():
+                self._end_line()  # a cell of links beside the article's
             self._say(" ")
         if tag in VOID:
             return
@@ -164,6 +214,8 @@ class Lines:
         self._side += side
         self._unseen += tag in UNSEEN
         self._links += tag == "a"
+        self._fresh = self._fresh or tag == "a"  # a link that has no text yet
+        self._prose += tag in PROSE
         self._stack.append((tag, side, here))
 
     def _close(self, tag: str) -> None:
@@ -213,14 +265,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = Lines(page)
-    # a line of links alone still stands between its neighbours
-    found = sections([w or (1 if t else 0) for w, t in zip(lines.weight, lines.text)])
+    # one or two links alone still stand between their neighbours
+    weight = [w or (1 if t else 0) for w, t in zip(lines.weight, lines.text)]
+    found = sections(weight)
     if not found:
         return ""
     heavy = [0] * len(lines.parent)
-    for w, c in zip(lines.weight, lines.container):
-        if c >= 0:
-            heavy[c] += w
+    surging = [(a, b) for a, b in found if any(lines.prose[a:b]) or max(sum(weight[i:i + WIDTH]) for i in range(a, b)) >= SURGE]
+    for a, b in surging or found:
+        for i in range(a, b):
+            if lines.text[i]:
+                heavy[lines.container[i]] += lines.weight[i]
     outer = [c for c, o in enumerate(lines.outer) if o]
     if 2 * sum(heavy[c] for c in outer) >= sum(heavy) and any(heavy[c] for c in outer):
         inside = lines.outer

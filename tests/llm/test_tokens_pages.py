@@ -162,6 +162,22 @@ def test_page_text_keeps_all_of_the_article():
         assert html_blocks.main_text(page) == want
 
 
+def test_page_text_weighs_text_outside_links():
+    a = ("A sentence of the article that is long enough to weigh. " * 20).strip()
+    links = [f"<a href='/{w}'>{w}</a>" for w in ("Home", "World news", "Sport", "Contact us")]
+    for page, want in [
+            ("<body><div class='top'>" + "<br>".join(links) + f"</div><div id='text'><h1>Title</h1><p>{a}</p></div></body>", f"Title\n{a}"),
+            ("<body><div class='top'>" + " | ".join(links) + f"</div><div id='text'>{a}</div><div>{' '.join(links)}</div><div>(c) us</div>", a),
+            ("<table><tr>" + "".join(f"<td>{x}" for x in links) + f"</table><div id='text'><p>{a}</p></div>", a),
+            ("<table><tr><td>" + " ".join(links) + f"<td>{a}</table>", a),
+            ("".join(f"<p>{x}</p>" for x in links), ""),
+            (f"<article><h1><a href='/'>Title</a></h1><p>{a} {links[0]}</p><p>{links[1]}</p></article>", f"Title\n{a} Home\nWorld news"),
+            (f"<article><section id='discussion'><p>{a}</p></section><section id='related-work'><h2 id='search'>Old work</h2>"
+             "<p class='form'>Short.</p></section><div class='share'>Tell all</div></article>", f"{a}\nOld work\nShort."),
+            (f"<body><section id='discussion'><h2 class='side'>Talk</h2><p>{a}</p></section><div class='related'>More</div></body>", f"Talk\n{a}")]:
+        assert html_blocks.main_text(page) == want
+
+
 def test_sections_are_runs_of_weight():
     rng = random.Random(2)
     for _ in range(200):
