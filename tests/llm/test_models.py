@@ -73,6 +73,46 @@ def test_quality_estimate_matches_enumeration():
     assert right.shape == (2, 3)
 
 
+def test_quality_data_move_accuracies_and_overturn_a_vote():
+    names = list(quality.RULES)
+    one = lambda **v: [v.get(r, 0) for r in names]
+    good = {r: 1 for r, x in quality.RULES.items() if x[2] == 1}
+    table_like, junk = one(symbols=-1, **good), one(symbols=-1, varied_words=1)
+    rest = [(one(**good), 5000), (one(shouting=-1, exclamations=-1), 150), (one(repeated_words=-1, repeated_lines=-1), 150)]
+    told, right = {}, {}
+    for name, tables in (("few", 1), ("many", 300)):
+        rows = [*rest, (junk, 100), (table_like, tables)]
+        p, r = quality.estimate(np.array([x for x, _ in rows]), np.array([k for _, k in rows], float))
+        told[name], right[name] = dict(zip((tuple(x) for x, _ in rows), p)), r[0, names.index("symbols")]
+    assert right["few"] > 0.9 and right["many"] < 0.5
+    assert told["many"][tuple(table_like)] > 0.9
+    assert all(t[tuple(junk)] < 0.1 and t[tuple(one(**good))] > 0.9 and t[tuple(rest[1][0])] < 0.1 for t in told.values())
+
+
+def test_quality_single_votes_on_clean_texts(spark):
+    """Tables with bars, refrains and non-Latin text with Latin acronyms: kept, beside junk that is dropped."""
+    rng = random.Random(6)
+    v = ["the", "of", "and", "to", "in"] * 8 + ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(3, 9))) for _ in range(120)]
+    say = lambda k: " ".join(" ".join(rng.choice(v) for _ in range(9)) + "." for _ in range(k))
+    clean = [say(9) for _ in range(300)]
+    tables = ["\n".join(" | ".join(" ".join(say(1).split()[:3]) for _ in range(3)) for _ in range(9)) for _ in range(40)]
+    shout = [say(9).upper().replace(".", "!!") for _ in range(20)]
+    marks = [" ".join(w + "###" for w in say(9).split()) for _ in range(20)]
+    cyrillic = ["Это пример текста про СССР и " + "слова разные здесь идут подряд. " + " ".join(
+        "".join(rng.choice("абвгдежзик") for _ in range(rng.randint(3, 8))) for _ in range(60)) + " NATO USA EU." for _ in range(20)]
+    texts = clean + tables + shout + marks + cyrillic
+    kind = ["clean"] * 300 + ["tables"] * 40 + ["shout"] * 20 + ["marks"] * 20 + ["cyrillic"] * 20
+    rows = quality.quality_report(frame(spark, list(enumerate(texts)))).collect()
+    share = {k: np.mean([r.kept for r in rows if kind[r.doc_id] == k]) for k in set(kind)}
+    assert share["clean"] > 0.98 and share["tables"] > 0.9 and share["cyrillic"] == 1 and share["shout"] == share["marks"] == 0, share
+
+
+def test_letters_of_all_scripts():
+    text = "aB1 éÉ жЖ 中文 𠀀 𝐀 ال ñ-ß"
+    letter, upper = quality._letters(np.frombuffer(text.encode(), np.uint8))
+    assert letter.sum() == sum(map(str.isalpha, text)) and upper.sum() == sum(map(str.isupper, text))
+
+
 # --- mixing ------------------------------------------------------------------
 
 def test_mix_targets_and_budgets(spark):
