@@ -5,8 +5,11 @@ equal windows are always in one bucket.  A run of windows of one bucket (a piece
 are equal as a whole need no sorting: all but the first are repeats.  Different pieces of one bucket travel with their
 bytes, and a task sorts one block of buckets at a time: suffixes are ordered by their first bytes, and long ties are
 resolved by the ranks of the difference cover's sample, computed before for that block by doubling.  Neighbours in
-that order that agree in LENGTH bytes are one class; all but its earliest window are repeats.  A block's memory is a
-small multiple of BLOCK_BYTES, or of one bucket's different pieces.
+that order that agree in LENGTH bytes are one class; all but its earliest window are repeats.
+
+A bucket whose different pieces exceed BUCKET_BYTES is given up: its windows alone are cut again, named by the smallest
+hash of longer substrings, and at last by the hash of the whole window, where only equal windows meet.  Equal windows
+get equal names at every level.  So a block's memory is a small multiple of BLOCK_BYTES + BUCKET_BYTES.
 
 Defined results: null counts as empty; texts below LENGTH bytes lose nothing; rows that share a doc_id (or have none)
 are documents of their own, in the order of doc_id (null first), text hash, row; an empty table gives no rows.
@@ -31,6 +34,7 @@ GRAM = 30
 #: A perfect difference set: every difference modulo PERIOD is one of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 BLOCK_BYTES = 1 << 20
+BUCKET_BYTES = 8 << 20
 
 _IN = np.isin(np.arange(PERIOD), COVER)
 #: SHIFT[a, b]: the least shift that takes positions of residues a and b into the cover together.
@@ -48,17 +52,38 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
 
 
-def pieces(c: Chunk, length: int, gram: int):
-    """Bucket, hash, row, start, windows and self (may repeat inside itself) of the pieces of a chunk's rows."""
+def grams(length: int, gram: int) -> list[int]:
+    """Bytes of the substrings that name the buckets of each level."""
+    return [gram, (gram + length) // 2, length]
+
+
+def smallest(c: Chunk, length: int, gram: int) -> np.ndarray:
+    """Smallest hash of the substrings of every window."""
+    at = np.arange(len(c.data) - gram + 1)
+    return sliding_min(c.span_hashes(at, at + gram), length - gram + 1)
+
+
+def pieces(c: Chunk, length: int, gram: int, hot: list[np.ndarray] = ()):
+    """Bucket, hash, row, start, windows and self (may repeat inside itself) of the pieces of a chunk's rows, at the level
+    after those of ``hot``: the sorted names of the buckets that each level gave up, whose windows alone are cut."""
     none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
     if len(c.data) < length:
         return none
+    left = None
+    for names, g in zip(hot, grams(length, gram)):
+        in_hot = np.isin(smallest(c, length, g), names)
+        left = in_hot if left is None else left & in_hot
+    if left is not None and not left.any():
+        return none
+    gram = grams(length, gram)[len(hot)]
     width = length - gram + 1
     at = np.arange(len(c.data) - gram + 1)
-    low = sliding_min(c.span_hashes(at, at + gram), width)
+    low = smallest(c, length, gram)
     h = c.span_hashes(at, at + gram)
     row = np.repeat(np.arange(c.n), np.diff(c.offs))
     whole = row[:len(low)] == row[length - 1:]  # windows that stay in a row
+    if left is not None:
+        whole &= left
     new = whole.copy()
     new[1:] &= ~whole[:-1] | (low[1:] != low[:-1]) | (row[1:len(low)] != row[:len(low) - 1])
     start = np.flatnonzero(new)
@@ -76,10 +101,10 @@ def pieces(c: Chunk, length: int, gram: int):
     return (low[start], c.span_hashes(start, end + length - 1), row[start], start - c.offs[row[start]], end - start, first != last)
 
 
-def _cut(length: int, gram: int):
+def _cut(length: int, gram: int, hot: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            bucket, same, row, start, n, self_ = pieces(c, length, gram)
+            bucket, same, row, start, n, self_ = pieces(c, length, gram, hot)
             doc = c.rows.column("doc").to_numpy()[row]
             yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(same.view(np.int64)), pa.array(doc),
                                               pa.array(start.astype(np.int32)), pa.array((n.astype(np.int32) << 1) | self_)],
@@ -291,16 +316,36 @@ def numbered(docs: DataFrame) -> DataFrame:
     return marked.join(place, "row_no").select("doc", "doc_id", "text")
 
 
+def bucket_hits(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The pieces told by ``_meet``, in buckets of at most ``BUCKET_BYTES`` of open pieces; only at the last level, where
+    a name is a window's own hash, more could be open (runs of one byte, one of each length)."""
+    out, hot = None, []
+    levels = len(grams(length, gram))
+    rows = texts.select("doc", "text").where(F.octet_length("text") >= length)
+    while True:
+        cut = rows.mapInArrow(_cut(length, gram, hot), "bucket long, same long, doc long, start int, n2 int")
+        hits = cut.repartition("bucket").sortWithinPartitions("bucket", "same", "doc", "start")
+        hits = cut_lineage(hits.mapInArrow(_meet, "bucket long, doc long, start int, n int, open boolean"))
+        big = hits.where("open").groupBy("bucket").agg(F.sum(F.col("n") + length - 1).alias("bytes")).where(F.col("bytes") > BUCKET_BYTES)
+        names = [r["bucket"] for r in big.select("bucket").collect()] if len(hot) < levels - 1 else []  # one per BUCKET_BYTES at most
+        if names:
+            given_up = F.broadcast(texts.sparkSession.createDataFrame([(x,) for x in names], "bucket long"))
+            kept = hits.join(given_up, "bucket", "left_anti")
+        else:
+            kept = hits
+        out = kept if out is None else out.unionAll(kept)
+        if not names:
+            return out
+        hot = [*hot, np.sort(np.array(names, np.int64).view(np.uint64))]
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, after every byte is removed that a string
     of ``length`` bytes covers which also starts earlier."""
     if not 2 * PERIOD <= length or not 0 < gram <= length:
         raise ValueError("length must be at least two periods of the cover, and gram at most length")
     texts = numbered(docs)
-    cut = texts.select("doc", "text").where(F.octet_length("text") >= length) \
-        .mapInArrow(_cut(length, gram), "bucket long, same long, doc long, start int, n2 int")
-    hits = cut.repartition("bucket").sortWithinPartitions("bucket", "same", "doc", "start")
-    hits = cut_lineage(hits.mapInArrow(_meet, "bucket long, doc long, start int, n int, open boolean"))
+    hits = bucket_hits(texts, length, gram)
     want = hits.where("open").groupBy("doc").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("want"))
     opened = texts.select("doc", "text").join(want, "doc").mapInArrow(
         _fetch(length), "bucket long, doc long, start int, n int, bytes binary")

@@ -146,6 +146,28 @@ def test_substrings(spark, monkeypatch, seed, length, gram, block):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want and len(got) == len(docs)
 
 
+@pytest.mark.parametrize("shared,bound", [(30, 4000), (95, 4000), (95, 300)])
+def test_substrings_hot_buckets_are_cut_again(spark, monkeypatch, shared, bound):
+    """A line in most documents, each with other neighbours: no bucket keeps more than the bound, no repeat is lost."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bound)
+    rng = random.Random(shared)
+    say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    line, passage = say(shared), say(140)
+    docs = [(i, say(rng.randint(0, 150)) + line + say(rng.randint(0, 150)) + (passage if i % 9 == 0 else "")) for i in range(120)]
+    docs += [(500 + i, "z" * (110 + i) + line + docs[i][1][-60:]) for i in range(20)] + [(600, docs[3][1]), (601, docs[3][1] + line + "y")]
+    got = suffix_dedup.remove_repeats(frame(spark, docs)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(docs, suffix_dedup.LENGTH)
+    hits = suffix_dedup.bucket_hits(suffix_dedup.numbered(frame(spark, docs)), suffix_dedup.LENGTH, suffix_dedup.GRAM).where("open")
+    of_bucket = {}
+    for r in hits.collect():
+        of_bucket.setdefault(r.bucket, []).append((r.doc, r.start, r.n))
+    texts = dict(docs)
+    for held in of_bucket.values():
+        one_byte = all(len(set(texts[d][x:x + n + 99])) == 1 for d, x, n in held)
+        assert one_byte or sum(n + 99 for _, _, n in held) <= bound
+    assert of_bucket
+
+
 def test_substrings_repeated_ids(spark):
     t = "".join(chr(97 + (i * i) % 26) + str(i) for i in range(120))
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed > 0) for r in suffix_dedup.remove_repeats(
