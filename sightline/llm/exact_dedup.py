@@ -1,6 +1,7 @@
 """Exact deduplication against a persistent digest index (DataFrame functions only).
 
-The index is a table of (digest, keep_id, group_size), bucketed and sorted by digest, in the shared folder.  A batch
+The index is a table of (digest, keep_id, group_size), bucketed and sorted by digest, in the shared folder; its
+number of buckets is written beside its files, so any later session opens the folder as the same table.  A batch
 is reduced to one row per digest before any join, met with the index by a sort-merge join on the bucketed digest,
 and the digests that the index lacks (a sort-merge anti-join) are appended.
 
@@ -11,6 +12,7 @@ doc_id that the index holds.  An empty batch changes nothing and returns no rows
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +24,51 @@ SCHEMA = "text_sha256 string, keep_id long, group_size long"
 
 
 class DigestIndex:
-    """A digest index under ``path``; each append adds sorted files to every bucket."""
+    """A digest index under ``path``; each append adds sorted files to every bucket.  A folder that holds an index is
+    opened with the digests and the number of buckets that it has; without ``path`` the index is a new one."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = "digest_index_" + uuid.uuid4().hex
-        self.path = path or f"{checkpoint_dir(spark).rstrip('/')}/sightline-tables/{self.name}"
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-        self.append(spark.createDataFrame([], SCHEMA))
+        fresh = "digest_index_" + uuid.uuid4().hex
+        place = self._path(path or f"{checkpoint_dir(spark).rstrip('/')}/sightline-tables/{fresh}")
+        self.path = place.toString()
+        self.name = "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:32]
+        held = self._held(place)
+        if held and buckets and buckets != held:
+            raise ValueError(f"{self.path} has {held} buckets, not {buckets}")
+        self.buckets = held or buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        if not held:
+            self._fs(place).mkdirs(place)
+            self._fs(place).create(self._child(place, f"_buckets_{self.buckets}"), False).close()
+        if spark.catalog.tableExists(self.name):
+            if held:
+                spark.catalog.refreshTable(self.name)
+                return
+            spark.sql(f"DROP TABLE {self.name}")  # the folder behind it is gone
+        where = self.path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {self.name} ({SCHEMA}) USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) "
+                  f"INTO {self.buckets} BUCKETS LOCATION '{where}'")
+
+    def _path(self, text: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
+        return self._fs(path).makeQualified(path)
+
+    def _child(self, path, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path, name)
+
+    def _fs(self, path):
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _held(self, path) -> int:
+        """The number of buckets of the index in a folder; 0 where there is none."""
+        fs = self._fs(path)
+        if not fs.exists(path):
+            return 0
+        names = [x.getPath().getName() for x in fs.listStatus(path)]
+        told = [int(x.rsplit("_", 1)[1]) for x in names if x.startswith("_buckets_")]
+        if not told and any(not x.startswith(("_", ".")) for x in names):
+            raise ValueError(f"{self.path} holds files but no digest index")
+        return told[0] if told else 0
 
     def append(self, digests: DataFrame) -> None:
         (digests.select("text_sha256", "keep_id", "group_size").repartition(self.buckets, "text_sha256")

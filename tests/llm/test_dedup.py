@@ -70,6 +70,26 @@ def test_exact_index_across_batches(spark):
     assert [r.doc_id for r in exact_dedup.drop_copies(frame(spark, [(8, "b"), (9, "d")]), index).collect()] == [9]
 
 
+def test_exact_index_is_reopened(spark, tmp_path):
+    path = str(tmp_path / "it's an index")
+    exact_dedup.dedup_batch(frame(spark, [(1, "a"), (2, "b")]), exact_dedup.DigestIndex(spark, path, 5)).collect()
+    for forget in (False, True):  # True: a session whose catalog does not know the table
+        if forget:
+            spark.sql(f"DROP TABLE {exact_dedup.DigestIndex(spark, path).name}")
+        index = exact_dedup.DigestIndex(spark, path)
+        assert index.buckets == 5 and index.read().count() == (3 if forget else 2)
+        got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.dedup_batch(frame(spark, [(7, "a"), (8, "c")]), index).collect()}
+        assert got == {7: (1, False), 8: (8, not forget)}
+    assert exact_dedup.DigestIndex(spark, path).read().count() == 3
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 6)
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "x.parquet").write_bytes(b"")
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, str(other))
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
