@@ -90,21 +90,20 @@ def test_quality_data_move_accuracies_and_overturn_a_vote():
 
 
 def test_quality_single_votes_on_clean_texts(spark):
-    """Tables with bars, refrains and non-Latin text with Latin acronyms: kept, beside junk that is dropped."""
+    """Non-Latin text with Latin acronyms is kept, beside junk that is dropped."""
     rng = random.Random(6)
     v = ["the", "of", "and", "to", "in"] * 8 + ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(3, 9))) for _ in range(120)]
     say = lambda k: " ".join(" ".join(rng.choice(v) for _ in range(9)) + "." for _ in range(k))
     clean = [say(9) for _ in range(300)]
-    tables = ["\n".join(" | ".join(" ".join(say(1).split()[:3]) for _ in range(3)) for _ in range(9)) for _ in range(40)]
     shout = [say(9).upper().replace(".", "!!") for _ in range(20)]
     marks = [" ".join(w + "###" for w in say(9).split()) for _ in range(20)]
     cyrillic = ["Это пример текста про СССР и " + "слова разные здесь идут подряд. " + " ".join(
         "".join(rng.choice("абвгдежзик") for _ in range(rng.randint(3, 8))) for _ in range(60)) + " NATO USA EU." for _ in range(20)]
-    texts = clean + tables + shout + marks + cyrillic
-    kind = ["clean"] * 300 + ["tables"] * 40 + ["shout"] * 20 + ["marks"] * 20 + ["cyrillic"] * 20
+    texts = clean + shout + marks + cyrillic
+    kind = ["clean"] * 300 + ["shout"] * 20 + ["marks"] * 20 + ["cyrillic"] * 20
     rows = quality.quality_report(frame(spark, list(enumerate(texts)))).collect()
     share = {k: np.mean([r.kept for r in rows if kind[r.doc_id] == k]) for k in set(kind)}
-    assert share["clean"] > 0.98 and share["tables"] > 0.9 and share["cyrillic"] == 1 and share["shout"] == share["marks"] == 0, share
+    assert share["clean"] > 0.98 and share["cyrillic"] == 1 and share["shout"] == share["marks"] == 0, share
 
 
 def test_letters_of_all_scripts():
