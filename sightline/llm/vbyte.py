@@ -4,7 +4,9 @@ Ids are replaced by their frequency rank in the corpus, so frequent ids take one
 in ascending doc_id order: one control byte for four values (two bits each: bytes - 1), then the values' bytes in
 little-endian order.  Blocks are rows of a Parquet table (control and data as binary columns) under one folder, with
 the table of ranks beside it: every file system that Spark writes to can hold them, and a lost task is written again.
-Decoding looks the four lengths of each control byte up in a table and gathers the bytes with numpy.
+A block's number is its range of documents and its place in it, so blocks of equal documents are told apart; offsets
+are sums inside ranges plus sums over ranges.  Decoding looks the four lengths of each control byte up in a table and
+gathers the bytes with numpy.
 
 Defined results: null and empty texts are documents with the end id only; rows that share a doc_id are documents of
 their own, in the order of their ids' crc32; a null doc_id comes first; an empty table gives an empty folder.
@@ -13,6 +15,7 @@ their own, in the order of their ids' crc32; a null doc_id comes first; an empty
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import uuid
 import zlib
@@ -20,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, release
 from .common import LOWER, Chunk, chunks
 
 END = 1
@@ -36,9 +40,25 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
+#: How a file must normalise and split texts for them to be encoded word by word; others are encoded as whole texts.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+BLOCK_SCHEMA = "part int, seq int, n_values long, docs array<long>, lengths array<long>, control binary, data binary"
+
 _loaded: dict = {}
 
 
+def wordwise(told: dict) -> bool:
+    """Whether a tokenizer's file says that texts are lower-cased and cut at white space and around punctuation."""
+    first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (told.get("normalizer") == WORDWISE["normalizer"] and first.get("type") == "Split" and first.get("invert") is True
+            and first.get("behavior") == "Removed" and (first.get("pattern") or {}).get("Regex") == WORDWISE["split"]
+            and not any(a["normalized"] or not a["content"].startswith("<|") for a in told.get("added_tokens", [])))
+
+
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     v = values.astype(np.uint32)
@@ -68,14 +88,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class Words:
     """A tokenizer and the ids of the words that this worker has met, as sorted hashes and one array of ids.
 
-    White space always separates words, so a text's ids are its words' ids one after the other.  The tokenizer's
-    normalizer lower-cases, so A-Z are lowered first (not in a chunk that may spell a special token), and stops after
-    a letter or digit are a word of their own, as the pre-tokenizer makes them."""
+    With a file that is ``wordwise``, white space always separates words, so a text's ids are its words' ids one after
+    the other; A-Z are lowered first (not in a chunk that may spell a special token), and stops after a letter or digit
+    are a word of their own, as the pre-tokenizer makes them.  With any other file whole texts are encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.wordwise = wordwise(json.loads(self.tokenizer.to_str()))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._clear()
 
@@ -99,6 +120,12 @@ class Words:
     def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk's rows one after the other, and their number per row."""
         raw = c.data
+        if not self.wordwise:
+            text = raw.tobytes()
+            ids = [e.ids for e in self.tokenizer.encode_batch([text[s:e].decode("utf-8", "replace") for s, e in zip(c.offs[:-1], c.offs[1:])],
+                                                              add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(n.sum())), n
         if b"<|" not in raw.tobytes():
             c = Chunk(c.rows, LOWER[raw], c.offs)
         s, e, row = c.words()
@@ -159,28 +186,28 @@ def _counter(kind: str):
 
 def _blocks(kind: str, rank_of: np.ndarray):
     """Rows arrive in order; a block is cut after BLOCK_VALUES values, at the end of a document."""
-    def block(docs, lengths, parts):
+    def block(seq, docs, lengths, parts):
         values = rank_of[np.frombuffer(b"".join(parts), kind)]
         control, data = pack(values)
         return pa.RecordBatch.from_arrays([
-            pa.array([docs[0][0]], pa.int64()), pa.array([docs[0][1]], pa.int64()), pa.array([len(values)], pa.int64()),
-            pa.array([[d for d, _ in docs]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
+            pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(values)], pa.int64()),
+            pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
             pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-            ["first_doc", "first_crc", "n_values", "docs", "lengths", "control", "data"])
+            ["part", "seq", "n_values", "docs", "lengths", "control", "data"])
 
     def run(batches):
-        docs, lengths, parts, held = [], [], [], 0
+        docs, lengths, parts, held, seq = [], [], [], 0, 0
         for b in batches:
-            for d, c, n, ids in zip(*(b.column(k) for k in ("doc_id", "crc", "n_tokens", "ids"))):
-                docs.append((d.as_py(), c.as_py()))
+            for d, n, ids in zip(*(b.column(k) for k in ("doc_id", "n_tokens", "ids"))):
+                docs.append(d.as_py())
                 lengths.append(n.as_py())
                 parts.append(ids.as_buffer())
                 held += lengths[-1]
                 if held >= BLOCK_VALUES:
-                    yield block(docs, lengths, parts)
-                    docs, lengths, parts, held = [], [], [], 0
+                    yield block(seq, docs, lengths, parts)
+                    docs, lengths, parts, held, seq = [], [], [], 0, seq + 1
         if docs:
-            yield block(docs, lengths, parts)
+            yield block(seq, docs, lengths, parts)
     return run
 
 
@@ -189,8 +216,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -
     spark = docs.sparkSession
     words = _tokenizer(tokenizer_path)
     kind, size = words.kind.str, max(words.tokenizer.get_vocab_size(), end + 1)
-    coded = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _encoder(tokenizer_path, end), "doc_id long, n_tokens long, crc long, ids binary"))
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _encoder(tokenizer_path, end), "doc_id long, n_tokens long, crc long, ids binary")
+    # the row number lets equal documents be dealt over many ranges
+    coded = cut_lineage(coded.withColumn("row_no", F.monotonically_increasing_id()))
     counts = coded.select("ids").mapInArrow(_counter(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     n = np.zeros(size, np.int64)
     for r in counts.collect():  # one row per id of the vocabulary
@@ -199,9 +228,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -
     rank_of = np.empty(size, np.uint32)
     rank_of[order] = np.arange(size, dtype=np.uint32)
     spark.createDataFrame([(int(r), int(i)) for r, i in enumerate(order)], "rank long, id long").coalesce(1).write.parquet(path + "/ranks")
-    ordered = coded.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-    ordered.mapInArrow(_blocks(kind, rank_of), "first_doc long, first_crc long, n_values long, docs array<long>, "
-                       "lengths array<long>, control binary, data binary").write.option("compression", "uncompressed").parquet(path + "/blocks")
+    order = ["doc_id", "crc", "row_no"]
+    ordered = coded.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.mapInArrow(_blocks(kind, rank_of), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path + "/blocks")
+    release(coded)
 
 
 def _reader(id_of: np.ndarray):
@@ -227,12 +257,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     id_of = np.zeros(len(ranks), np.uint32)
     for r in ranks:
         id_of[r["rank"]] = r["id"]
-    blocks = spark.read.schema("first_doc long, first_crc long, n_values long, docs array<long>, lengths array<long>, "
-                               "control binary, data binary").parquet(path + "/blocks")
-    before = Window.orderBy("first_doc", "first_crc").rowsBetween(Window.unboundedPreceding, -1)  # one row per million ids
-    offsets = blocks.select("first_doc", "first_crc", "n_values").withColumn("offset", F.coalesce(F.sum("n_values").over(before), F.lit(0)))
-    keys = [blocks[c].eqNullSafe(offsets[c]) for c in ("first_doc", "first_crc")]
-    placed = blocks.join(offsets.drop("n_values"), keys).select("offset", "n_values", "docs", "lengths", "control", "data")
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path + "/blocks")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocks.select("part", "seq", "n_values")
+    ranges = sizes.groupBy("part").agg(F.sum("n_values").alias("n"))  # one row per range of documents
+    ranges = ranges.select("part", F.coalesce(F.sum("n").over(earlier.orderBy("part")), F.lit(0)).alias("of_range"))
+    inside = sizes.withColumn("inside", F.coalesce(F.sum("n_values").over(earlier.partitionBy("part").orderBy("seq")), F.lit(0)))
+    offsets = inside.join(ranges, "part").select("part", "seq", (F.col("inside") + F.col("of_range")).alias("offset"))
+    placed = blocks.join(offsets, ["part", "seq"]).select("offset", "n_values", "docs", "lengths", "control", "data")
     return placed.mapInArrow(_reader(id_of), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
