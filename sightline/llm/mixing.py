@@ -5,6 +5,9 @@ key (its leading bits), so ranges of a hot source are dealt to many tasks.  Runn
 sums over range totals give every row's place in its source's epoch; a budget is cut at the exact word, after as
 many whole epochs as fit.
 
+The key comes from doc_id, source and text, so rows of a source that share a doc_id, or have none, still spread over
+the key ranges; of rows equal in all three each has a number of its own among them, mixed into the key.
+
 Defined results: null text has size 0 and is never taken; a null source is a source of its own, last in order; rows
 that repeat a doc_id are mixed as separate rows; an empty table gives no rows.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import rank_in_group
 from ..session import cut_lineage
 from .common import WORD, has_unique_ids
 
@@ -29,7 +33,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     weight, stopping at ``max_epochs`` times the size, the excess reshared until none is above.
 
     That limit is a water level: with sources in order of cap / weight, the capped ones are a prefix, and the level
-    is what is left over the weights that are left.  One row per source is ordered here."""
+    is what is left over the weights that are left.  One row per source is ordered here, in one task: sources are
+    corpora with a weight each, not pages or sites."""
     by_code = Window.orderBy(F.col("source").isNull(), F.col("source"))
     ranked = sizes.withColumn("rank", F.row_number().over(by_code) - 1)
     ws = F.array(*[F.lit(float(w)) for w in weights])
@@ -49,13 +54,25 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
                          F.when(F.col("open"), F.col("level") * F.col("w")).otherwise(F.col("cap")).alias("target"))
 
 
+def own_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with a key of its own for every row: rows that share one get it mixed with their number among them, so
+    a rerun deals out the same keys.  Numbers are given in ranges of rows, however many share a key."""
+    shared = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    if shared.isEmpty():
+        return rows.drop("row_no")
+    twins = rank_in_group(rows.join(shared, "key", "left_semi"), ["key"], [F.col("row_no")], "place")
+    return rows.join(shared, "key", "left_anti").drop("row_no").unionByName(
+        twins.withColumn("key", F.xxhash64("key", "place")).drop("row_no", "place"))
+
+
 def mix(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted),
     ``epochs`` (whole copies) and ``cut_words`` (words of one more, cut at the budget)."""
-    rows = cut_lineage(docs.select(
+    rows = own_keys(cut_lineage(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source",
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")).alias("key")))
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text")).alias("key"),
+        F.monotonically_increasing_id().alias("row_no"))))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     targets = cut_lineage(source_targets(sizes, weights, share, max_epochs)
                           .withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_rows") / RANGE_ROWS))).cast("int"))
