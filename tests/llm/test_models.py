@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
@@ -137,6 +138,21 @@ def test_mix_targets_and_budgets(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mix_of_rows_without_ids_of_their_own(spark, monkeypatch):
+    """Null, repeated and wholly equal rows get keys of their own and spread over the ranges of a hot source."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 64)
+    rows = [(None, "w " * (i % 9), "hot") for i in range(1500)] + [(7, "same text", "hot")] * 700 + [(i, "a b c", "cold") for i in range(50)]
+    keyed = spark.createDataFrame([(i, d, t) for i, (d, t, _) in enumerate(rows)], "row_no long, doc_id long, text string")
+    keys = mixing.own_keys(keyed.select("row_no", "doc_id", F.xxhash64("doc_id", "text").alias("key")))
+    assert keys.count() == keys.select("key").distinct().count() == len(rows)
+    runs = [sorted((r.doc_id or -1, r.size, r.taken, r.target) for r in mixing.mix(frame(spark, rows).repartition(n)).collect()) for n in (3, 8)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    for source, size in (("hot", sum(len(t.split()) for _, t, s in rows if s == "hot")), ("cold", 150)):
+        got = [r for r in mixing.mix(frame(spark, rows)).collect() if r.source == source]
+        assert got[0].source_size == size and abs(sum(r.taken for r in got) - got[0].target) <= 1
+        assert all(r.taken <= 2 * r.size for r in got)
+
+
 def test_mixed_documents(spark):
     rows = [(i, " ".join(["w"] * (i % 9)), "ab"[i % 2]) for i in range(200)]
     out = mixing.mixed_documents(frame(spark, rows))

@@ -1,6 +1,7 @@
 """Piece encoding, id files, page text and the pipeline."""
 
 import itertools
+import json
 import os
 import random
 import sys
@@ -244,3 +245,38 @@ def test_registration(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_id_files_of_repeated_rows_over_many_blocks(spark, monkeypatch, block):
+    """Repeated and null ids, equal texts that fill a block each: every row once, each where the one before it ends."""
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(vbyte, "BLOCK_VALUES", block)
+    long, library = "the same words again and again " * 200, Tokenizer.from_file(WORDS)
+    rows = [(1, long)] * 5 + [(None, long)] * 4 + [(1, "short"), (2, None), (2, None), (3, long), (4, "x")]
+    path = vbyte.fresh_path(spark)
+    vbyte.write_ids(frame(spark, rows).repartition(3), path, WORDS)
+    got = sorted(vbyte.read_ids(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted([d for d, _ in rows], key=lambda d: -1 if d is None else d)
+    at = 0
+    for r in got:
+        assert r.start == at and len(r.ids) == 4 * r.n_tokens and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        at += r.n_tokens
+    want = sorted(zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
+    if block < 1 << 20:
+        assert spark.read.parquet(path + "/blocks").count() > 9
+
+
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    """A file that keeps cases apart must not be encoded by lower-cased words."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+    other = Tokenizer(models.WordLevel({"[x]": 0, "The": 1, "the": 2, "cat": 3, ".": 4, "cat.": 5}, unk_token="[x]"))
+    other.pre_tokenizer, other.normalizer = pre_tokenizers.WhitespaceSplit(), normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    rows = [(0, "The cat. the cat ."), (1, None), (2, "THE")]
+    path = vbyte.fresh_path(spark)
+    vbyte.write_ids(frame(spark, rows), path, str(tmp_path / "other.json"))
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in vbyte.read_ids(spark, path).collect()}
+    assert got == {0: [1, 5, 2, 3, 4, 1], 1: [1], 2: [0, 1]}
+    assert not vbyte.wordwise(json.loads(other.to_str())) and vbyte.wordwise(json.loads(Tokenizer.from_file(WORDS).to_str()))
