@@ -179,6 +179,49 @@ def test_page_text_weighs_text_outside_links():
         assert html_blocks.main_text(page) == want
 
 
+def test_page_text_reads_attributes_and_comments_as_browsers_do():
+    for page, want in [
+            ("<p title=Bob's>Hello world one.</p><p>It's fine and long.</p><p>Last.</p>", "Hello world one.\nIt's fine and long.\nLast."),
+            ("<p title='a > b' class=\"x>y\">One</p><p data-x=a'b\"c>Two</p>", "One\nTwo"),
+            ("<p>One</p><!--><p>Two</p><!---><p>Three</p><!-- <p>no</p> -->", "One\nTwo\nThree"),
+            ("<script type='a>b'>no</script><p class=>One</p>", "One"),
+            ("<p " + "a='b' " * 2000 + "c='", ""),
+            ("<p>" + "x" * 300_000 + "</p>", "x" * 300_000),
+            ("<article class=hidden-sm class='ad'><p>One</p></article>", "One")]:
+        assert html_blocks.main_text(page) == want
+
+
+def test_page_text_inside_wrappers_that_look_like_boilerplate():
+    a = ("A sentence of the article that is long enough to weigh. " * 20).strip()
+    menu, foot = "<nav><a href=/>Home</a></nav>", "<footer>(c) us, all rights reserved</footer>"
+    for page, want in [
+            (f"<form action=x>{menu}<h1>T</h1><p>{a}</p>{foot}</form>", f"T\n{a}"),
+            (f"<form>{menu}<div class='nav-open wrapper'><h1>T</h1><p>{a}</p><div class='comments'>{a}</div></div></form>", f"T\n{a}"),
+            (f"<div class='sidebar-left'>{menu}<h1>T</h1><p>{a}</p></div>{foot}", f"T\n{a}"),
+            (f"<div class='page has-sidebar'><article><h1>T</h1><p>{a}</p></article><div class='sidebar'>{a}</div></div>", f"T\n{a}"),
+            (f"<div class='sidebar'>{a}{a}</div><article><p>Short.</p></article>", "Short."),
+            (f"<div class='sidebar'><p>{a}</p></div><h1>T</h1><p>{a}</p>", f"T\n{a}"),
+            (f"<section><header><h1>Title</h1></header><p>{a}</p></section>", f"Title\n{a}"),
+            (f"<header><h1>Site name</h1></header><p>{a}</p>", a),
+            (f"<div class='comments'><article><p>{a}</p></article></div><p>Own text of the page.</p>", "Own text of the page."),
+            (f"<form><label>Your name</label><input></form><p>{a}</p>", a)]:
+        assert html_blocks.main_text(page) == want
+
+
+def test_page_text_edges():
+    a = ("A sentence of the article that is long enough to weigh. " * 20).strip()
+    links = "".join(f"<li><a href={i}>Source number {i}</a></li>" for i in range(3))
+    for page, want in [
+            (f"<article><p>{a}</p><h2>References</h2><ul>{links}</ul></article>", f"{a}\nReferences\nSource number 0\nSource number 1\nSource number 2"),
+            (f"<div class='post'><p>{a}</p><ul>{links}</ul></div>", f"{a}\nSource number 0\nSource number 1\nSource number 2"),
+            (f"<ul>{links}</ul><div id='text'><p>{a}</p></div><ul>{links}</ul>", a),
+            (f"<div>Sign in to continue reading our site</div><div><h1>T</h1><p>{a}</p></div><div>All rights reserved, 2020</div>", f"T\n{a}"),
+            (f"<div>Sign in to continue reading our site</div><div>{a}</div><div>All rights reserved, 2020</div>", a),
+            (f"<h1>T</h1><div>{a}</div><p>The end.</p>", f"T\n{a}\nThe end."),
+            (f"<h1>T</h1>By a writer<p>{a}</p>{a}", f"T\nBy a writer\n{a}\n{a}")]:
+        assert html_blocks.main_text(page) == want
+
+
 def test_sections_are_runs_of_weight():
     rng = random.Random(2)
     for _ in range(200):
@@ -244,7 +287,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 def test_registration(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("block", [1 << 20, 400])
