@@ -2,8 +2,9 @@
 
 A word is the mean of the vectors of its byte n-grams (hashed to buckets), a window of words the mean of its words,
 and a linear softmax tells toxic windows; embeddings and softmax are trained jointly in numpy on a bounded sample of
-labelled rows.  A text is as toxic as its most toxic window, so a long text does not water an insult down, and a
-misspelling shares most n-grams with words that were seen.
+labelled rows.  A window begins at every word, so what stands before a phrase does not move it from one window to
+another.  A text is as toxic as its most toxic window, so a long text does not water an insult down, and a misspelling
+shares most n-grams with words that were seen.
 
 Defined results: null, empty and blank texts have no window and score the model's bias; without labelled rows of both
 kinds every score is the bias.  Every whole text is scored, row by row; an empty table gives no rows.
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Chunk, chunks, mix
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 DIM = 4
-WINDOW = 8
-SIZES = (3, 4, 5)
+WINDOW = 2
+#: In bytes: a stem of four letters with accents has eight.
+SIZES = (3, 4, 5, 6, 7)
 #: Labelled rows of each class that the model is fitted on, in hash order, and the longest text among them.
 SAMPLE_ROWS = {1: 1200, 0: 2000}
 SAMPLE_BYTES = 8_000
@@ -31,10 +33,10 @@ THRESHOLD = 0.7
 
 
 class Model:
-    def __init__(self, vectors: np.ndarray, softmax: np.ndarray, bias: np.ndarray):
-        self.bias = float(bias[1] - bias[0])
-        #: the softmax is linear, so for scoring a bucket's vector counts as one number
-        self.pull = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64)
+    """The softmax is linear, so for scoring a bucket's vector counts as one number."""
+
+    def __init__(self, pull: np.ndarray, bias: float):
+        self.pull, self.bias = pull.astype(np.float64), float(bias)
 
 
 def ngrams(c: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,22 +55,41 @@ def ngrams(c: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
         if k + 1 in SIZES:
             on = np.flatnonzero(inside + k < n[word])
             out.append((mix(h[on] + np.uint64(k)) & np.uint64(BUCKETS - 1)).astype(np.int32))
-            of.append(word[on])
+            of.append(word[on].astype(np.int32))
     return np.concatenate(out), np.concatenate(of)
 
 
-def windows(doc: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bags of the windows: window and word (of each pair once, so repeating a word does not shout), in order of
-    windows, and the row of each window.  Windows of WINDOW words do not overlap; a row's last window may be short and
-    counts as if it were filled with neutral words."""
-    count = np.bincount(doc, minlength=n)
-    first = np.concatenate([[0], np.cumsum(count)])[:-1]
-    per = -(-count // WINDOW)
-    base = np.concatenate([[0], np.cumsum(per)])[:-1]
-    window = base[doc] + (np.arange(len(doc)) - first[doc]) // WINDOW
-    kinds = int(which.max(initial=0)) + 1
-    pair = np.unique(window * kinds + which)
-    return pair // kinds, pair % kinds, np.repeat(np.arange(n), per)
+class Windows:
+    """The windows of rows of words: one begins at every word that has WINDOW - 1 more after it, and at a row's first
+    word, where a shorter row counts as if it were filled with neutral words.  A word counts once in a window, so
+    repeating it does not shout."""
+
+    def __init__(self, doc: np.ndarray, which: np.ndarray):
+        self.n = len(doc)
+        order = np.lexsort((np.arange(self.n), which, doc))
+        again = (which[order][1:] == which[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+        before = np.full(self.n, -1, np.int64)  # the same word's last place in the row
+        before[order[1:][again]] = order[:-1][again]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        size = np.diff(np.append(first, self.n))
+        end, begin = np.repeat(first + size, size), np.repeat(first, size)
+        at = np.arange(self.n)
+        self.start = np.flatnonzero((at + WINDOW <= end) | (at == begin))
+        self.row = doc[self.start]
+        self.place, self.counts = [], []
+        for k in range(WINDOW):
+            at = np.minimum(self.start + k, max(self.n - 1, 0))
+            self.place.append(at.astype(np.int32))
+            self.counts.append((self.start + k < end[self.start]) & (before[at] < self.start))
+        del order, again, before, end, begin
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Per window, the sum over its words of a number per place."""
+        return sum((np.where(on, x[at], 0) for at, on in zip(self.place, self.counts)), np.zeros(len(self.start), x.dtype))
+
+    def spread(self, g: np.ndarray) -> np.ndarray:
+        """Per place, the sum over the windows that count it of a number per window."""
+        return sum((np.bincount(at, np.where(on, g, 0), self.n) for at, on in zip(self.place, self.counts)), np.zeros(self.n))
 
 
 def _distinct(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,60 +98,63 @@ def _distinct(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return starts[first], ends[first], which, doc
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 70, rate: float = 0.6, seed: int = 5) -> Model:
-    """Full-batch descent on the cross entropy of each text's pooled windows; the pool starts near the mean of the
-    windows and sharpens to the strongest.  A step is scaled by the largest gradient of its table, so what many texts
-    share moves first and what one text happens to hold hardly moves."""
+def _gathered(index: np.ndarray, value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """``bincount(index, value[of], n)`` in steps that bound the memory in between."""
+    out = np.zeros(n)
+    for at in range(0, len(index), 1 << 20):
+        out += np.bincount(index[at:at + (1 << 20)], value[of[at:at + (1 << 20)]], n)
+    return out
+
+
+def train(texts: list[str], labels: np.ndarray, rounds: int = 120, rate: float = 0.6, seed: int = 5, last: int = 40) -> Model:
+    """Full-batch descent on the cross entropy of each text's pooled windows, both classes weighing the same; the pool
+    starts near the mean of the windows and sharpens to the strongest.  A step is scaled by the largest gradient of its
+    table, so what many texts share moves first and what one text happens to hold hardly moves; the model is the mean of
+    those after the ``last`` rounds.
+
+    The softmax is linear, so a window's logit is the mean of one number per word, and the gradient of a bucket's vector
+    is one number times the softmax's difference: nothing with DIM columns is ever kept per word or place."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
-    softmax = np.repeat(np.array([[-0.5, 0.5]], np.float32), DIM, 0) + rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    softmax = np.repeat(np.array([[-0.5, 0.5]], np.float32), DIM, 0) + rng.normal(0, 0.05, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     raw = [t.encode() for t in texts]
     offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     c = Chunk(None, LOWER[np.frombuffer(b"".join(raw), np.uint8)], offs)
     starts, ends, which, doc = _distinct(c)
     if not len(which) or len(set(labels.tolist())) < 2:
-        return Model(vectors * 0, softmax, np.array([2.0, 0.0]))
+        return Model(np.zeros(BUCKETS), -2.0)
     bucket, word = ngrams(c, starts, ends)
-    order = np.argsort(word, kind="stable")
-    bucket, word = bucket[order], word[order].astype(np.int32)
-    del order
     n_words = len(starts)
-    per_word = np.bincount(word, minlength=n_words).astype(np.float32)
-    word_at = np.concatenate([[0], np.cumsum(per_word)])[:-1].astype(np.int64)
-    window, which, row = windows(doc, which, len(texts))
-    window_at = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-    row_at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    index = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]).astype(np.int64)]))
-    y = labels[row[row_at]].astype(np.float32)
-    weight = np.where(y > 0, 0.35 / max(y.sum(), 1), 0.65 / max((1 - y).sum(), 1)).astype(np.float32)
-    by_word = np.argsort(which, kind="stable").astype(np.int32)
-    by_word_at = np.flatnonzero(np.concatenate([[True], np.diff(which[by_word]) > 0]))
-    by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
-    some = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
-    by_bucket_at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by_bucket]) > 0]))
-    of_word, of_window = word[by_bucket], window[by_word]
+    per_word = np.bincount(word, minlength=n_words)
+    windows = Windows(doc, which)
+    row_at = np.flatnonzero(np.diff(windows.row, prepend=-1))
+    index = np.repeat(np.arange(len(row_at)), np.diff(np.append(row_at, len(windows.row))))
+    y = labels[windows.row[row_at]].astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
     moving = [np.zeros_like(p) for p in (vectors, softmax, bias)]
+    pulls, biases = np.zeros(BUCKETS), 0.0
     for step in range(rounds):
-        words = np.add.reduceat(vectors[bucket], word_at, 0) / per_word[:, None]
-        bags = np.add.reduceat(words[which], window_at, 0) / WINDOW
-        logit = bags @ softmax + bias
-        z = logit[:, 1] - logit[:, 0]
+        apart = softmax[:, 1] - softmax[:, 0]
+        pull = _gathered(word, vectors @ apart, bucket, n_words) / per_word
+        z = windows.sums(pull[which]) / WINDOW + (bias[1] - bias[0])
         sharp = 0.1 + 6.0 * step / rounds
         e = np.exp(sharp * (z - np.maximum.reduceat(z, row_at)[index]))
         share = e / np.add.reduceat(e, row_at)[index]
         pooled = np.add.reduceat(share * z, row_at)
         p = 1 / (1 + np.exp(-np.clip(pooled, -60, 60)))
-        g = (((p - y) * weight)[index] * share).astype(np.float32)
-        pull = g @ bags
-        grad_bag = g[:, None] * (softmax[:, 1] - softmax[:, 0])[None] / WINDOW
-        grad_word = np.add.reduceat(grad_bag[of_window], by_word_at, 0) / per_word[:, None]
-        grad_vec = np.zeros_like(vectors)
-        grad_vec[some] = np.add.reduceat(grad_word[of_word], by_bucket_at, 0)
-        for k, (p_, g_) in enumerate(zip((vectors, softmax, bias), (grad_vec, np.stack([-pull, pull], 1), np.array([-g.sum(), g.sum()])))):
+        g = ((p - y) * weight)[index] * share
+        of_word = np.bincount(which, windows.spread(g) / WINDOW, n_words) / per_word
+        of_bucket = _gathered(bucket, of_word, word, BUCKETS).astype(np.float32)
+        gain = of_bucket @ vectors
+        grads = of_bucket[:, None] * apart[None], np.stack([-gain, gain], 1), np.array([-g.sum(), g.sum()])
+        for k, (p_, g_) in enumerate(zip((vectors, softmax, bias), grads)):
             moving[k] = 0.9 * moving[k] + g_
             p_ -= (rate * (1, 0.05, 0.2)[k] * moving[k] / (np.abs(moving[k]).max() + 1e-12)).astype(np.float32)
-    return Model(vectors, softmax, bias)
+        if step >= rounds - last:
+            pulls += vectors @ (softmax[:, 1] - softmax[:, 0])
+            biases += float(bias[1] - bias[0])
+    return Model(pulls / min(last, rounds), biases / min(last, rounds))
 
 
 def score_rows(c: Chunk, model: Model) -> np.ndarray:
@@ -139,8 +163,8 @@ def score_rows(c: Chunk, model: Model) -> np.ndarray:
     if len(which):
         bucket, word = ngrams(c, starts, ends)
         pulls = np.bincount(word, model.pull[bucket], len(starts)) / np.bincount(word, minlength=len(starts))
-        window, which, row = windows(doc, which, c.n)
-        np.maximum.at(top, row, np.bincount(window, pulls[which], len(row)) / WINDOW)
+        windows = Windows(doc, which)
+        np.maximum.at(top, windows.row, windows.sums(pulls[which]) / WINDOW)
     top[np.isneginf(top)] = 0.0
     return 1 / (1 + np.exp(-np.clip(top + model.bias, -60, 60)))
 
