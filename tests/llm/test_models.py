@@ -260,6 +260,25 @@ def toxic_corpus(spark, n=500):
     return frame(spark, rows), spark.createDataFrame(labels + [(None, 1), (5000, None)], "doc_id long, toxic int"), dict(labels)
 
 
+def test_windows_count_a_word_once():
+    rng = random.Random(4)
+    for size in (1, 2, 5):
+        rows = [[rng.randrange(4) for _ in range(rng.choice([0, 1, 2, 3, 9]))] for _ in range(30)]
+        doc = np.array([i for i, r in enumerate(rows) for _ in r], np.int64)
+        which = np.array([w for r in rows for w in r], np.int64)
+        x = np.random.default_rng(1).normal(size=4)
+        old, toxicity.WINDOW = toxicity.WINDOW, size
+        try:
+            w = toxicity.Windows(doc, which)
+        finally:
+            toxicity.WINDOW = old
+        want = [(i, sum(x[k] for k in set(r[a:a + size]))) for i, r in enumerate(rows) for a in range(max(1, len(r) - size + 1)) if r]
+        got = w.sums(x[which])
+        assert w.row.tolist() == [i for i, _ in want] and np.allclose(got, [v for _, v in want])
+        g = np.random.default_rng(2).normal(size=len(got))
+        assert np.isclose((got * g).sum(), (w.spread(g) * x[which]).sum())
+
+
 def test_toxicity(spark):
     docs, labels, truth = toxic_corpus(spark)
     got = toxicity.score(docs, labels).collect()
@@ -272,4 +291,11 @@ def test_toxicity(spark):
     assert by[1003].predicted == 1 and by[1004].predicted == 0
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert toxicity.score(frame(spark, []), labels).count() == 0
+    model, neutral = toxicity.fit(docs, labels), by[1004]
+    told = {r.doc_id: r for r in docs.collect()}
+    for n in range(1, 7):  # neutral words before a text leave its verdict and all but its first window alone
+        moved = [(i, " ".join(told[1004].text.split()[:n]) + " " + told[i].text) for i in truth if truth[i]]
+        after = dict(zip([i for i, _ in moved], toxicity.score_rows(toxicity.Chunk(None, np.frombuffer("".join(t for _, t in moved).encode(), np.uint8),
+                     np.cumsum([0] + [len(t.encode()) for _, t in moved])), model)))
+        assert all(after[i] >= by[i].score - 1e-9 for i in after) and neutral.predicted == 0
     assert {r.predicted for r in toxicity.score(docs, labels.where("toxic = 0")).collect()} == {0}
