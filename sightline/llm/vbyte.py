@@ -4,8 +4,8 @@ Ids are replaced by their frequency rank in the corpus, so frequent ids take one
 in ascending doc_id order: one control byte for four values (two bits each: bytes - 1), then the values' bytes in
 little-endian order.  Blocks are rows of a Parquet table (control and data as binary columns) under one folder, with
 the table of ranks beside it: every file system that Spark writes to can hold them, and a lost task is written again.
-A block's number is its range of documents and its place in it, so blocks of equal documents are told apart; offsets
-are sums inside ranges plus sums over ranges.  Decoding looks the four lengths of each control byte up in a table and
+A block names its range of documents and how many ids that range has before it, so blocks of equal documents are told
+apart; the ids of earlier ranges, one row per range, are added when it is read.  Decoding looks the four lengths of each control byte up in a table and
 gathers the bytes with numpy.
 
 Defined results: null and empty texts are documents with the end id only; rows that share a doc_id are documents of
@@ -46,7 +46,7 @@ WORDWISE = {
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-BLOCK_SCHEMA = "part int, seq int, n_values long, docs array<long>, lengths array<long>, control binary, data binary"
+BLOCK_SCHEMA = "part int, inside long, n_values long, docs array<long>, lengths array<long>, control binary, data binary"
 
 _loaded: dict = {}
 
@@ -186,17 +186,17 @@ def _counter(kind: str):
 
 def _blocks(kind: str, rank_of: np.ndarray):
     """Rows arrive in order; a block is cut after BLOCK_VALUES values, at the end of a document."""
-    def block(seq, docs, lengths, parts):
+    def block(inside, docs, lengths, parts):
         values = rank_of[np.frombuffer(b"".join(parts), kind)]
         control, data = pack(values)
         return pa.RecordBatch.from_arrays([
-            pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(values)], pa.int64()),
+            pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([inside], pa.int64()), pa.array([len(values)], pa.int64()),
             pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
             pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-            ["part", "seq", "n_values", "docs", "lengths", "control", "data"])
+            ["part", "inside", "n_values", "docs", "lengths", "control", "data"])
 
     def run(batches):
-        docs, lengths, parts, held, seq = [], [], [], 0, 0
+        docs, lengths, parts, held, inside = [], [], [], 0, 0
         for b in batches:
             for d, n, ids in zip(*(b.column(k) for k in ("doc_id", "n_tokens", "ids"))):
                 docs.append(d.as_py())
@@ -204,10 +204,10 @@ def _blocks(kind: str, rank_of: np.ndarray):
                 parts.append(ids.as_buffer())
                 held += lengths[-1]
                 if held >= BLOCK_VALUES:
-                    yield block(seq, docs, lengths, parts)
-                    docs, lengths, parts, held, seq = [], [], [], 0, seq + 1
+                    yield block(inside, docs, lengths, parts)
+                    docs, lengths, parts, held, inside = [], [], [], 0, inside + held
         if docs:
-            yield block(seq, docs, lengths, parts)
+            yield block(inside, docs, lengths, parts)
     return run
 
 
@@ -258,13 +258,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     for r in ranks:
         id_of[r["rank"]] = r["id"]
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path + "/blocks")
-    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.select("part", "seq", "n_values")
-    ranges = sizes.groupBy("part").agg(F.sum("n_values").alias("n"))  # one row per range of documents
-    ranges = ranges.select("part", F.coalesce(F.sum("n").over(earlier.orderBy("part")), F.lit(0)).alias("of_range"))
-    inside = sizes.withColumn("inside", F.coalesce(F.sum("n_values").over(earlier.partitionBy("part").orderBy("seq")), F.lit(0)))
-    offsets = inside.join(ranges, "part").select("part", "seq", (F.col("inside") + F.col("of_range")).alias("offset"))
-    placed = blocks.join(offsets, ["part", "seq"]).select("offset", "n_values", "docs", "lengths", "control", "data")
+    ranges = blocks.groupBy("part").agg(F.sum("n_values").alias("n"))  # one row per range of documents
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    placed = blocks.join(F.broadcast(ranges), "part").select((F.col("earlier") + F.col("inside")).alias("offset"), "n_values", "docs",
+                                                             "lengths", "control", "data")
     return placed.mapInArrow(_reader(id_of), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
