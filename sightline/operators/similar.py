@@ -1,19 +1,21 @@
 """Exact similarity search between line vectors (rows 27-29, 51, 62, 64, 100, 107).
 
-Plan (no all-pairs rows, no cross join):
-
-* references get a block id ``rb`` (hash of the id, RB blocks of ~``ref_block`` rows);
-  queries get ``qb`` (QB blocks of ~``query_block`` rows);
-* each query row is replicated over the RB reference blocks and each reference row
-  over the QB query blocks (``explode(sequence(..))``), and both sides are
-  cogrouped on (qb, rb): one task per cell of the grid, each cell bounded by the
-  block sizes whatever the data size;
-* a numpy kernel (``applyInPandas`` on the cogroup) computes the cell's distance
-  matrix dimension by dimension and emits only pairs with ``dist <= radius`` plus
-  each query's ``k`` nearest in the cell;
-* a per-query merge ranks the few survivors (``row_number`` by (dist, ref_id)).
-
-Distances are double; ties are broken by reference id everywhere.
+Metric partitioning, no all-pairs rows and no cross join:
+
+* pivots are a seeded sample of the references (about the square root of their number, bounded in bytes); every
+  reference belongs to the cell of its nearest pivot;
+* a cell's references, in order of their distance to the pivot, are cut into blocks of bounded size and stored once,
+  one packed row per block, with the block's smallest and largest distance to the pivot (``ReferenceCells``); ranges
+  of (cell, distance) are what tasks get, so a cell that holds a third of all references is many blocks in many tasks;
+* a query goes only to blocks that can hold something within its radius: by the triangle inequality a reference at
+  pivot distance t is at least ``|d(query, pivot) - t|`` away, and no closer than half of what its pivot is farther
+  than the query's nearest pivot;
+* packed runs of the queries of a block meet the block in an equi-join; a numpy kernel computes the distances;
+* the k nearest take two rounds: the k-th best distance among as many close-by references as are needed for k, then
+  everything within that radius.
+
+Distances are double; ties are broken by reference id everywhere.  Bounds are widened by a rounding allowance, so
+pruning never drops a pair.  Rows whose vector is null, or holds a null or a NaN, are never similar to anything.
 """
 
 from __future__ import annotations
@@ -21,127 +23,265 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import metric_p
+from ..session import cut_lineage
 from .ordering import cpu_partitions
 
-PAIR_SCHEMA = "query_id long, ref_id long, distance double, in_range boolean, cell_rank int"
-
-
-def _kernel(p: float, radius: float | None, k: int):
-    def run(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qdf) == 0 or len(rdf) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "ref_id": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64"),
-                                 "in_range": pd.Series([], dtype="bool"), "cell_rank": pd.Series([], dtype="int32")})
-        rdf = rdf.sort_values("ref_id", kind="stable")
-        qids = qdf["query_id"].to_numpy(np.int64)
-        rids = rdf["ref_id"].to_numpy(np.int64)
-        Q = np.stack([np.asarray(v, dtype=np.float64) for v in qdf["q_emb"]])
-        R = np.stack([np.asarray(v, dtype=np.float64) for v in rdf["r_emb"]])
-        out = []
-        # bound the working set: chunk of queries x cell references
-        step = max(1, int(4_000_000 // max(1, len(rids))))
-        for s in range(0, len(qids), step):
-            q = Q[s:s + step]
-            acc = np.zeros((q.shape[0], R.shape[0]), dtype=np.float64)
-            for j in range(Q.shape[1]):  # sequential over dimensions, like a SQL fold
-                d = np.abs(q[:, j][:, None] - R[:, j][None, :])
-                if math.isinf(p):
-                    np.maximum(acc, d, out=acc)
-                elif p == 1:
-                    acc += d
+BLOCK_BYTES = 1 << 20
+PIVOT_BYTES = 1 << 24
+#: Allowance for rounding in distances and bounds, relative.
+SLACK = 1e-9
+
+_BLOCK = "block long, cell int, lo double, hi double, n int, ids binary, m binary"
+_ROUTED = "query_id long, cell int, d double, near double, radius double, q binary"
+_PAIRS = "query_id long, ref_id long, distance double"
+
+
+def distances(q: np.ndarray, r: np.ndarray, p: float) -> np.ndarray:
+    """Minkowski distances (queries x references), folded dimension by dimension like a SQL fold."""
+    acc = np.zeros((len(q), len(r)))
+    for j in range(q.shape[1]):
+        d = np.abs(q[:, j][:, None] - r[:, j][None, :])
+        if math.isinf(p):
+            np.maximum(acc, d, out=acc)
+        elif p == 1:
+            acc += d
+        elif p == 2:
+            acc += d * d
+        elif p == 6:
+            d *= d
+            acc += d * d * d
+        else:
+            acc += d ** p
+    return acc if math.isinf(p) or p == 1 else acc ** (1.0 / p)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+
+
+def _usable(df: DataFrame, id_col: str, *more: str) -> DataFrame:
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return df.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), *more) \
+        .where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+
+
+class ReferenceCells:
+    """References cut into cells and stored blocks, for any number of joins.
+
+    ``blocks``: the stored table; ``pivots``: the pivots' matrix; ``counts``, ``lo``, ``hi``: references, smallest and
+    largest pivot distance per cell (as many rows as pivots, which are bounded in bytes)."""
+
+    def __init__(self, refs: DataFrame, metric=None, ref_block: int | None = None, pivots: int | None = None, seed: int = 0):
+        self.p = metric_p(metric)
+        if self.p < 1:
+            raise ValueError("a Minkowski distance with p < 1 is no metric")
+        rows = _usable(refs, "ref_id")
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).first()
+        self.n, self.width = seen["n"], seen["width"] or 1
+        most = max(1, PIVOT_BYTES // (8 * self.width))
+        self.pivots = self._choose(rows, min(most, pivots or math.isqrt(max(self.n - 1, 0)) + 1), seed)
+        size = ref_block or max(1, BLOCK_BYTES // (8 * self.width))
+        parts = cpu_partitions(refs)
+        placed = rows.mapInArrow(_placer(self.pivots, self.p), "cell int, d double, id long, x binary")
+        placed = placed.repartitionByRange(parts, "cell", "d", "id").sortWithinPartitions("cell", "d", "id")
+        self.blocks = cut_lineage(placed.mapInArrow(_block_packer(size), _BLOCK.replace("block long, ", ""))
+                                  .select(F.monotonically_increasing_id().alias("block"), "*"))
+        cells = self.blocks.groupBy("cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        k = max(len(self.pivots), 1)
+        self.counts, self.lo, self.hi = np.zeros(k, np.int64), np.full(k, np.inf), np.full(k, -np.inf)
+        for r in cells.collect():  # one row per pivot
+            self.counts[r["cell"]], self.lo[r["cell"]], self.hi[r["cell"]] = r["n"], r["lo"], r["hi"]
+
+    def _choose(self, rows: DataFrame, n: int, seed: int) -> np.ndarray:
+        h = F.xxhash64(F.lit(seed), F.col("id"))
+        found = rows.orderBy(h, "id").select("x").limit(n).collect() if self.n else []
+        return np.unique(np.array([r["x"] for r in found], np.float64).reshape(-1, self.width), axis=0)
+
+    def directory(self) -> DataFrame:
+        return self.blocks.select("block", F.col("cell").alias("of"), "lo", "hi", "n")
+
+
+def _placer(pivots: np.ndarray, p: float):
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = _matrix(part.column(1), pivots.shape[1])
+                d = distances(x, pivots, p)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), part.column(0),
+                    pa.array([v.tobytes() for v in x], pa.binary())], ["cell", "d", "id", "x"])
+    return run
+
+
+def _block_packer(size: int):
+    """Rows in order of (cell, distance): runs of at most ``size`` rows of one cell, inside in order of their ids."""
+    def pack(cell, d, ids, xs):
+        order = np.argsort(ids, kind="stable")
+        return pa.RecordBatch.from_arrays([
+            pa.array([cell], pa.int32()), pa.array([min(d)], pa.float64()), pa.array([max(d)], pa.float64()), pa.array([len(ids)], pa.int32()),
+            pa.array([np.array(ids, np.int64)[order].tobytes()], pa.binary()), pa.array([b"".join(xs[i] for i in order)], pa.binary())],
+            ["cell", "lo", "hi", "n", "ids", "m"])
+
+    def run(batches):
+        now, d, ids, xs = None, [], [], []
+        for b in batches:
+            for cell, dist, i, x in zip(*(c.to_pylist() for c in b.columns)):
+                if ids and (cell != now or len(ids) >= size):
+                    yield pack(now, d, ids, xs)
+                    d, ids, xs = [], [], []
+                now = cell
+                d.append(dist)
+                ids.append(i)
+                xs.append(x)
+        if ids:
+            yield pack(now, d, ids, xs)
+    return run
+
+
+def _router(cells: ReferenceCells, k: int):
+    """Per query the cells it must see: with ``k`` the closest that hold ``k`` references, else all within its radius."""
+    pivots, p, lo, hi, counts = cells.pivots, cells.p, cells.lo, cells.hi, cells.counts
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = _matrix(part.column(1), pivots.shape[1])
+                radius = part.column(2).to_numpy(zero_copy_only=False)
+                d = distances(x, pivots, p)
+                near = d.min(1)
+                if k:
+                    order = np.argsort(d, axis=1, kind="stable")
+                    held = np.cumsum(counts[order], axis=1)
+                    reach = np.zeros(d.shape, bool)
+                    np.put_along_axis(reach, order, held - counts[order] < k, axis=1)
+                    reach &= counts > 0
                 else:
-                    acc += d ** p
-            dist = acc if (math.isinf(p) or p == 1) else acc ** (1.0 / p)
-            # refs are sorted by id, so the first minimum is the nearest (ties -> smaller id); the k nearest are all
-            # within the k-th smallest distance (ties beyond k are cut by the rank over all cells)
-            nearest = np.zeros(dist.shape, dtype=bool)
-            if k > 0:
-                nearest[np.arange(dist.shape[0]), dist.argmin(1)] = True
-            keep = nearest
-            if 1 < k:
-                at = min(k, dist.shape[1]) - 1
-                keep = dist <= np.partition(dist, at, axis=1)[:, at][:, None]
-            inr = dist <= radius if radius is not None else np.zeros(dist.shape, dtype=bool)
-            sel = keep | inr
-            qi, ri = np.nonzero(sel)
-            out.append(pd.DataFrame({"query_id": qids[s:s + step][qi], "ref_id": rids[ri],
-                                     "distance": dist[qi, ri], "in_range": inr[qi, ri],
-                                     "cell_rank": np.where(nearest[qi, ri], 1, 2).astype(np.int32)}))
-        return pd.concat(out, ignore_index=True)
+                    r = radius[:, None] + SLACK * (d + hi + radius[:, None] + 1e-300)
+                    reach = (counts > 0) & (d - r <= hi) & (d + r >= lo) & (d - near[:, None] <= 2 * r)
+                row, cell = np.nonzero(reach)
+                raw = pa.array([v.tobytes() for v in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(d[row, cell]), pa.array(near[row]),
+                    pa.array(radius[row]), raw.take(pa.array(row))], ["query_id", "cell", "d", "near", "radius", "q"])
     return run
 
 
-def _blocks(n: int, size: int) -> int:
-    return max(1, int(math.ceil(n / max(1, size))))
-
-
-def distance_candidates(queries: DataFrame, refs: DataFrame, p: float = 6, radius: float | None = None,
-                        k: int = 0, query_block: int = 2048, ref_block: int = 2048,
-                        n_queries: int | None = None, n_refs: int | None = None,
-                        min_cells: int | None = None) -> DataFrame:
-    """Grid-blocked exact distance join.  ``queries``: ``query_id, embedding``;
-    ``refs``: ``ref_id, embedding``.  Returns ``PAIR_SCHEMA`` rows: every pair with
-    ``distance <= radius`` and each query's ``k`` nearest per cell."""
-    spark = queries.sparkSession
-    nq = n_queries if n_queries is not None else queries.count()
-    nr = n_refs if n_refs is not None else refs.count()
-    QB, RB = _blocks(nq, query_block), _blocks(nr, ref_block)
-    cells = min_cells or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    while QB * RB < cells and (QB < nq or RB < nr):  # enough cells to keep every core busy
-        if RB < nr and (RB <= QB or QB >= nq):
-            RB *= 2
-        else:
-            QB *= 2
-    # fresh aliases: both sides may come from one lineage (a sample of the references)
-    qrep = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("q_emb"),
-                          F.pmod(F.hash("query_id"), F.lit(QB)).alias("qb"),
-                          F.explode(F.sequence(F.lit(0), F.lit(RB - 1))).alias("rb"))
-    rrep = refs.select(F.col("ref_id").alias("ref_id"), F.col("embedding").alias("r_emb"),
-                       F.pmod(F.hash("ref_id"), F.lit(RB)).alias("rb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(QB - 1))).alias("qb"))
-    # explicit partition count: one cell per task where possible (AQE must not
-    # coalesce these CPU-heavy cells into a few tasks)
-    n = min(QB * RB, 4 * cpu_partitions(queries))
-    qrep, rrep = qrep.repartition(n, "qb", "rb"), rrep.repartition(n, "qb", "rb")
-    return (qrep.groupBy("qb", "rb").cogroup(rrep.groupBy("qb", "rb"))
-            .applyInPandas(_kernel(p, radius, k), PAIR_SCHEMA))
+def _query_packer(size: int):
+    """Rows in order of (block, query): runs of at most ``size`` queries of one block."""
+    def pack(block, ids, radius, qs):
+        return pa.RecordBatch.from_arrays([
+            pa.array([block], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
+            pa.array([np.array(radius, np.float64).tobytes()], pa.binary()), pa.array([b"".join(qs)], pa.binary())],
+            ["of_block", "q_ids", "q_radius", "q_m"])
+
+    def run(batches):
+        now, ids, radius, qs = None, [], [], []
+        for b in batches:
+            for block, i, r, q in zip(*(c.to_pylist() for c in b.columns)):
+                if ids and (block != now or len(ids) >= size):
+                    yield pack(now, ids, radius, qs)
+                    ids, radius, qs = [], [], []
+                now = block
+                ids.append(i)
+                radius.append(r)
+                qs.append(q)
+        if ids:
+            yield pack(now, ids, radius, qs)
+    return run
+
+
+def _kernel(p: float, width: int, k: int):
+    """Pairs of a block and its queries within each query's radius, with ``k`` only the first ``k`` by (distance, id)."""
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                at = lambda c, kind: np.frombuffer(b.column(b.schema.get_field_index(c))[i].as_buffer(), kind)
+                ids, q_ids, radius = at("ids", np.int64), at("q_ids", np.int64), at("q_radius", np.float64)
+                m, q = at("m", np.float64).reshape(-1, width), at("q_m", np.float64).reshape(-1, width)
+                dist = distances(q, m, p)
+                keep = dist <= radius[:, None]
+                if k and k < len(ids):
+                    bound = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+                    less, tied = dist < bound, dist == bound
+                    keep &= less | (tied & (np.cumsum(tied, axis=1) <= k - less.sum(1, keepdims=True)))
+                row, col = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[col]), pa.array(dist[row, col])],
+                                                 ["query_id", "ref_id", "distance"])
+    return run
+
+
+def reference_cells(refs, metric=None, **sizes) -> ReferenceCells:
+    """``refs`` (``ref_id, embedding``) as cells; cells that are there already are used as they are."""
+    return refs if isinstance(refs, ReferenceCells) else ReferenceCells(refs, metric, **sizes)
+
+
+def routed(queries: DataFrame, cells: ReferenceCells, k: int = 0) -> DataFrame:
+    """(block, query_id, radius, q): the blocks that each query (``query_id, embedding, radius``) is copied to."""
+    rows = _usable(queries, "query_id", "radius")
+    sent = rows.mapInArrow(_router(cells, k), _ROUTED)
+    both = sent.join(cells.directory(), F.col("cell") == F.col("of"))
+    gap = F.greatest(F.col("d") - F.col("hi"), F.col("lo") - F.col("d"), F.lit(0.0))
+    if k:  # only as many blocks of the closest cells as hold k references
+        w = Window.partitionBy("query_id").orderBy("gap", "d", "block").rowsBetween(Window.unboundedPreceding, -1)
+        both = both.withColumn("gap", gap).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < k)
+    else:
+        both = both.where(gap <= F.col("radius") + SLACK * (F.col("d") + F.col("hi") + F.col("radius")))
+    return both.select("block", "query_id", "radius", "q")
+
+
+def near_pairs(queries: DataFrame, cells: ReferenceCells, k: int = 0, home: bool = False, query_block: int | None = None) -> DataFrame:
+    """(query_id, ref_id, distance) within each query's ``radius``; with ``k`` at least the ``k`` first of them by
+    (distance, id).  ``home``: only among the blocks closest to the query that hold ``k`` references."""
+    if not cells.n:
+        return queries.sparkSession.createDataFrame([], _PAIRS)
+    parts = cpu_partitions(queries)
+    size = query_block or max(1, BLOCK_BYTES // (8 * cells.width))
+    sent = routed(queries, cells, k if home else 0)
+    packed = sent.repartitionByRange(parts, "block", "query_id").sortWithinPartitions("block", "query_id") \
+        .mapInArrow(_query_packer(size), "of_block long, q_ids binary, q_radius binary, q_m binary")
+    both = packed.join(cells.blocks.select("block", "ids", "m"), F.col("of_block") == F.col("block"))
+    return both.select("ids", "m", "q_ids", "q_radius", "q_m").mapInArrow(_kernel(cells.p, cells.width, k), _PAIRS)
 
 
 def _rank(df: DataFrame, name: str = "rank") -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy("distance", "ref_id")
-    return df.withColumn(name, F.row_number().over(w))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id")))
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, metric=None, **kw) -> DataFrame:
+def knn_join(queries: DataFrame, refs, k: int, metric=None, query_block: int | None = None, **sizes) -> DataFrame:
     """Row 28: the ``k`` nearest references of each query (ties: smaller ref id)."""
-    p = metric_p(metric)
-    c = distance_candidates(queries, refs, p=p, radius=None, k=k, **kw)
-    return _rank(c).where(F.col("rank") <= k).select("query_id", "ref_id", "distance", "rank")
-
-
-def radius_join(queries: DataFrame, refs: DataFrame, radius: float, max_similar: int | None = None,
-                metric=None, **kw) -> DataFrame:
-    """Row 27: every reference with ``distance <= radius``, nearest first, at most
-    ``max_similar`` (row 62 ranks them)."""
-    p = metric_p(metric)
-    c = distance_candidates(queries, refs, p=p, radius=radius, k=0, **kw).where("in_range")
-    out = _rank(c)
+    cells = reference_cells(refs, metric, **sizes)
+    anywhere = queries.select("query_id", "embedding", F.lit(float("inf")).alias("radius"))
+    home = _rank(near_pairs(anywhere, cells, k, True, query_block)).where(F.col("rank") <= k)
+    # the k-th best of the first round; a query with fewer references than k must see them all
+    reach = home.groupBy("query_id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n"))
+    reach = cut_lineage(reach.select("query_id", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("radius")))
+    within = queries.select("query_id", "embedding").join(reach, "query_id")
+    out = _rank(near_pairs(within, cells, k, False, query_block)).where(F.col("rank") <= k)
+    return out.select("query_id", "ref_id", "distance", "rank")
+
+
+def radius_join(queries: DataFrame, refs, radius: float, max_similar: int | None = None, metric=None,
+                query_block: int | None = None, **sizes) -> DataFrame:
+    """Row 27: every reference with ``distance <= radius``, nearest first, at most ``max_similar`` (row 62 ranks them)."""
+    cells = reference_cells(refs, metric, **sizes)
+    asked = queries.select("query_id", "embedding", F.lit(radius).cast("double").alias("radius"))
+    out = _rank(near_pairs(asked, cells, max_similar or 0, False, query_block))
     if max_similar is not None:
         out = out.where(F.col("rank") <= max_similar)
     return out.select("query_id", "ref_id", "distance", "rank")
 
 
-def nearest_line(queries: DataFrame, refs: DataFrame, metric=None, **kw) -> DataFrame:
+def nearest_line(queries: DataFrame, refs, metric=None, **sizes) -> DataFrame:
     """Row 64: the single nearest reference (min by (distance, ref id))."""
-    p = metric_p(metric)
-    c = distance_candidates(queries, refs, p=p, radius=None, k=1, **kw)
-    return c.groupBy("query_id").agg(F.min(F.struct("distance", "ref_id")).alias("m")) \
-        .select("query_id", F.col("m.ref_id").alias("ref_id"), F.col("m.distance").alias("distance"))
+    return knn_join(queries, refs, 1, metric, **sizes).select("query_id", "ref_id", "distance")
 
 
 def cutoff_sample(refs: DataFrame, sample: int | None, seed: int = 0) -> DataFrame:
@@ -152,38 +292,57 @@ def cutoff_sample(refs: DataFrame, sample: int | None, seed: int = 0) -> DataFra
     return refs.withColumn("_h", h).orderBy("_h").limit(sample).drop("_h")
 
 
-def similarity_cutoff(refs: DataFrame, percentile: float = 50, sample: int | None = 500, seed: int = 0,
-                      metric=None, **kw) -> DataFrame:
-    """Row 51: distance of each sampled reference to its 2nd nearest reference (itself
-    being the 1st), and the ``percentile`` of those (linear interpolation).
-    One row: ``cut_off``."""
+def exact_quantile(df: DataFrame, value: str, q: float, bins: int = 4096, few: int = 1 << 16) -> float | None:
+    """The ``q`` quantile with linear interpolation, by selection: values are counted in equal ranges between the
+    smallest and the largest, and the range that holds the wanted place is refined until it holds ``few`` values or
+    one.  Counts per range, then those values, come back."""
+    held = cut_lineage(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")))
+    low, high, n = held.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not n:
+        return None
+    place = q * (n - 1)
+    first, before, above, inside = math.floor(place), 0, high, n  # ``above``: the least value beyond the range
+    while low < high and inside > few:
+        width = high - low
+        part = held.where((F.col("v") >= low) & (F.col("v") <= high))
+        ranges = part.groupBy(F.least(F.floor((F.col("v") - low) / width * bins), F.lit(bins - 1)).alias("b")) \
+            .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
+        for i, r in enumerate(ranges):  # one row per range
+            if before + r["n"] > first:
+                low, high, inside = r["low"], r["high"], r["n"]
+                above = ranges[i + 1]["low"] if i + 1 < len(ranges) else above
+                break
+            before += r["n"]
+    if low < high:
+        values = sorted(r["v"] for r in held.where((F.col("v") >= low) & (F.col("v") <= high)).collect())
+        at, beyond = values[first - before], first + 1 - before < len(values) and values[first + 1 - before]
+    else:
+        at, beyond = low, first + 1 - before < inside and low
+    return at + ((above if beyond is False else beyond) - at) * (place - first)
+
+
+def similarity_cutoff(refs: DataFrame, percentile: float = 50, sample: int | None = None, seed: int = 0,
+                      metric=None, cells: ReferenceCells | None = None, **sizes) -> float | None:
+    """Row 51: distance of each reference (or of a seeded ``sample`` of them) to its 2nd nearest reference (itself
+    being the 1st), and the ``percentile`` of those (linear interpolation)."""
     s = cutoff_sample(refs, sample, seed).select(F.col("ref_id").alias("query_id"), "embedding")
-    nn = knn_join(s, refs, 2, metric=metric, **kw).where(F.col("rank") == 2)
-    return nn.agg(F.percentile("distance", F.lit(percentile / 100.0)).alias("cut_off"))
+    cells = cells or reference_cells(refs, metric, **sizes)
+    return exact_quantile(knn_join(s, cells, 2).where(F.col("rank") == 2), "distance", percentile / 100.0)
 
 
-def similar_pairs(queries: DataFrame, refs: DataFrame, cut_off: float | None, max_similar: int | None = None,
-                  at_least_one_result: bool = True, metric=None, **kw) -> DataFrame:
+def similar_pairs(queries: DataFrame, refs, cut_off: float | None, max_similar: int | None = None,
+                  at_least_one_result: bool = True, metric=None, query_block: int | None = None, **sizes) -> DataFrame:
     """Row 29 core: per query, references within the cut-off (at most ``max_similar``);
     with ``at_least_one_result`` the nearest when none qualifies (Q20 fixed: without a
-    cut-off, the ``max_similar`` nearest).  One pass over the grid: in-range pairs and the
-    nearest of each cell are emitted together."""
-    p = metric_p(metric)
+    cut-off, the ``max_similar`` nearest)."""
+    if cut_off is None and max_similar is None:
+        raise ValueError("without a cut-off, max_similar must say how many references to return")
+    cells = reference_cells(refs, metric, **sizes)
     if cut_off is None:
-        if max_similar is None:
-            raise ValueError("without a cut-off, max_similar must say how many references to return")
-        return knn_join(queries, refs, max_similar, metric=metric, **kw)
-    c = distance_candidates(queries, refs, p=p, radius=cut_off, k=1 if at_least_one_result else 0, **kw)
-    c = c.withColumn("_has", F.max(F.col("in_range").cast("int")).over(Window.partitionBy("query_id")))
-    hit = c.where("in_range")
-    ranked = _rank(hit)
-    if max_similar is not None:
-        ranked = ranked.where(F.col("rank") <= max_similar)
-    out = ranked.select("query_id", "ref_id", "distance", "rank")
-    if at_least_one_result:
-        miss = c.where((F.col("_has") == 0) & (F.col("cell_rank") == 1)) \
-            .groupBy("query_id").agg(F.min(F.struct("distance", "ref_id")).alias("m")) \
-            .select("query_id", F.col("m.ref_id").alias("ref_id"), F.col("m.distance").alias("distance"),
-                    F.lit(1).alias("rank"))
-        out = out.unionByName(miss)
-    return out
+        return knn_join(queries, cells, max_similar, query_block=query_block)
+    hit = radius_join(queries, cells, cut_off, max_similar, query_block=query_block)
+    if not at_least_one_result:
+        return hit
+    hit = cut_lineage(hit)
+    lonely = queries.select("query_id", "embedding").join(hit.select("query_id").distinct(), "query_id", "left_anti")
+    return hit.unionByName(knn_join(lonely, cells, 1, query_block=query_block))

@@ -1,22 +1,33 @@
 """Word pieces, vocabulary lookup and encoding (rows 30, 75-78, 105).
 
-Greedy longest-match word pieces without a Python UDF (SURVEY 4.3d):
-distinct words -> every (start, length) substring up to the longest vocabulary
-entry -> join the vocabulary (``##`` prefix when start > 0) -> longest match per
-(word, start) -> a fold over the word's positions that follows the matches (one
-character where nothing matches) -> joined back by word.  The vocabulary side is
-a bounded table (a vocabulary size limit); the join is left to AQE (broadcast when
-small, skew splitting otherwise).
+Greedy longest-match word pieces: the vocabulary goes to every task as a trie with failure links, which cuts a word in
+time linear in its length.  Lines are cut where they are, batch by batch, each distinct word of a batch once, so no
+token is shuffled and a word that holds a third of all tokens is no hot key.  That path is for vocabularies of at most
+``VOCAB_CHARS`` characters, which is checked; a larger one is joined: distinct words -> every (start, length)
+substring -> longest entry per start -> a fold over the word's positions -> joined back by word.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import drop_blank_tokens, is_number, split_code, token_signature
 from ..schemas import TOKEN_CLS, TOKEN_NUMBER, TOKEN_SEP, TOKEN_UNK
-from .ordering import explode_rows, posexplode_rows
+from .ordering import posexplode_rows
+from .trie import PieceTrie
+
+#: Characters of a vocabulary that goes to every task; the trie has at most twice as many nodes.
+VOCAB_CHARS = 1 << 21
+#: Words whose pieces a worker keeps before it starts afresh.
+KEPT_WORDS = 200_000
+
+_tries: dict[str, tuple[PieceTrie, dict]] = {}
 
 
 def code_words(line: Column, preserve_whitespace: bool = True, use_digit_token: bool = True) -> Column:
@@ -39,12 +50,81 @@ def signature_words(line: Column, vocab_words: Column | None = None, preserve_wh
     return F.transform(w, lambda t: F.when(is_number(t), F.lit("0")).otherwise(t))
 
 
-def word_pieces_of(words: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
-    """Row 75 core: ``word, pieces`` (array<string>) for distinct words.
+def told_vocabulary(vocab: DataFrame):
+    """The vocabulary's tokens (with ids where it has them) for every task, or None where it is too large for that."""
+    cols = [c for c in ("token", "token_id") if c in vocab.columns]
+    size = vocab.agg(F.sum(F.length("token") + 1).alias("n")).first()["n"] or 0
+    if size > VOCAB_CHARS:
+        return None
+    rows = vocab.select(*cols).where(F.col("token").isNotNull()).collect()  # at most VOCAB_CHARS characters
+    return uuid.uuid4().hex, vocab.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+
+def _trie(key: str, tokens) -> tuple[PieceTrie, dict]:
+    """This worker's trie of a vocabulary, and the words it has cut so far."""
+    if key not in _tries:
+        if len(_tries) >= 2:
+            _tries.clear()
+        _tries[key] = PieceTrie(t[0] for t in tokens.value), {}
+    return _tries[key]
+
+
+def _cutter(told, words: str, whole: frozenset, instead: str | None):
+    """Adds each row's pieces, word by word; a word of ``whole`` is one piece.  With ``instead``, a word that is no
+    entry is cut as the word at its place there."""
+    def run(batches):
+        trie, kept = _trie(*told)
+        known = {t[0] for t in told[1].value} if instead else None
+        for b in batches:
+            col = b.column(b.schema.get_field_index(words))
+            flat = col.flatten().dictionary_encode()
+            texts, index = flat.dictionary.to_pylist(), flat.indices
+            if instead:
+                other = b.column(b.schema.get_field_index(instead)).flatten().to_pylist()
+                pairs = [texts[i] if texts[i] in known else o for i, o in zip(index.to_pylist(), other)]
+                flat = pa.array(pairs, pa.string()).dictionary_encode()
+                texts, index = flat.dictionary.to_pylist(), flat.indices
+            if len(kept) > KEPT_WORDS:
+                kept.clear()
+            cut = []
+            for w in texts:
+                p = kept.get(w)
+                if p is None:
+                    p = trie.pieces(w)
+                    if len(w) < 100:
+                        kept[w] = p
+                cut.append([w] if w in whole else p)
+            of_word = pa.array(cut, pa.list_(pa.string())).take(index)
+            sizes = np.concatenate([[0], np.cumsum(np.diff(np.asarray(col.offsets)))]).astype(np.int32)
+            pieces = pa.ListArray.from_arrays(pa.array(sizes), of_word)
+            keep = [i for i, n in enumerate(b.schema.names) if n not in (words, instead)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pieces], [*(b.schema.names[i] for i in keep), "_pieces"])
+    return run
+
+
+def with_pieces(df: DataFrame, words: Column, vocab: DataFrame, whole=(TOKEN_NUMBER,), instead: Column | None = None) -> DataFrame:
+    """``df`` with ``_pieces``: per word of the array ``words`` the array of its pieces.  An empty word has none."""
+    told = told_vocabulary(vocab)
+    extra = [words.alias("_words")] + ([instead.alias("_instead")] if instead is not None else [])
+    if told is not None:
+        out = T.StructType([*df.schema.fields, T.StructField("_pieces", T.ArrayType(T.ArrayType(T.StringType())))])
+        return df.select("*", *extra).mapInArrow(_cutter(told, "_words", frozenset(whole), "_instead" if instead is not None else None), out)
+    rows = df.select("*", F.monotonically_increasing_id().alias("_row"), *extra)
+    each = rows.select("_row", F.posexplode_outer("_words").alias("_wp", "_word"), *([F.col("_instead")] if instead is not None else []))
+    if instead is not None:
+        entry = vocab.select(F.col("token").alias("_word"), F.lit(True).alias("_known"))
+        each = each.join(entry, "_word", "left").withColumn("_word", F.when(F.col("_known"), F.col("_word")).otherwise(
+            F.try_element_at("_instead", F.col("_wp") + 1)))
+    pieces = pieces_by_join(each.where(~F.col("_word").isin(list(whole))), vocab, "_word")
+    each = each.join(pieces, F.col("_word") == F.col("word"), "left")
+    p = F.when(F.col("_word").isin(list(whole)), F.array("_word")).otherwise(F.coalesce("pieces", F.array().cast("array<string>")))
+    got = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.when(F.col("_wp").isNotNull(), F.struct("_wp", p.alias("p"))))).alias("_e"))
+    back = rows.select("_row", F.struct(*df.columns).alias("_r")).join(got, "_row")
+    return back.select("_r.*", F.transform("_e", lambda e: e["p"]).alias("_pieces"))
 
-    One shuffle: distinct words (hash partitioned by word) -> candidate substrings ->
-    join with the vocabulary (adaptive execution broadcasts it after measuring it) ->
-    matches grouped by word -> fold walking the longest matches."""
+
+def pieces_by_join(words: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
+    """``word, pieces`` for distinct words, by joining their substrings with a vocabulary of any size."""
     v = vocab.select(F.col("token").alias("_piece"), F.lit(True).alias("_hit"))
     lmax = v.select(F.max(F.length(F.regexp_replace("_piece", "^##", ""))).alias("m")).first()["m"] or 1  # scalar
     w = words.select(F.col(word_col).alias("word")).distinct().where(F.length("word") > 0)
@@ -70,16 +150,20 @@ def word_pieces_of(words: DataFrame, vocab: DataFrame, word_col: str = "word") -
     return jumps.select("word", walked["ps"].alias("pieces"))
 
 
+def word_pieces_of(words: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
+    """Row 75 core: ``word, pieces`` (array<string>) for distinct words."""
+    w = words.select(F.col(word_col).alias("word")).distinct().where(F.length("word") > 0)
+    return with_pieces(w, F.array("word"), vocab, whole=()).select("word", F.flatten("_pieces").alias("pieces"))
+
+
 def word_pieces(df: DataFrame, ids: list[str], words: Column, vocab: DataFrame, pos: str = "pos",
                 out: str = "token") -> DataFrame:
     """Rows 75/77: one row per piece: ``ids, pos`` (piece order in the line), ``token``."""
-    wrows = posexplode_rows(df, ids, words, "_wp", "word")
-    pieces = word_pieces_of(wrows.where(F.col("word") != TOKEN_NUMBER), vocab)
-    j = wrows.join(pieces, "word", "left")
-    # [NUMBER] stands for a digit word and is never split
-    arr = F.when(F.col("word") == TOKEN_NUMBER, F.array(F.col("word"))).otherwise(
-        F.coalesce("pieces", F.array(F.col("word"))))
-    p = posexplode_rows(j, [*ids, "_wp"], arr, "_pp", out)
+    cut = with_pieces(df.select(*ids, words.alias("_w")), F.col("_w"), vocab)
+    # an empty word stays as it is
+    cut = cut.select(*ids, F.zip_with("_w", "_pieces", lambda w, p: F.when(F.length(w) == 0, F.array(w)).otherwise(p)).alias("_pieces"))
+    each = posexplode_rows(cut, ids, F.col("_pieces"), "_wp", "_p")
+    p = posexplode_rows(each, [*ids, "_wp"], F.col("_p"), "_pp", out)
     return p.select(*ids, F.struct("_wp", "_pp").alias(pos), out)
 
 
@@ -89,49 +173,62 @@ def collect_ordered(rows: DataFrame, ids: list[str], pos: str, val: str, out: st
         .select(*ids, F.transform("_a", lambda x: x[val]).alias(out))
 
 
-def tokenize_lines(df: DataFrame, ids: list[str], line_col: str, vocab: DataFrame,
+def tokenize_lines(df: DataFrame, ids: list[str], line_col: str, vocab: DataFrame | None,
                    preserve_whitespace: bool = True, tokenizer=None) -> DataFrame:
-    """Row 75 per line: ``ids, tokens`` (array of word pieces; a line without words
-    gets [] from its own null word row, so no join back to the lines is needed)."""
-    if tokenizer is not None:  # row 105: a user tokenizer Column -> Column
-        return df.select(*ids, tokenizer(F.col(line_col)).alias("tokens"))
-    wrows = df.select(*ids, F.posexplode_outer(code_words(F.col(line_col), preserve_whitespace)).alias("_wp", "word"))
-    pieces = word_pieces_of(wrows.where(F.col("word").isNotNull() & (F.col("word") != TOKEN_NUMBER)), vocab)
-    j = wrows.join(pieces, "word", "left")
-    arr = F.when(F.col("word").isNull(), F.array().cast("array<string>")) \
-        .when(F.col("word") == TOKEN_NUMBER, F.array(F.col("word"))) \
-        .otherwise(F.coalesce("pieces", F.array(F.col("word"))))
-    per_word = j.select(*ids, F.struct(F.col("_wp"), arr.alias("p")).alias("_e"))
-    return per_word.groupBy(*ids).agg(F.array_sort(F.collect_list("_e")).alias("_a")) \
-        .select(*ids, F.flatten(F.transform("_a", lambda e: F.coalesce(e["p"], F.array().cast("array<string>"))))
-                .alias("tokens"))
+    """Row 75 per line: ``ids, tokens`` (array of word pieces; [] for a line without words).  ``tokenizer`` (row 105):
+    a Column -> Column that gives the words; with ``vocab`` None these are the tokens, else they are cut into pieces."""
+    line = F.col(line_col)
+    words = tokenizer(line) if tokenizer is not None else code_words(line, preserve_whitespace)
+    if vocab is None:
+        return df.select(*ids, words.alias("tokens"))
+    cut = with_pieces(df.select(*ids, F.coalesce(words, F.array().cast("array<string>")).alias("_w")), F.col("_w"), vocab)
+    pieces = F.zip_with("_w", "_pieces", lambda w, p: F.when(F.length(w) == 0, F.array(w)).otherwise(p))
+    return cut.select(*ids, F.flatten(pieces).alias("tokens"))
+
+
+def signature_pieces(df: DataFrame, ids: list[str], line_col: str, vocab: DataFrame, preserve_whitespace: bool = True,
+                     tokenizer=None) -> DataFrame:
+    """Row 76 word by word: ``ids, _pieces`` (array per word).  Digits -> "0"; a word outside the vocabulary -> its
+    signature (74); then word pieces."""
+    line = F.col(line_col)
+    words = tokenizer(line) if tokenizer is not None else signature_words(line, preserve_whitespace=preserve_whitespace)
+    staged = df.select(*ids, F.coalesce(words, F.array().cast("array<string>")).alias("_w"))
+    return with_pieces(staged, F.col("_w"), vocab, whole=(), instead=F.transform("_w", token_signature)).drop("_w")
 
 
 def signature_word_pieces(df: DataFrame, ids: list[str], line_col: str, vocab: DataFrame,
-                          preserve_whitespace: bool = True) -> DataFrame:
-    """Row 76: digits -> "0"; a word outside the vocabulary -> its signature (74);
-    then word pieces."""
-    wrows = posexplode_rows(df, ids, signature_words(F.col(line_col), preserve_whitespace=preserve_whitespace),
-                            "_wp", "word")
-    known = vocab.select(F.col("token").alias("word"), F.lit(True).alias("_known"))
-    wrows = wrows.join(known, "word", "left").withColumn(
-        "word", F.when(F.col("_known"), F.col("word")).otherwise(token_signature(F.col("word")))).drop("_known")
-    wrows = wrows.where(F.length("word") > 0)
-    pieces = word_pieces_of(wrows, vocab)
-    j = wrows.join(pieces, "word", "left")
-    p = posexplode_rows(j, [*ids, "_wp"], F.coalesce("pieces", F.array(F.col("word"))), "_pp", "token")
-    rows = p.select(*ids, F.struct("_wp", "_pp").alias("pos"), "token")
-    toks = collect_ordered(rows, ids, "pos", "token", "tokens")
-    return df.select(*ids).join(toks, ids, "left").select(*ids, F.coalesce("tokens", F.array().cast("array<string>"))
-                                                          .alias("tokens"))
+                          preserve_whitespace: bool = True, tokenizer=None) -> DataFrame:
+    """Row 76 per line: ``ids, tokens``."""
+    cut = signature_pieces(df, ids, line_col, vocab, preserve_whitespace, tokenizer)
+    return cut.select(*ids, F.flatten("_pieces").alias("tokens"))
+
+
+def _finder(told, tokens: str, unknown: int):
+    def run(batches):
+        ids = {t: int(i) for t, i in told[1].value}
+        for b in batches:
+            col = b.column(b.schema.get_field_index(tokens))
+            flat = col.flatten().dictionary_encode()
+            found = pa.array([ids.get(t, unknown) for t in flat.dictionary.to_pylist()], pa.int32()).take(flat.indices)
+            sizes = np.concatenate([[0], np.cumsum(np.diff(np.asarray(col.offsets)))]).astype(np.int32)
+            keep = [i for i, n in enumerate(b.schema.names) if n != tokens]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.ListArray.from_arrays(pa.array(sizes), found)],
+                                             [*(b.schema.names[i] for i in keep), "_ids"])
+    return run
 
 
 def vocab_lookup(df: DataFrame, ids: list[str], tokens_col: str, vocab: DataFrame, out: str = "token_ids") -> DataFrame:
-    """Row 30: tokens -> ids, unknown -> the [UNK] id; order kept."""
-    unk = vocab.where(F.col("token") == TOKEN_UNK).select(F.col("token_id").alias("_unk"))
+    """Row 30: tokens -> ids, unknown -> the [UNK] id; order kept.  In place for a vocabulary that every task can hold,
+    by a join on the token for a larger one."""
+    unk_id = vocab.where(F.col("token") == TOKEN_UNK).select("token_id").first()["token_id"]  # one scalar
+    told = told_vocabulary(vocab)
+    if told is not None:
+        src = df.select(*ids, F.coalesce(tokens_col, F.array().cast("array<string>")).alias("_t"))
+        fields = [f for f in src.schema.fields if f.name != "_t"]
+        found = src.mapInArrow(_finder(told, "_t", int(unk_id)), T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
+        return found.withColumnRenamed("_ids", out)
     rows = posexplode_rows(df, ids, F.col(tokens_col), "_p", "token")
     j = rows.join(vocab.select("token", "token_id"), "token", "left")
-    unk_id = unk.first()["_unk"]  # one scalar
     j = j.select(*ids, "_p", F.coalesce(F.col("token_id"), F.lit(unk_id)).cast("int").alias("_id"))
     got = collect_ordered(j, ids, "_p", "_id", out)
     return df.select(*ids).join(got, ids, "left").select(*ids, F.coalesce(out, F.array().cast("array<int>")).alias(out))

@@ -168,17 +168,9 @@ def _sig_sql() -> list:
 @register("signature_word_piece", W("SELECT doc_id, line_no, word_pos, piece_pos, token FROM sig",
                                     *_VOCAB_CTES, *_sig_sql(), recursive=True))
 def q_signature_wp(spark, sf):
-    lines = fx.v_lines(spark, sf)
-    vocab = _vocab(spark, sf)
-    wrows = posexplode_rows(lines, IDS, wp.signature_words(F.col("line_contents")), "word_pos", "word")
-    known = vocab.select(F.col("token").alias("word"), F.lit(True).alias("_known"))
-    from ..functions.text import token_signature
-    wrows = wrows.join(known, "word", "left").withColumn(
-        "word", F.when(F.col("_known"), F.col("word")).otherwise(token_signature(F.col("word")))).drop("_known")
-    wrows = wrows.where(F.length("word") > 0)
-    pieces = wp.word_pieces_of(wrows, vocab)
-    j = wrows.join(pieces, "word")
-    return posexplode_rows(j, [*IDS, "word_pos"], F.col("pieces"), "piece_pos", "token") \
+    cut = wp.signature_pieces(fx.v_lines(spark, sf), IDS, "line_contents", _vocab(spark, sf))
+    each = posexplode_rows(cut, IDS, F.col("_pieces"), "word_pos", "_p")
+    return posexplode_rows(each, [*IDS, "word_pos"], F.col("_p"), "piece_pos", "token") \
         .select(*IDS, F.col("word_pos").cast("int").alias("word_pos"), F.col("piece_pos").cast("int").alias("piece_pos"),
                 "token")
 

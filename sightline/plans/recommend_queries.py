@@ -21,7 +21,6 @@ PURP, SUBJ = fx.FIXTURE_PURPOSES, fx.FIXTURE_SUBJECTS
 IDS = ["doc_id", "line_no"]
 CSEQ = ["conv_id", "turn"]
 DIM = 64
-REVIEW_SAMPLE = 150
 
 
 # ---------------------------------------------------------------------------
@@ -67,13 +66,12 @@ _MODEL_CTES = [
 ]
 
 
-def _review_ctes(sample: int = REVIEW_SAMPLE):
+def _review_ctes():
     vecs, emb = sql_embed("line")
-    cut = _CUT_SQL[1].replace("LIMIT 500", f"LIMIT {sample}")
     return _MODEL_CTES + [
         ("flagged", "SELECT DISTINCT line_contents AS line FROM classified WHERE commented_pred = 1"),
         ("emb", f"SELECT line, {emb} AS embedding FROM (SELECT line, {vecs} AS _v FROM flagged)"),
-        ("cut", cut),
+        _CUT_SQL,
         ("rpairs", f"SELECT e.line AS query_line, r.ref_id, r.line AS similar_line, "
                    f"{sql_minkowski('e.embedding', 'r.embedding')} AS distance FROM emb e, v_reference r"),
         ("rsim", "SELECT DISTINCT query_line, similar_line FROM (SELECT *, row_number() OVER (PARTITION BY query_line "
@@ -120,7 +118,7 @@ def _model(spark, sf):
 
 def _reviewed(spark, sf):
     return rv.review(fx.v_lines(spark, sf), _model(spark, sf), fx.v_reference(spark, sf), fx.v_comments(spark, sf),
-                     PURP, SUBJ, IDS, CSEQ, cut_off_sample=REVIEW_SAMPLE)
+                     PURP, SUBJ, IDS, CSEQ)
 
 
 def _round(df, cols):
@@ -206,8 +204,8 @@ _LOOKUP_CTES = [_pairs_sql(), _CUT_SQL, _RANKED_SQL,
 def _lookup(spark, sf):
     q = fx.v_queries(spark, sf)
     refs = fx.v_reference(spark, sf)
-    cut = sm.similarity_cutoff(refs, 50, 500, 0).first()["cut_off"]
-    pairs = sm.similar_pairs(q.select("query_id", "embedding"), refs.select("ref_id", "embedding"), cut)
+    cells = sm.reference_cells(refs)
+    pairs = sm.similar_pairs(q.select("query_id", "embedding"), cells, sm.similarity_cutoff(refs, 50, cells=cells))
     return (pairs.join(q.select("query_id", "query_line"), "query_id")
             .join(refs.select("ref_id", F.col("line").alias("similar_line")), "ref_id"))
 

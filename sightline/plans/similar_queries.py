@@ -12,7 +12,7 @@ from ..sources import fixtures as fx
 from .catalog import register
 
 W = fx.with_views
-PCT, SAMPLE, SEED = 50, 500, 0
+PCT = 50
 
 
 def sql_minkowski(a: str, b: str, p: float = 6) -> str:
@@ -34,8 +34,7 @@ _CUT_SQL = ("cut", f"""
     SELECT quantile_cont(distance, {PCT / 100.0}) AS cut_off FROM (
       SELECT s.ref_id, r.ref_id AS other, {sql_minkowski('s.embedding', 'r.embedding')} AS distance,
              row_number() OVER (PARTITION BY s.ref_id ORDER BY {sql_minkowski('s.embedding', 'r.embedding')}, r.ref_id) AS rk
-      FROM (SELECT * FROM v_reference ORDER BY md5('{SEED}:' || CAST(ref_id AS VARCHAR)) LIMIT {SAMPLE}) s,
-           v_reference r) WHERE rk = 2""")
+      FROM v_reference s, v_reference r) WHERE rk = 2""")
 
 _RANKED_SQL = ("ranked", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM pairs")
 
@@ -48,8 +47,11 @@ def _queries(spark, sf):
     return fx.v_queries(spark, sf)
 
 
-def _cut(spark, sf) -> float:
-    return sm.similarity_cutoff(_refs(spark, sf), PCT, SAMPLE, SEED).first()["cut_off"]
+def _within(spark, sf, join, **kw):
+    """``join`` within the cut-off; the cells of the references serve both."""
+    refs = _refs(spark, sf)
+    cells = sm.reference_cells(refs)
+    return join(_queries(spark, sf), cells, sm.similarity_cutoff(refs, PCT, cells=cells), **kw)
 
 
 def _out(df):
@@ -73,14 +75,15 @@ def q_minkowski(spark, sf):
 
 @register("similarity_cutoff", W("SELECT round(cut_off, 6) AS cut_off FROM cut", _CUT_SQL))
 def q_cutoff(spark, sf):
-    return sm.similarity_cutoff(_refs(spark, sf), PCT, SAMPLE, SEED).select(F.round("cut_off", 6).alias("cut_off"))
+    cut = sm.similarity_cutoff(_refs(spark, sf), PCT)
+    return spark.range(1).select(F.round(F.lit(cut), 6).alias("cut_off"))
 
 
 @register("radius_join", W(
     "SELECT query_id, ref_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM ranked "
     "WHERE distance <= (SELECT cut_off FROM cut)", _pairs_sql(), _CUT_SQL, _RANKED_SQL))
 def q_radius(spark, sf):
-    return _out(sm.radius_join(_queries(spark, sf), _refs(spark, sf), _cut(spark, sf)))
+    return _out(_within(spark, sf, sm.radius_join))
 
 
 @register("knn_join", W(
@@ -95,7 +98,7 @@ def q_knn(spark, sf):
     "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM pairs "
     " WHERE distance <= (SELECT cut_off FROM cut)) WHERE rank <= 3", _pairs_sql(), _CUT_SQL))
 def q_rank_neighbours(spark, sf):
-    return _out(sm.radius_join(_queries(spark, sf), _refs(spark, sf), _cut(spark, sf), max_similar=3))
+    return _out(_within(spark, sf, sm.radius_join, max_similar=3))
 
 
 @register("nearest_line", W(
@@ -123,8 +126,10 @@ def q_similar_lookup(spark, sf):
     # one query per distinct line text (ids stand for the text)
     distinct = q.groupBy("query_line").agg(F.min("query_id").alias("query_id"))
     qd = q.join(distinct, ["query_line", "query_id"], "left_semi")
-    pairs = sm.similar_pairs(qd.select("query_id", "embedding"), _refs(spark, sf), _cut(spark, sf))
-    r = _refs(spark, sf).select("ref_id", F.col("line").alias("similar_line"))
+    refs = _refs(spark, sf)
+    cells = sm.reference_cells(refs)
+    pairs = sm.similar_pairs(qd.select("query_id", "embedding"), cells, sm.similarity_cutoff(refs, PCT, cells=cells))
+    r = refs.select("ref_id", F.col("line").alias("similar_line"))
     return pairs.join(qd.select("query_id", "query_line"), "query_id").join(r, "ref_id") \
         .select("query_line", "similar_line", F.round("distance", 6).alias("distance"))
 
@@ -134,5 +139,4 @@ def q_similar_lookup(spark, sf):
     "WHERE distance <= (SELECT cut_off FROM cut)", _pairs_sql(), _CUT_SQL))
 def q_find_similar(spark, sf):
     from .similar_jobs import find_similar
-    return find_similar(_refs(spark, sf), _queries(spark, sf), cut_off_percentile=PCT, cut_off_sample=SAMPLE,
-                        seed=SEED).select("query_line", "similar_line", F.round("distance", 6).alias("distance"))
+    return find_similar(_refs(spark, sf), _queries(spark, sf), cut_off_percentile=PCT).select("query_line", "similar_line", F.round("distance", 6).alias("distance"))

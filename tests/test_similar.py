@@ -1,6 +1,9 @@
-"""Rows 27-29, 51, 64: the blocked kernel against brute force."""
+"""Rows 27-29, 51, 64: metric cells against brute force, and the work they save."""
+
+import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import similar as sm
@@ -53,8 +56,10 @@ def test_cutoff_matches_numpy(spark):
     D = brute(R, R)
     second = np.sort(D, axis=1)[:, 1]
     want = float(np.percentile(second, 50))
-    got = sm.similarity_cutoff(r, 50, sample=10_000, ref_block=11).first()["cut_off"]
-    assert abs(got - want) < 1e-9
+    assert abs(sm.similarity_cutoff(r, 50, ref_block=11) - want) < 1e-9
+    assert abs(sm.similarity_cutoff(r, 50, sample=10_000, pivots=1) - want) < 1e-9
+    some = [x["ref_id"] for x in sm.cutoff_sample(r, 20).collect()]
+    assert abs(sm.similarity_cutoff(r, 80, sample=20) - float(np.percentile(second[some], 80))) < 1e-9
 
 
 def test_manhattan_metric(spark):
@@ -64,3 +69,76 @@ def test_manhattan_metric(spark):
     for row in got:
         i = row["query_id"]
         assert row["ref_id"] == int(np.lexsort((np.arange(R.shape[0]), D[i]))[0])
+
+
+def clustered(spark, seed=7, clusters=20, each=60, d=6):
+    """References in tight clusters, a third of them one and the same vector, and queries near some clusters."""
+    rnd = np.random.default_rng(seed)
+    at = rnd.normal(size=(clusters, d)) * 20
+    R = (at[:, None, :] + rnd.normal(size=(clusters, each, d)) * 0.2).reshape(-1, d).astype(np.float32)
+    R = R[rnd.permutation(len(R))]
+    R[::3] = R[0]
+    Q = (at[rnd.integers(0, clusters, 50)] + rnd.normal(size=(50, d)) * 0.2).astype(np.float32)
+    Q[:4] = R[0]
+    frame = lambda m, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{name} long, embedding array<float>")
+    return Q.astype(float), R.astype(float), frame(Q, "query_id"), frame(R, "ref_id")
+
+
+def minkowski(Q, R, p):
+    d = np.abs(Q[:, None, :] - R[None, :, :])
+    return d.max(-1) if math.isinf(p) else (d ** p).sum(-1) ** (1 / p)
+
+
+@pytest.mark.parametrize("metric", [1, 2, 3.5, None, math.inf])
+def test_clusters_and_copies_every_metric(spark, metric):
+    Q, R, q, r = clustered(spark)
+    D = minkowski(Q, R, 6 if metric is None else metric)
+    cells = sm.reference_cells(r, metric, ref_block=32)
+    assert cells.counts.sum() == len(R) and sum(x["n"] for x in cells.directory().collect()) == len(R)
+    got = sorted((x["query_id"], x["rank"], x["ref_id"]) for x in sm.knn_join(q, cells, 7, query_block=16).collect())
+    assert got == [(i, k + 1, int(j)) for i in range(len(Q)) for k, j in enumerate(np.lexsort((np.arange(len(R)), D[i]))[:7])]
+    cut = float(np.percentile(D, 3))
+    got = {(x["query_id"], x["ref_id"]) for x in sm.radius_join(q, cells, cut).collect()}
+    assert got == set(map(tuple, np.argwhere(D <= cut).tolist()))
+    few = {(x["query_id"], x["rank"], x["ref_id"]) for x in sm.radius_join(q, cells, cut, max_similar=2).collect()}
+    assert few == {(i, k + 1, int(j)) for i in range(len(Q)) for k, j in enumerate(np.lexsort((np.arange(len(R)), D[i]))[:2]) if D[i, j] <= cut}
+
+
+def test_queries_go_to_few_blocks(spark):
+    """Copies of queries: with clusters a query reaches a small part of the blocks, one block holds one cell, and the
+    copies of one vector are many blocks of bounded size."""
+    Q, R, q, r = clustered(spark)
+    cells = sm.reference_cells(r, ref_block=32)
+    blocks = cells.blocks.select("cell", "n", "lo", "hi").collect()
+    assert max(b["n"] for b in blocks) <= 32 and all(b["lo"] <= b["hi"] for b in blocks)
+    assert sum(b["hi"] == 0 for b in blocks) >= len(R) / 3 / 32 - 1  # the copies are a pivot
+    copies = sm.routed(q.select("query_id", "embedding", F.lit(0.5).alias("radius")), cells).groupBy("query_id").count().collect()
+    far = [c["count"] for c in copies if c["query_id"] >= 4]
+    assert np.mean(far) < 0.25 * len(blocks)
+    every = sm.routed(q.select("query_id", "embedding", F.lit(1e9).alias("radius")), cells)
+    assert every.count() == len(Q) * len(blocks)
+
+
+def test_odd_vectors_and_small_tables(spark):
+    s = "embedding array<double>"
+    r = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [math.nan, 1.0]), (5, [3.0, 4.0])], "ref_id long, " + s)
+    q = spark.createDataFrame([(7, [0.0, 0.0]), (8, None), (9, [math.nan, 0.0])], "query_id long, " + s)
+    got = sm.knn_join(q, r, 5, metric=2).collect()
+    assert sorted((x["query_id"], x["ref_id"], x["distance"]) for x in got) == [(7, 1, 0.0), (7, 5, 5.0)]
+    assert sm.similar_pairs(q, r, 0.1, metric="l2").count() == 1
+    assert sm.knn_join(q, r.limit(0), 2).count() == 0 and sm.similarity_cutoff(r.limit(0), 50) is None
+    assert sm.radius_join(q.limit(0), r, 9.0).count() == 0
+    with pytest.raises(ValueError):
+        sm.reference_cells(r, metric=0.5)
+    with pytest.raises(ValueError):
+        sm.similar_pairs(q, r, None)
+
+
+def test_exact_quantile(spark):
+    rnd = np.random.default_rng(2)
+    x = np.round(rnd.normal(size=3001), 1)  # many ties
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(7)
+    for at in (0, 0.1, 0.5, 0.777, 1):
+        for few in (1, 50, 1 << 16):
+            assert abs(sm.exact_quantile(df, "v", at, bins=8, few=few) - np.quantile(x, at)) < 1e-12
+    assert sm.exact_quantile(df.limit(0), "v", 0.5) is None
