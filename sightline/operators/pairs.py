@@ -78,11 +78,6 @@ def write_shards(pairs: DataFrame, path: str, fmt: str = "parquet", mode: str =
     pairs.repartition("shard").write.mode(mode).partitionBy("shard").format(fmt).save(path)
 
 
-def steps_per_epoch(pairs: DataFrame, batch_size: int) -> DataFrame:
-    """Row 53."""
-    return pairs.agg(F.floor(F.count(F.lit(1)) / batch_size).cast("long").alias("steps_per_epoch"))
-
-
 def _h(*parts: Column) -> Column:
     """md5 of the parts joined by '|', first 8 hex digits as a number (shared with the oracle)."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")

@@ -8,8 +8,10 @@ from ..functions.text import vocab_tokens
 from ..operators import labels as lb
 from ..operators import learn as ln
 from ..operators import metrics as mt
-from ..operators.ordering import dense_index
+from ..schemas import PURPOSE_LABELS, SUBJECT_COLUMNS
+from ..session import cut_lineage
 from ..sources import fixtures as fx
+from . import jobs
 from . import sqltext as S
 from .catalog import register
 from .recommend_queries import _MODEL_CTES
@@ -182,22 +184,12 @@ def q_decode_purpose(spark, sf):
     return c.select("conv_id", "turn", lb.decode_purpose(_score_arr_spark(), PURP).alias("predicted"))
 
 
-def train_val_split(df, id_cols, train_size: float, seed: int = 0):
-    """Row 92: reproducible split: rank rows by md5(seed || ids); the first
-    floor(n * train_size) are 'train' (all of them when train_size = 1)."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
-    n = df.count()  # one scalar
-    ranked = dense_index(df.withColumn("_h", key), [F.col("_h")], "_rk")
-    return ranked.withColumn("split", F.when(F.col("_rk") < int(n * train_size), "train").otherwise("val")) \
-        .drop("_h", "_rk")
-
-
 @register("train_val_split", W(
     "SELECT doc_id, line_no, CASE WHEN rk < CAST(floor((SELECT count(*) FROM v_class) * 0.8) AS BIGINT) THEN 'train' "
     "ELSE 'val' END AS split FROM (SELECT doc_id, line_no, row_number() OVER (ORDER BY "
     "md5('0|' || CAST(doc_id AS VARCHAR) || '|' || CAST(line_no AS VARCHAR))) - 1 AS rk FROM v_class)"))
 def q_split(spark, sf):
-    return train_val_split(fx.v_class(spark, sf), ["doc_id", "line_no"], 0.8).select("doc_id", "line_no", "split")
+    return jobs.split_parts(fx.v_class(spark, sf), ["doc_id", "line_no"], 0.8).select("doc_id", "line_no", "split")
 
 
 @register("attach_predictions", W(
@@ -215,8 +207,28 @@ def q_attach(spark, sf):
                          "ON c.doc_id = k.doc_id AND c.line_no = k.line_no")))
 def q_eval_lines(spark, sf):
     from .recommend_queries import _model
-    cls = ln.classify_lines(fx.v_class(spark, sf), _model(spark, sf), ["doc_id", "line_no"])
-    return _round(mt.binary_report(cls, "commented", "commented_pred"), METRICS)
+    report, _ = jobs.evaluate_lines(fx.v_class(spark, sf), _model(spark, sf))
+    return _round(report, METRICS)
+
+
+_PARTS_CTE = ("parts", "SELECT *, CASE WHEN rk < CAST(floor(n * 0.6) AS BIGINT) THEN 'train' WHEN rk < CAST(floor(n * 0.6) AS BIGINT) "
+                       "+ CAST(floor(n * 0.2) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, line_no, "
+                       "count(*) OVER () AS n, row_number() OVER (ORDER BY md5('7|' || CAST(doc_id AS VARCHAR) || '|' || "
+                       "CAST(line_no AS VARCHAR))) - 1 AS rk FROM v_class)")
+
+
+@register("evaluate_lines_confusion", W(
+    "SELECT t, p, n, round(share, 6) AS share FROM ("
+    + _cm_sql("ev", "commented", "commented_pred", labels_sql="SELECT unnest([0, 1]) AS l") + ")",
+    *_MODEL_CTES, _PARTS_CTE, ("ev", "SELECT c.commented, k.commented_pred FROM v_class c JOIN classified k "
+                                     "ON c.doc_id = k.doc_id AND c.line_no = k.line_no JOIN parts s "
+                                     "ON c.doc_id = s.doc_id AND c.line_no = s.line_no WHERE s.split = 'test'")))
+def q_eval_lines_cm(spark, sf):
+    """Row 97 on the test part: the confusion table."""
+    from .recommend_queries import _model
+    parts = jobs.split_parts(fx.v_class(spark, sf), ["doc_id", "line_no"], 0.6, 0.2, seed=7)
+    _, confusion = jobs.evaluate_lines(parts, _model(spark, sf), part="test")
+    return _round(confusion, ["share"])
 
 
 _MC_TOKS = f"SELECT purpose AS label, unnest({S.vocab_tokens('message')}) AS token FROM v_comments WHERE purpose IN ({_PURP_IN})"
@@ -228,3 +240,83 @@ _MC_TOKS = f"SELECT purpose AS label, unnest({S.vocab_tokens('message')}) AS tok
     ("mc", _MC_TOKS)))
 def q_train_comments(spark, sf):
     return ln.train_multiclass(fx.v_comments(spark, sf), "message", "purpose", PURP)
+
+
+# --- the whole label contract: five purposes, twelve subjects (rows 95, 96, 98) -
+
+_TARGETS = ("SELECT conv_id, turn, 'purpose' AS target, purpose AS class FROM v_labelled WHERE purpose IS NOT NULL UNION ALL "
+            + " UNION ALL ".join(f"SELECT conv_id, turn, '{s}', CAST(CAST(coalesce({s}, 0.0) AS INTEGER) AS VARCHAR) FROM v_labelled"
+                                 for s in SUBJECT_COLUMNS))
+_COMMENT_CTES = [
+    ("labels_of", "MATERIALIZED: " + _TARGETS),
+    ("toks_of", f"MATERIALIZED: SELECT conv_id, turn, token, count(*) AS c FROM (SELECT conv_id, turn, unnest({S.vocab_tokens('message')}) AS token "
+                "FROM v_labelled) GROUP BY ALL"),
+    ("cmodel", "MATERIALIZED: SELECT target, class, token, CAST(sum(c) AS DOUBLE) AS n FROM labels_of JOIN toks_of USING (conv_id, turn) GROUP BY ALL"),
+    ("cprior", "SELECT target, class, CAST(count(*) AS DOUBLE) AS n FROM labels_of GROUP BY ALL"),
+]
+_CLASSIFY_CTES = [*_COMMENT_CTES,
+    ("csize", "SELECT target, CAST(count(DISTINCT token) AS DOUBLE) AS v FROM cmodel GROUP BY target"),
+    ("ctotal", "SELECT target, class, sum(n) AS total FROM cmodel GROUP BY ALL"),
+    ("cvocab", "SELECT DISTINCT target, token FROM cmodel"),
+    ("csum", "SELECT t.conv_id, t.turn, v.target, p.class, sum(t.c * (ln(coalesce(m.n, 0) + 1.0) - ln(o.total + z.v))) AS s "
+             "FROM toks_of t JOIN cvocab v USING (token) JOIN cprior p ON p.target = v.target JOIN ctotal o ON o.target = p.target AND "
+             "o.class = p.class JOIN csize z ON z.target = v.target LEFT JOIN cmodel m ON m.target = v.target AND m.class = p.class AND "
+             "m.token = t.token GROUP BY ALL"),
+    ("cscore", "SELECT l.conv_id, l.turn, p.target, p.class, ln(p.n / sum(p.n) OVER (PARTITION BY l.conv_id, l.turn, p.target)) "
+               "+ coalesce(s.s, 0.0) AS s FROM v_labelled l JOIN cprior p ON TRUE LEFT JOIN csum s "
+               "ON s.conv_id = l.conv_id AND s.turn = l.turn AND s.target = p.target AND s.class = p.class"),
+    ("cpred", "MATERIALIZED: SELECT conv_id, turn, "
+              "arg_max(class, s) FILTER (WHERE target = 'purpose') AS pred_purpose, "
+              + ", ".join(f"CAST(max(s) FILTER (WHERE target = '{s}' AND class = '1') > max(s) FILTER (WHERE target = '{s}' AND class = '0') "
+                          f"AS INTEGER) AS pred_{s}" for s in SUBJECT_COLUMNS) + " FROM cscore GROUP BY ALL"),
+]
+_PREDS = ["pred_" + s for s in SUBJECT_COLUMNS]
+
+
+def _comment_model(spark, sf):
+    return cut_lineage(ln.train_comments(fx.v_labelled(spark, sf), "message", "purpose", PURPOSE_LABELS, SUBJECT_COLUMNS))
+
+
+@register("train_comment_model", W("SELECT target, class, token, n FROM cmodel UNION ALL SELECT target, class, NULL, n FROM cprior",
+                                   *_COMMENT_CTES))
+def q_train_comment_model(spark, sf):
+    return _comment_model(spark, sf)
+
+
+@register("train_comment_model_more", W(
+    "SELECT target, class, token, 2 * n AS n FROM cmodel UNION ALL SELECT target, class, NULL, 2 * n FROM cprior", *_COMMENT_CTES))
+def q_train_more(spark, sf):
+    """Row 95 going on from an earlier model: the same comments once more double every count."""
+    return ln.train_comments(fx.v_labelled(spark, sf), "message", "purpose", PURPOSE_LABELS, SUBJECT_COLUMNS, base=_comment_model(spark, sf))
+
+
+@register("classify_comments", W("SELECT conv_id, turn, pred_purpose, " + ", ".join(_PREDS) + " FROM cpred", *_CLASSIFY_CTES))
+def q_classify_comments(spark, sf):
+    out = ln.classify_comments(fx.v_labelled(spark, sf), "message", _comment_model(spark, sf), PURPOSE_LABELS, SUBJECT_COLUMNS)
+    return out.select("conv_id", "turn", "pred_purpose", *_PREDS)
+
+
+_CEVAL_TALL = ("tall", "SELECT 'purpose' AS target, l.purpose AS t, p.pred_purpose AS p FROM v_labelled l JOIN cpred p USING (conv_id, turn) "
+               "UNION ALL " + " UNION ALL ".join(
+                   f"SELECT '{s}' AS target, CAST(CAST(coalesce(l.{s}, 0.0) AS INTEGER) AS VARCHAR) AS t, CAST(p.pred_{s} AS VARCHAR) AS p "
+                   f"FROM v_labelled l JOIN cpred p USING (conv_id, turn)" for s in SUBJECT_COLUMNS))
+
+
+@register("evaluate_comments", W(f"SELECT target, {_r6(METRICS)} FROM ({_REPORT_SQL})", *_CLASSIFY_CTES, _CEVAL_TALL))
+def q_evaluate_comments(spark, sf):
+    report, _, _ = jobs.evaluate_comments(fx.v_labelled(spark, sf), _comment_model(spark, sf), PURPOSE_LABELS, SUBJECT_COLUMNS)
+    return _round(report, METRICS)
+
+
+@register("evaluate_comments_confusion", W(
+    "SELECT 'purpose' AS target, t, p, n, round(share, 6) AS share FROM (" + _cm_sql(
+        "(SELECT * FROM tall WHERE target = 'purpose')", "t", "p", labels_sql="SELECT unnest([" + ", ".join(f"'{p}'" for p in PURPOSE_LABELS) + "]) AS l")
+    + ") UNION ALL SELECT target, t, p, n, round(share, 6) FROM (" + _cm_sql(
+        "(SELECT * FROM tall WHERE target <> 'purpose')", "t", "p", "target",
+        "SELECT DISTINCT target, unnest(['0', '1']) AS l FROM tall WHERE target <> 'purpose'") + ")", *_CLASSIFY_CTES, _CEVAL_TALL))
+def q_evaluate_comments_cm(spark, sf):
+    """Row 98: the confusion tables, purpose and subjects under each other."""
+    _, purpose, subjects = jobs.evaluate_comments(fx.v_labelled(spark, sf), _comment_model(spark, sf), PURPOSE_LABELS, SUBJECT_COLUMNS)
+    both = purpose.select(F.lit("purpose").alias("target"), "t", "p", "n", "share").unionByName(
+        subjects.select(F.col("subject").alias("target"), F.col("t").cast("string").alias("t"), F.col("p").cast("string").alias("p"), "n", "share"))
+    return _round(both, ["share"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as mt
 from ..operators import pairs as pr
 from ..operators import wordpiece as wp
 from ..session import cut_lineage
@@ -66,7 +67,7 @@ def q_shards(spark, sf):
 @register("steps_per_epoch", W(f"SELECT CAST(floor(count(*) / {BATCH}) AS BIGINT) AS steps_per_epoch FROM accepted",
                                *_PAIR_CTES, recursive=True))
 def q_steps(spark, sf):
-    return pr.steps_per_epoch(pr.generate_pairs(fx.v_lines(spark, sf), PERIOD), BATCH)
+    return mt.steps_per_epoch(pr.generate_pairs(fx.v_lines(spark, sf), PERIOD), BATCH)
 
 
 @register("epoch_order", W(

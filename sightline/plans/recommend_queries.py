@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embed as em
+from ..operators import labels as lb
 from ..operators import learn as ln
 from ..operators import recommend as rc
 from ..operators import similar as sm
@@ -134,7 +135,7 @@ def q_train_lines(spark, sf):
     "SELECT commented, n, CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight FROM "
     "(SELECT commented, count(*) AS n FROM v_class GROUP BY commented)"))
 def q_line_weights(spark, sf):
-    return ln.balanced_weights(fx.v_class(spark, sf), "commented")
+    return lb.class_weights(fx.v_class(spark, sf), "commented")
 
 
 @register("classify_lines", W(

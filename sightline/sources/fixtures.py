@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import PURPOSE_LABELS, SUBJECT_COLUMNS
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -111,6 +113,17 @@ def v_comments(spark, sf_dir) -> DataFrame:
     )
 
 
+def v_labelled(spark, sf_dir) -> DataFrame:
+    """The comments with the whole label contract: five purposes (one in six null), twelve subjects (some null)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("message"))
+    kind = (F.length("message") + F.col("turn")) % (len(PURPOSE_LABELS) + 1)
+    flags = [F.when((F.col("conv_id") + i) % 11 == 0, F.lit(None).cast("double"))
+             .when((F.col("conv_id") * (i + 3) + F.col("turn") * 7 + F.length("message")) % 5 == 0, 1.0).otherwise(0.0).alias(s)
+             for i, s in enumerate(SUBJECT_COLUMNS)]
+    purpose = F.try_element_at(F.array(*[F.lit(p) for p in PURPOSE_LABELS]), (kind + 1).cast("int"))
+    return c.select("*", purpose.alias("purpose"), *flags)
+
+
 def v_comment_preds(spark, sf_dir) -> DataFrame:
     """Stand-in predictions for the comments: purpose right for 70 % of the rows
     (else 'assistant'), each subject flag flipped for 15 %."""
@@ -167,6 +180,12 @@ VIEW_SQL = {
                CASE WHEN length(text) % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS code_style,
                CASE WHEN conv_id % 5 = 4 THEN NULL WHEN conv_id % 5 < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS code_logic
         FROM conversations""",
+    "v_labelled": "SELECT conv_id, turn, text AS message, ["
+                  + ", ".join(f"'{p}'" for p in PURPOSE_LABELS)
+                  + f"][CAST((length(text) + turn) % {len(PURPOSE_LABELS) + 1} AS INTEGER) + 1] AS purpose, "
+                  + ", ".join(f"CASE WHEN (conv_id + {i}) % 11 = 0 THEN NULL WHEN (conv_id * {i + 3} + turn * 7 + length(text)) % 5 = 0 "
+                              f"THEN 1.0 ELSE 0.0 END::DOUBLE AS {s}" for i, s in enumerate(SUBJECT_COLUMNS))
+                  + " FROM conversations",
     "v_comment_preds": """
         SELECT *, CASE WHEN ('0x' || substr(md5(CAST(conv_id * 100 + turn AS VARCHAR)), 1, 8))::BIGINT % 100 < 70
                        THEN purpose ELSE 'assistant' END AS pred_purpose,
