@@ -3,18 +3,21 @@
 The reference walks changes one by one with global sets and counters.  Here
 every step is a set operation keyed by change or by line text, and the only
 cross-change state (the carried OK-line quota) becomes prefix sums over one row
-per change.  Sequence columns (``seq``) carry the input order explicitly.
+per change, or a scan of functions where the ratio is above 1.  Sequence columns (``seq``) carry the input order explicitly.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .ordering import dense_index, first_per_key, rank_in_group, running_sum_max
+from .ordering import _ranged, dense_index, first_per_key, rank_in_group, running_sum_max
 
 DEFAULT_COLUMNS_TO_PRESERVE = ["change_id", "revision_id", "filename", "line_contents"]
 
@@ -144,21 +147,95 @@ def quota_take(counts: DataFrame, ratio: float, carry: bool) -> DataFrame:
     return _fold_carry(base)
 
 
+#: Changes whose effect on the surplus is one function.
+CARRY_CHUNK = 4096
+
+
+def carried(x, y, shift: int, d: int) -> int:
+    """Value at ``d`` of a function given by its corners (slope 1 outside of them, 0 or 1 between)."""
+    if not len(x):
+        return d + shift
+    i = int(np.searchsorted(x, d, "right"))
+    if i == 0:
+        return int(y[0]) - (int(x[0]) - d)
+    return min(int(y[i - 1]) + (d - int(x[i - 1])), int(y[i]) if i < len(x) else int(y[i - 1]) + (d - int(x[i - 1])))
+
+
+def carry_function(c, a, r):
+    """The effect of a run of changes on the surplus D, as corners.  One change makes D to
+    ``min(D + (a - c), max(0, D + min(a, r) - c))``: slope 1, flat at 0, slope 1.  Runs of them have more flats, at most
+    one for each change; all corners between two of which nothing bends are left out."""
+    x, y, shift = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for ci, ai, ri in zip(c, a, r):
+        high, low = ai - ci, min(ai, ri) - ci
+        if high == low:
+            y, shift = y + high, shift + high
+            continue
+        # where the run so far reaches the flat's ends: corners of their own, those in between go
+        if len(x):
+            left = _reach(x, y, -high, False)
+            right = _reach(x, y, -low, True)
+            below, above = y < -high, y > -low
+            x = np.concatenate([x[below], [left, right], x[above]])
+            y = np.concatenate([y[below] + high, [0, 0], y[above] + low])
+        else:
+            x, y = np.array([-high - shift, -low - shift]), np.zeros(2, np.int64)
+    return x, y, shift
+
+
+def _reach(x, y, level: int, last: bool) -> int:
+    """The first (or last) point at which a function given by corners has the value ``level``."""
+    if level < y[0]:
+        return int(x[0] - (y[0] - level))
+    if level > y[-1]:
+        return int(x[-1] + (level - y[-1]))
+    if last:
+        i = int(np.searchsorted(y, level, "right")) - 1  # the last corner at or below the level
+        return int(x[i] + (level - y[i]))
+    i = int(np.searchsorted(y, level, "left"))  # the first corner at or above the level
+    return int(x[i] - (y[i] - level))
+
+
+def _carry_functions(t: pa.Table) -> pa.Table:
+    t = t.sort_by("change_rank")
+    x, y, shift = carry_function(*(t.column(n).to_pylist() for n in ("c", "a", "r")))
+    return pa.table({"_od_pid": t.column("_od_pid")[:1], "_chunk": t.column("_chunk")[:1], "x": pa.array([x.tobytes()], pa.binary()),
+                     "y": pa.array([y.tobytes()], pa.binary()), "shift": pa.array([shift], pa.int64())})
+
+
+def _carry_starts(batches):
+    d = 0
+    for b in batches:
+        starts = []
+        for x, y, shift in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            starts.append(d)
+            d = carried(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), shift, d)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64())], ["_od_pid", "_chunk", "_d"])
+
+
+def _carry_replay(t: pa.Table) -> pa.Table:
+    t = t.sort_by("change_rank")
+    d, out = t.column("_d")[0].as_py(), []
+    for c, a, r in zip(*(t.column(n).to_pylist() for n in ("c", "a", "r"))):
+        out.append(min(a, max(r, c - d)))
+        d += out[-1] - c
+    return t.drop_columns(["_d"]).append_column("t", pa.array(out, pa.int64()))
+
+
 def _fold_carry(base: DataFrame) -> DataFrame:
-    """Carry with ratio > 1: the recursion folded over one row per change, in change
-    order.  Known limit: the per-change rows (four integers each) meet in one task."""
-    st = F.struct(F.lit(0).cast("long").alias("d"), F.array().cast("array<long>").alias("ts"))
-    arr = F.array_sort(F.collect_list(F.struct("change_rank", "c", "a", "r")))
-
-    def step(acc, x):
-        t = F.least(x["a"], F.greatest(x["r"], x["c"] - acc["d"], F.lit(0)))
-        return F.struct((acc["d"] + t - x["c"]).alias("d"), F.concat(acc["ts"], F.array(t)).alias("ts"))
-
-    folded = base.agg(arr.alias("rows")).select(
-        "rows", F.aggregate("rows", st, step)["ts"].alias("ts"))
-    out = folded.select(F.explode(F.arrays_zip(F.col("rows").alias("row"), F.col("ts").alias("t"))).alias("z")) \
-        .select(F.col("z.row.change_rank").alias("change_rank"), F.col("z.t").alias("t"))
-    return base.join(out, "change_rank")
+    """Carry with ratio > 1 as a scan of functions: changes lie in stored ranges of their order, cut into chunks; each
+    chunk's effect on the surplus is composed into one piecewise linear function, the surplus at every chunk's start
+    follows from these alone (one row per chunk), and the chunks are replayed side by side."""
+    base = base.withColumns({n: F.col(n).cast("long") for n in ("c", "a", "r")})
+    rows = _ranged(base, F.col("change_rank"))
+    # the row's place in its stored range, in the lower bits of the id
+    rows = rows.withColumn("_chunk", F.floor(F.col("_od_li") % F.lit(1 << 33) / CARRY_CHUNK).cast("long")).drop("_od_k", "_od_li")
+    functions = rows.select("_od_pid", "_chunk", "change_rank", "c", "a", "r").groupBy("_od_pid", "_chunk") \
+        .applyInArrow(_carry_functions, "_od_pid int, _chunk long, x binary, y binary, shift long")
+    starts = functions.repartition(1).sortWithinPartitions("_od_pid", "_chunk").mapInArrow(_carry_starts, "_od_pid int, _chunk long, _d long")
+    out = T.StructType([*rows.schema.fields, T.StructField("t", T.LongType())])
+    met = rows.join(starts, ["_od_pid", "_chunk"]).select(*rows.columns, "_d")
+    return met.groupBy("_od_pid", "_chunk").applyInArrow(_carry_replay, out).drop("_od_pid", "_chunk")
 
 
 def prepare_dataset(commented: DataFrame, lines: DataFrame, seq: list[str],

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from sightline.operators import dataset as ds
@@ -72,3 +74,38 @@ def test_empty_lines_dropped(spark):
     df = spark.createDataFrame([(None,), ("",), (" ",), ("\t",)], "line_contents string")
     kept = ds.drop_empty_lines(ds.fill_text(df, ["line_contents"])).collect()
     assert sorted(r[0] for r in kept) == ["\t", " "]
+
+
+def carry_brute(c, a, r, d=0):
+    out = []
+    for x, y, z in zip(c, a, r):
+        out.append(min(y, max(z, x - d)))
+        d += out[-1] - x
+    return out, d
+
+
+def test_a_run_of_changes_is_one_function():
+    rnd = random.Random(9)
+    for _ in range(300):
+        n = rnd.randint(0, 25)
+        c = [rnd.randint(0, 6) for _ in range(n)]
+        a = [rnd.choice([0, rnd.randint(0, 8), rnd.randint(0, 60)]) for _ in range(n)]
+        r = [math.ceil(x * rnd.choice([1.5, 2])) for x in c]
+        x, y, shift = ds.carry_function(c, a, r)
+        assert len(x) <= 2 * n and all(np.diff(x) > 0) and all(np.isin(np.diff(y) - np.diff(x) * (np.diff(y) > 0), 0))
+        for d in range(-80, 81, 3):
+            assert ds.carried(x, y, shift, d) == carry_brute(c, a, r, d)[1]
+
+
+def test_carry_over_many_chunks(spark, monkeypatch):
+    """Chunks of 16 changes, ranges of any size: the same as one change after the other; a chunk is all that meets."""
+    monkeypatch.setattr(ds, "CARRY_CHUNK", 16)
+    rnd = random.Random(2)
+    rows = [(f"c{i}", i, rnd.randint(0, 6), rnd.choice([0, rnd.randint(0, 9), 40])) for i in range(700)]
+    counts = spark.createDataFrame(rows, "change_id string, change_rank long, c int, a int").repartition(5)
+    for ratio in (1.5, 2.0, 3.0):
+        got = ds.quota_take(counts, ratio, True)
+        want, _ = carry_brute([r[2] for r in rows], [r[3] for r in rows], [math.ceil(r[2] * ratio) for r in rows])
+        assert [r["t"] for r in got.orderBy("change_rank").collect()] == want
+        assert {"change_id", "c", "a", "t"} <= set(got.columns)
+    assert ds.quota_take(counts.limit(0), 2.0, True).count() == 0
