@@ -66,6 +66,28 @@ def q_read_corpus(spark, sf):
         .select("doc_id", (F.col("line_no") - 1).cast("bigint").alias("line_no"), "line")
 
 
+def _one_document(rows, path):
+    """Writes rows (order, JSON) as one document ``[a, b, ...]``, in one file."""
+    first = rows.agg(F.min("o")).first()[0]
+    shown = rows.select(F.col("o").cast("long").alias("o"), F.concat(F.when(F.col("o") == first, "").otherwise(",\n "), F.col("j")).alias("j"))
+    ends = rows.sparkSession.createDataFrame([(-(1 << 62), "["), (1 << 62, "]")], "o long, j string")
+    shown.unionByName(ends).repartition(1).sortWithinPartitions("o").select(F.col("j").alias("value")).write.option("lineSep", " ").text(path)
+
+
+@register("read_corpus_document", W(
+    "SELECT doc_id, CAST(line_no - 1 AS BIGINT) AS line_no, line_contents AS line FROM v_lines"))
+def q_read_corpus_document(spark, sf):
+    """Row 3 in the reference's own form: one JSON document, read by many tasks."""
+    path = scratch(spark, "corpus-document")
+    docs = fx.table(spark, sf, "documents")
+    lines = F.concat(F.array(F.col("doc_id").cast("string")), F.split("text", "\n", -1))
+    _one_document(docs.select(F.col("doc_id").alias("o"), F.to_json(lines).alias("j")), path)
+    out = rd.read_corpus(spark, path, json_lines=False)
+    name = out.where("line_no = 0").select("file_no", F.col("line").cast("long").alias("doc_id"))
+    return out.where("line_no > 0").join(name, "file_no") \
+        .select("doc_id", (F.col("line_no") - 1).cast("bigint").alias("line_no"), "line")
+
+
 def _code_tree(spark, sf):
     """Documents written as a source tree: English and French ones as text files
     (``_d=<lang>_<doc_id>/part-*.txt``), the others as JSON files (``json/*.json``)."""
@@ -92,9 +114,8 @@ def q_extract_lines(spark, sf):
     "FROM v_lines JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr')"))
 def q_file_line_table(spark, sf):
     path = _code_tree(spark, sf)
-    out = rd.extract_lines(spark, path, [".txt"])
-    name = F.regexp_extract("filename", r"_d=([^/]+)/", 1)
-    return out.select(name.alias("name"), "line_no", F.regexp_replace("line", "[\r\n]", "").alias("line_contents"))
+    out = rd.file_line_table(spark, path, [".txt"], name=lambda f: F.regexp_extract(f, r"_d=([^/]+)/", 1))
+    return out.withColumnRenamed("filename", "name")
 
 
 @register("limit_files_tree", W(
@@ -208,13 +229,36 @@ def q_write_table(spark, sf):
     return spark.read.option("header", True).option("sep", ";").option("multiLine", True).option("escape", '"').csv(path)
 
 
-@register("embedding_store", W("SELECT line, embedding FROM v_reference"))
+_STORED = "SELECT 'line_' || CAST(vec_id AS VARCHAR) AS line, embedding FROM embeddings"
+
+
+def _vectors(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    return e.select("vec_id", F.concat(F.lit("line_"), F.col("vec_id").cast("string")).alias("line"), "embedding")
+
+
+@register("embedding_store", _STORED)
 def q_embedding_store(spark, sf):
     path = scratch(spark, "emb")
-    sk.write_embeddings(fx.v_reference(spark, sf), path)
+    sk.write_embeddings(_vectors(spark, sf), path)
     return rd.read_embeddings(spark, path)
 
 
+@register("embedding_store_document", _STORED)
+def q_embedding_store_document(spark, sf):
+    """Row 12 in the reference's own form: a list of lines and a list of vectors in one JSON document."""
+    path = scratch(spark, "emb-document")
+    e = _vectors(spark, sf)
+    first = e.agg(F.min("vec_id")).first()[0]
+    comma = F.when(F.col("vec_id") == first, "[").otherwise(", ")
+    halves = [e.select(F.lit(k).alias("k"), F.col("vec_id").alias("o"), F.concat(comma, j).alias("value"))
+              for k, j in ((1, F.concat(F.lit('"'), F.col("line"), F.lit('"'))), (3, F.to_json("embedding")))]
+    marks = spark.createDataFrame([(0, 0, "["), (2, 0, "], "), (4, 0, "]]")], "k int, o long, value string")
+    halves[0].unionByName(halves[1]).unionByName(marks).repartition(1).sortWithinPartitions("k", "o").select("value") \
+        .write.option("lineSep", " ").text(path)
+    return rd.read_embeddings(spark, path, "json")
+
+
 @register("sanitize_text", W(
     "SELECT conv_id, turn, regexp_replace(text, '[\\r\\n]|;', ' ', 'g') AS text FROM conversations"))
 def q_sanitize(spark, sf):

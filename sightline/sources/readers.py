@@ -8,12 +8,14 @@ numbers carry the order.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dataset import file_suffix
+from .json_document import read_lines_and_vectors, read_lists_of_strings
 
 # Stands for U+FFFD of a source file while undecodable bytes are dropped (private-use characters).
 _OWN_MARK = "\uE000\uF8FF\uE000"
@@ -65,16 +67,13 @@ def read_comments(spark, paths, cols=None, sep=";", schema=None, fmt="csv") -> D
 def read_corpus(spark: SparkSession, path: str, json_lines: bool = True) -> DataFrame:
     """Row 3: corpus of files (lists of lines) -> ``file_no, line_no, line``.
 
-    ``json_lines``: one JSON array (a file's lines) per text line, split across
-    tasks.  Otherwise the reference's single JSON document (a list of lists),
-    which a single task must parse (``wholetext``)."""
+    ``json_lines``: one JSON array (a file's lines) per text line.  Otherwise the
+    reference's single JSON document (a list of lists).  Both are split across tasks."""
     if json_lines:
         raw = spark.read.text(path).withColumn("_seq", F.monotonically_increasing_id())
         files = raw.select(F.col("_seq").alias("file_no"), F.from_json("value", "array<string>").alias("lines"))
         return files.select("file_no", F.posexplode("lines").alias("line_no", "line"))
-    raw = spark.read.option("wholetext", True).text(path)
-    files = raw.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("file_no", "lines"))
-    return files.select(F.col("file_no").cast("long"), F.posexplode("lines").alias("line_no", "line"))
+    return read_lists_of_strings(spark, path)
 
 
 def extract_lines(spark: SparkSession, code_path: str, file_extensions: list[str],
@@ -135,15 +134,17 @@ def read_vocab(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 def read_embeddings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Row 12: ``line, embedding``.  ``fmt='json'`` reads the reference's
-    ``[lines, vectors]`` documents (aligned by index: arrays_zip + explode)."""
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    raw = spark.read.option("wholetext", True).text(path)
-    doc = raw.select(F.from_json("value", "array<string>").alias("_a"), F.col("value"))
-    lines = F.from_json(F.get_json_object("value", "$[0]"), "array<string>")
-    vecs = F.from_json(F.get_json_object("value", "$[1]"), "array<array<float>>")
-    z = raw.select(F.explode(F.arrays_zip(lines.alias("line"), vecs.alias("embedding"))).alias("z"))
-    return z.select("z.line", "z.embedding")
+    ``[lines, vectors]`` documents (aligned by position), split across tasks."""
+    return spark.read.parquet(path) if fmt == "parquet" else read_lines_and_vectors(spark, path)
+
+
+def file_line_table(spark: SparkSession, code_path: str, file_extensions: list[str], limit_files: int | None = None,
+                    name: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Row 5: ``filename, line_no, line_contents`` of a source tree, line ends taken off; ``name`` turns the relative
+    path into the file's name."""
+    lines = extract_lines(spark, code_path, file_extensions, limit_files)
+    shown = name(F.col("filename")) if name is not None else F.col("filename")
+    return lines.select(shown.alias("filename"), "line_no", F.regexp_replace("line", "[\r\n]", "").alias("line_contents"))
 
 
 # --- review history (rows 8, 9) ---------------------------------------------

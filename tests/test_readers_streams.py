@@ -1,6 +1,7 @@
 """Readers on awkward files and paths; the ingest stream with revisions, bad records and a restart."""
 
 import json
+import random
 
 from sightline.sources import readers as rd
 from sightline.streaming import streams as st
@@ -44,6 +45,34 @@ def test_embedding_store_json(spark, tmp_path):
     assert got == {"l1": [1.0, 2.0], "l2": [3.0, 4.5]}
 
 
+def test_one_document_read_by_many_tasks(spark, tmp_path):
+    """Brackets, commas, quotes and escapes inside strings, empty lists, nulls, long strings; blocks of a few bytes."""
+    rnd = random.Random(5)
+    odd = ['a, "b"', "[1, 2]", "\\\\", '\\"', "], [", "é\u2028漢", "", " ", "tab\there", ",,,", '"', "x" * 300, None, "null", "end\\"]
+    files = [[rnd.choice(odd) for _ in range(rnd.choice([0, 0, 1, 3, 12]))] for _ in range(60)]
+    want = sorted((f, i, x) for f, lines in enumerate(files) for i, x in enumerate(lines) if x is not None)
+    for i, (indent, size) in enumerate(((None, 64), (4, 200), (None, 1 << 27))):
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(files, indent=indent, ensure_ascii=bool(i % 2)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            got = rd.read_corpus(spark, str(path), json_lines=False)
+            assert size > 1000 or spark.read.option("lineSep", ",").text(str(path)).rdd.getNumPartitions() > 8
+            rows = got.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r["file_no"], r["line_no"], r["line"]) for r in rows if r["line"] is not None) == want
+        assert len(rows) == sum(map(len, files))
+    lines, vectors = [x or "" for x in odd], [[rnd.random() for _ in range(5)] for _ in odd]
+    (tmp_path / "v.json").write_text(json.dumps([lines, vectors], indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = rd.read_embeddings(spark, str(tmp_path / "v.json"), "json").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["line"], [round(x, 5) for x in r["embedding"]]) for r in got) == sorted((x, [round(y, 5) for y in v]) for x, v in zip(lines, vectors))
+
+
 def _review(change, created, revisions):
     return json.dumps({"id": change, "created": created, "revisions": {
         r: {"files": {"f.c": {"content": "l1\nl2", "comments": [{"line": 1, "message": f"{change}-{r}"}], "diff": [{"b": ["l2"]}]}}}
