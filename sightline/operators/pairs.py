@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TOKEN_CLS, TOKEN_MASK, TOKEN_SEP
-from .ordering import dense_index, posexplode_rows, running_sum_max
+from .ordering import dense_index, running_sum_max
+from .wordpiece import cut_pair
 
 
 def consecutive_lines(lines: DataFrame, file_col: str = "doc_id", no_col: str = "line_no",
@@ -94,54 +95,41 @@ def epoch_order(shards: DataFrame, epochs: int, seed: int = 0) -> DataFrame:
                     .cast("int").alias("position"))
 
 
-def masked_examples(pairs: DataFrame, vocab_size: int, vocab: DataFrame, seed: int = 0, mask_rate: float = 0.15,
-                    mask_mask_rate: float = 0.8, mask_random_rate: float = 0.1, swap_rate: float = 0.5) -> DataFrame:
-    """Row 91: training examples from tokenized pairs (``pair_seq, shard, left_tokens,
-    right_tokens``).  Deterministic hashes replace the random draws:
+def masked_examples(pairs: DataFrame, vocab_size: int, special: dict[str, int], seq_len: int = 128, seed: int = 0,
+                    mask_rate: float = 0.15, mask_mask_rate: float = 0.8, mask_random_rate: float = 0.1, swap_rate: float = 0.5) -> DataFrame:
+    """Row 91: training examples of ``seq_len`` places from encoded pairs (``pair_seq, shard, left_ids, right_ids``):
+    ``pair_seq, is_next, token_ids, segment_ids, target_ids, masked`` (flags), cut as pairs are encoded (the longer side
+    first) and padded with 0.  ``special``: ids of [CLS], [SEP] and [MASK].  Hashes replace the random draws:
 
     * swap: pairs with hash(seed|s|pair) < swap_rate take the right line of the next
       pair of the same shard (cyclic) and get ``is_next = 0``;
-    * mask: a non-special position i is chosen when hash(seed|m|pair|i) < mask_rate
-      (at least one: the smallest hash when none is); a chosen token becomes [MASK]
-      (80 %), a vocabulary token picked by hash (10 %) or stays (10 %).
-    Returns ``pair_seq, is_next, tokens, masked`` (masked positions, 0-based)."""
+    * mask: a place i that is no [CLS] or [SEP] is chosen when hash(seed|m|pair|i) < mask_rate
+      (at least one: the smallest hash when none is); a chosen id becomes [MASK]
+      (80 %), an id picked by hash (10 %) or stays (10 %)."""
     scale = float(2 ** 32)
     swap = _h(F.lit(seed), F.lit("s"), F.col("pair_seq")) / scale < swap_rate
     # next pair in the same shard, cyclic: a keyed self join (no window over a shard)
     sizes = pairs.groupBy("shard").agg(F.min("pair_seq").alias("_lo"), F.count(F.lit(1)).alias("_n"))
     p = pairs.join(sizes, "shard")
     p = p.withColumn("_next", F.col("_lo") + (F.col("pair_seq") - F.col("_lo") + 1) % F.col("_n"))
-    rights = pairs.select(F.col("pair_seq").alias("_next"), F.col("right_tokens").alias("_nr"))
-    p = p.join(rights, "_next", "left")
-    p = p.withColumn("is_next", F.when(swap, 0).otherwise(1)) \
-        .withColumn("_r", F.when(swap, F.col("_nr")).otherwise(F.col("right_tokens")))
-    toks = F.concat(F.array(F.lit(TOKEN_CLS)), F.col("left_tokens"), F.array(F.lit(TOKEN_SEP)), F.col("_r"),
-                    F.array(F.lit(TOKEN_SEP)))
-    p = p.withColumn("_t", toks)
-    hashes = F.transform(F.col("_t"), lambda t, i: F.when(t.isin(TOKEN_CLS, TOKEN_SEP), F.lit(None).cast("double"))
-                         .otherwise(_h(F.lit(seed), F.lit("m"), F.col("pair_seq"), i) / scale))
-    p = p.withColumn("_hs", hashes)
-    p = p.withColumn("_min", F.array_min(F.filter("_hs", lambda x: x.isNotNull())))
-    chosen = F.transform("_hs", lambda x: F.coalesce((x < mask_rate) | (x == F.col("_min")), F.lit(False)))
-    p = p.withColumn("_c", chosen)
-    vid = vocab.select("token", "token_id")
-    # replacement token by hash -> vocabulary id; resolved with a join on the id
-    out_tok = F.transform(F.arrays_zip(F.col("_t").alias("t"), F.col("_c").alias("c"), F.col("_hs").alias("h")),
-                          lambda z, i: F.when(~z["c"], z["t"])
-                          .when(_h(F.lit(seed), F.lit("k"), F.col("pair_seq"), i) / scale < mask_mask_rate,
-                                F.lit(TOKEN_MASK))
-                          .when(_h(F.lit(seed), F.lit("k"), F.col("pair_seq"), i) / scale
-                                < mask_mask_rate + mask_random_rate,
-                                F.concat(F.lit("\u0000id:"), (_h(F.lit(seed), F.lit("r"), F.col("pair_seq"), i)
-                                                               % vocab_size).cast("string")))
-                          .otherwise(z["t"]))
-    p = p.select("pair_seq", "is_next", out_tok.alias("_o"),
-                 F.filter(F.transform("_c", lambda c, i: F.when(c, i)), lambda x: x.isNotNull()).alias("masked"))
-    rows = posexplode_rows(p, ["pair_seq", "is_next", "masked"], F.col("_o"), "_i", "_tok")
-    rows = rows.withColumn("_rid", F.when(F.col("_tok").startswith("\u0000id:"),
-                                          F.substring(F.col("_tok"), 5, 20).cast("long")))
-    rows = rows.join(vid.select(F.col("token_id").alias("_rid"), F.col("token").alias("_rt")), "_rid", "left")
-    rows = rows.withColumn("_tok", F.when(F.col("_rid").isNotNull(), F.col("_rt")).otherwise(F.col("_tok")))
-    return rows.groupBy("pair_seq", "is_next", "masked").agg(
-        F.array_sort(F.collect_list(F.struct("_i", "_tok"))).alias("_a")) \
-        .select("pair_seq", "is_next", F.transform("_a", lambda x: x["_tok"]).alias("tokens"), "masked")
+    p = p.join(pairs.select(F.col("pair_seq").alias("_next"), F.col("right_ids").alias("_other")), "_next")
+    p = p.select("pair_seq", "left_ids", F.when(swap, 0).otherwise(1).alias("is_next"), F.when(swap, F.col("_other")).otherwise(F.col("right_ids")).alias("_right"))
+    cls, sep, mask = (special[t] for t in (TOKEN_CLS, TOKEN_SEP, TOKEN_MASK))
+    cut_left, cut_right = cut_pair(F.col("left_ids"), F.col("_right"), seq_len)
+    p = p.select("pair_seq", "is_next", cut_left.alias("_a"), cut_right.alias("_b"))
+    whole = F.concat(F.array(F.lit(cls)), F.col("_a"), F.array(F.lit(sep)), F.col("_b"), F.array(F.lit(sep)))
+    segments = F.concat(F.array_repeat(F.lit(0), F.size("_a") + 2), F.array_repeat(F.lit(1), F.size("_b") + 1))
+    p = p.select("pair_seq", "is_next", whole.alias("_t"), segments.alias("_s"))
+    p = p.withColumn("_h", F.transform("_t", lambda t, i: F.when(~t.isin(cls, sep), _h(F.lit(seed), F.lit("m"), F.col("pair_seq"), i) / scale)))
+    p = p.withColumn("_min", F.array_min(F.filter("_h", lambda x: x.isNotNull())))
+    p = p.withColumn("_c", F.transform("_h", lambda x: F.coalesce((x < mask_rate) | (x == F.col("_min")), F.lit(False)).cast("int")))
+
+    def put(t, i):
+        draw = _h(F.lit(seed), F.lit("k"), F.col("pair_seq"), i) / scale
+        return F.when(F.get("_c", i) == 0, t).when(draw < mask_mask_rate, F.lit(mask)) \
+            .when(draw < mask_mask_rate + mask_random_rate, (_h(F.lit(seed), F.lit("r"), F.col("pair_seq"), i) % vocab_size).cast("int")).otherwise(t)
+
+    def padded(col: Column) -> Column:
+        return F.concat(col, F.array_repeat(F.lit(0), F.lit(seq_len) - F.size(col)))
+    return p.select("pair_seq", "is_next", padded(F.transform("_t", put)).alias("token_ids"), padded(F.col("_s")).alias("segment_ids"),
+                    padded(F.col("_t")).alias("target_ids"), padded(F.col("_c")).alias("masked"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import drop_blank_tokens, is_number, split_code, token_signature
-from ..schemas import TOKEN_CLS, TOKEN_NUMBER, TOKEN_SEP, TOKEN_UNK
+from ..schemas import TOKEN_CLS, TOKEN_MASK, TOKEN_NUMBER, TOKEN_SEP, TOKEN_UNK
 from .ordering import posexplode_rows
 from .trie import PieceTrie
 
@@ -234,6 +234,17 @@ def vocab_lookup(df: DataFrame, ids: list[str], tokens_col: str, vocab: DataFram
     return df.select(*ids).join(got, ids, "left").select(*ids, F.coalesce(out, F.array().cast("array<int>")).alias(out))
 
 
+def cut_pair(a: Column, b: Column, seq_len: int) -> tuple[Column, Column]:
+    """Two arrays of ids cut to ``seq_len - 3`` in all: from the longer side until both are equal, then from the second
+    one first."""
+    la, lb = F.size(a), F.size(b)
+    over = F.greatest(la + lb - (seq_len - 3), F.lit(0))
+    d = F.abs(la - lb)
+    cut_a = F.when(over <= d, F.when(la > lb, over).otherwise(F.lit(0))).otherwise(
+        F.when(la > lb, d).otherwise(F.lit(0)) + F.floor((over - d) / 2).cast("int"))
+    return F.slice(a, 1, la - cut_a), F.slice(b, 1, lb - (over - cut_a))
+
+
 def encode_ids(first_ids: Column, cls_id: int, sep_id: int, seq_len: int | None, second_ids: Column | None = None):
     """Row 78: ``[CLS] first [SEP] (second [SEP])``, truncated (longer side first) and
     zero-padded to ``seq_len``; returns (token_ids, segment_ids) columns."""
@@ -246,15 +257,7 @@ def encode_ids(first_ids: Column, cls_id: int, sep_id: int, seq_len: int | None,
     else:
         b = second_ids
         if seq_len is not None:
-            budget = seq_len - 3
-            la, lb = F.size(a), F.size(b)
-            # pop from the longer side until both fit, from the second one on ties
-            over = F.greatest(la + lb - budget, F.lit(0))
-            d = F.abs(la - lb)
-            cut_a = F.when(over <= d, F.when(la > lb, over).otherwise(F.lit(0))).otherwise(
-                F.when(la > lb, d).otherwise(F.lit(0)) + F.floor((over - d) / 2).cast("int"))
-            a = F.slice(a, 1, la - cut_a)
-            b = F.slice(b, 1, lb - (over - cut_a))
+            a, b = cut_pair(a, b, seq_len)
         ids = F.concat(F.array(F.lit(cls_id)), a, F.array(F.lit(sep_id)), b, F.array(F.lit(sep_id)))
         seg = F.concat(F.array_repeat(F.lit(0), F.size(a) + 2), F.array_repeat(F.lit(1), F.size(b) + 1))
     if seq_len is not None:
@@ -265,5 +268,5 @@ def encode_ids(first_ids: Column, cls_id: int, sep_id: int, seq_len: int | None,
 
 
 def special_ids(vocab: DataFrame) -> dict:
-    rows = vocab.where(F.col("token").isin(TOKEN_CLS, TOKEN_SEP, TOKEN_UNK)).collect()  # three rows
+    rows = vocab.where(F.col("token").isin(TOKEN_CLS, TOKEN_SEP, TOKEN_UNK, TOKEN_MASK)).collect()  # four rows
     return {r["token"]: int(r["token_id"]) for r in rows}

@@ -9,13 +9,18 @@ from ..operators import pairs as pr
 from ..operators import wordpiece as wp
 from ..session import cut_lineage
 from ..sources import fixtures as fx
+from . import jobs
+from . import sqltext as S
 from .catalog import register
-from .corpus_queries import _WP_CTES, _vocab
+from .corpus_queries import _VOCAB_CTES, _WP_CTES, _vocab, _walk_ctes
+from .io_queries import scratch
 
 W = fx.with_views
 PERIOD = 64
 PER_SHARD = 1000
 BATCH = 32
+LIMIT = 2000
+MASK_LEN = 48
 
 _PAIR_CTES = [
     ("cons", "SELECT a.doc_id, a.line_no, a.line_contents AS lft, b.line_contents AS rgt FROM v_lines a "
@@ -61,7 +66,9 @@ def q_unique_pairs(spark, sf):
 @register("write_shards", W(f"SELECT doc_id, line_no, pair_seq, CAST(pair_seq // {PER_SHARD} AS BIGINT) AS shard "
                             "FROM accepted", *_PAIR_CTES, recursive=True))
 def q_shards(spark, sf):
-    return _accepted(spark, sf).select("doc_id", "line_no", "pair_seq", "shard")
+    path = scratch(spark, "shards")
+    pr.write_shards(_accepted(spark, sf), path)
+    return spark.read.parquet(path).select("doc_id", "line_no", "pair_seq", F.col("shard").cast("long").alias("shard"))
 
 
 @register("steps_per_epoch", W(f"SELECT CAST(floor(count(*) / {BATCH}) AS BIGINT) AS steps_per_epoch FROM accepted",
@@ -78,13 +85,9 @@ def q_epoch(spark, sf):
     return pr.epoch_order(_accepted(spark, sf), 3).select("epoch", "shard", "position")
 
 
-def _pair_tokens(spark, sf):
-    acc = _accepted(spark, sf)
-    vocab = _vocab(spark, sf)
-    toks = cut_lineage(wp.tokenize_lines(fx.v_lines(spark, sf), ["doc_id", "line_no"], "line_contents", vocab))
-    nxt = toks.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("tokens").alias("right_tokens"))
-    return (acc.join(toks.withColumnRenamed("tokens", "left_tokens"), ["doc_id", "line_no"])
-            .join(nxt, ["doc_id", "line_no"])), vocab
+def _shown(pairs):
+    return pairs.select("pair_seq", "shard", F.array_join("left_tokens", " ").alias("left_tokens"),
+                        F.array_join("right_tokens", " ").alias("right_tokens"))
 
 
 @register("line_pairs", W(
@@ -93,15 +96,74 @@ def _pair_tokens(spark, sf):
     "l.line_no = a.line_no JOIN wp_lines r ON r.doc_id = a.doc_id AND r.line_no = a.line_no + 1",
     *_PAIR_CTES, *_WP_CTES, recursive=True))
 def q_line_pairs(spark, sf):
-    p, _ = _pair_tokens(spark, sf)
-    return p.select("pair_seq", "shard", F.array_join("left_tokens", " ").alias("left_tokens"),
-                    F.array_join("right_tokens", " ").alias("right_tokens"))
+    return _shown(jobs.line_pairs(fx.v_lines(spark, sf), _vocab(spark, sf), period=PERIOD, per_shard=PER_SHARD))
+
+
+_LIMITED = [(n, q) if n != "vocab" else ("vocab", f"SELECT * FROM ({q}) WHERE token_id < {LIMIT}") for n, q in _VOCAB_CTES]
+_SIG_WORDS = S.drop_blank(S.split_code("coalesce(line_contents, '')"))
+_SIG_CTES = [
+    ("sw0", f"SELECT doc_id, line_no, CAST(generate_subscripts(_w, 1) - 1 AS INTEGER) AS word_pos, unnest(_w) AS word0 FROM "
+            f"(SELECT doc_id, line_no, list_transform({_SIG_WORDS}, lambda t: CASE WHEN {S.is_number('t')} THEN '0' ELSE t END) AS _w FROM v_lines)"),
+    ("sw", f"SELECT doc_id, line_no, word_pos, CASE WHEN word0 IN (SELECT token FROM vocab) THEN word0 ELSE {S.token_signature('word0')} END "
+           "AS word FROM sw0"),
+    *_walk_ctes("SELECT word FROM sw", "_s"),
+    ("sig_lines", "SELECT l.doc_id, l.line_no, coalesce(t.tokens, []) AS tokens FROM v_lines l LEFT JOIN (SELECT w.doc_id, w.line_no, "
+                  "list(p.piece ORDER BY w.word_pos, p.piece_pos) AS tokens FROM sw w JOIN pieces_s p ON w.word = p.word GROUP BY ALL) t "
+                  "ON l.doc_id = t.doc_id AND l.line_no = t.line_no")]
 
 
-@register("masked_examples")
+@register("line_pairs_signatures", W(
+    f"SELECT a.pair_seq, CAST(a.pair_seq // {PER_SHARD} AS BIGINT) AS shard, array_to_string(l.tokens, ' ') AS left_tokens, "
+    "array_to_string(r.tokens, ' ') AS right_tokens FROM accepted a JOIN sig_lines l ON l.doc_id = a.doc_id AND "
+    "l.line_no = a.line_no JOIN sig_lines r ON r.doc_id = a.doc_id AND r.line_no = a.line_no + 1",
+    *_PAIR_CTES, *_LIMITED, *_SIG_CTES, recursive=True))
+def q_line_pairs_signatures(spark, sf):
+    """Row 89 with signatures, without white space, and the first entries of the vocabulary only."""
+    return _shown(jobs.line_pairs(fx.v_lines(spark, sf), _vocab(spark, sf), LIMIT, signatures=True, omit_whitespace=True, period=PERIOD,
+                                  per_shard=PER_SHARD))
+
+
+def _hash_sql(kind: str, *parts: str) -> str:
+    return f"('0x' || substr(md5('0|{kind}|' || " + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 8))::BIGINT"
+
+
+def _masked_sql() -> list[tuple[str, str]]:
+    b = MASK_LEN - 3
+    draw = _hash_sql("k", "pair_seq", "i - 1") + " / 4294967296.0::DOUBLE"
+    return [
+        ("pe", f"SELECT a.pair_seq, a.pair_seq // {PER_SHARD} AS shard, l.token_ids AS lt, r.token_ids AS rt FROM accepted a "
+               "JOIN ids l ON l.doc_id = a.doc_id AND l.line_no = a.line_no JOIN ids r ON r.doc_id = a.doc_id AND r.line_no = a.line_no + 1"),
+        ("sh", "SELECT shard, min(pair_seq) AS lo, count(*) AS n FROM pe GROUP BY shard"),
+        ("sw", f"SELECT p.pair_seq, p.lt, CASE WHEN {_hash_sql('s', 'p.pair_seq')} / 4294967296.0::DOUBLE < 0.5 THEN 0 ELSE 1 END AS is_next, "
+               f"CASE WHEN {_hash_sql('s', 'p.pair_seq')} / 4294967296.0::DOUBLE < 0.5 THEN o.rt ELSE p.rt END AS rt FROM pe p "
+               "JOIN sh ON sh.shard = p.shard JOIN pe o ON o.pair_seq = sh.lo + (p.pair_seq - sh.lo + 1) % sh.n"),
+        ("sz", f"SELECT *, len(lt) AS la, len(rt) AS lb, greatest(len(lt) + len(rt) - {b}, 0) AS ov, abs(len(lt) - len(rt)) AS d FROM sw"),
+        ("ct", "SELECT *, CASE WHEN ov <= d THEN CASE WHEN la > lb THEN ov ELSE 0 END ELSE CASE WHEN la > lb THEN d ELSE 0 END + "
+               "CAST(floor((ov - d) / 2) AS INTEGER) END AS ca FROM sz"),
+        ("sq", "SELECT pair_seq, is_next, list_concat([2], lt[1:la - ca], [3], rt[1:lb - (ov - ca)], [3]) AS t, "
+               "list_concat(list_transform(range(la - ca + 2), lambda x: 0), list_transform(range(lb - (ov - ca) + 1), lambda x: 1)) AS s FROM ct"),
+        ("hs", "SELECT *, list_transform(t, lambda x, i: CASE WHEN x IN (2, 3) THEN NULL ELSE "
+               f"{_hash_sql('m', 'pair_seq', 'i - 1')} / 4294967296.0::DOUBLE END) AS h FROM sq"),
+        ("ch", "SELECT *, list_transform(h, lambda x: CAST(coalesce(x < 0.15 OR x = list_min(h), false) AS INTEGER)) AS c FROM hs"),
+        ("mx", f"SELECT pair_seq, is_next, t, s, c, list_transform(t, lambda x, i: CASE WHEN c[i] = 0 THEN x WHEN {draw} < 0.8 THEN 4 "
+               f"WHEN {draw} < 0.8::DOUBLE + 0.1::DOUBLE THEN CAST({_hash_sql('r', 'pair_seq', 'i - 1')} % nv AS INTEGER) "
+               "ELSE x END) AS m FROM ch, (SELECT count(*) AS nv FROM vocab)"),
+    ]
+
+
+def _padded(col: str) -> str:
+    return f"array_to_string(list_concat({col}, list_transform(range({MASK_LEN} - len({col})), lambda x: 0)), ' ')"
+
+
+@register("masked_examples", W(
+    f"SELECT pair_seq, is_next, {_padded('m')} AS token_ids, {_padded('s')} AS segment_ids, {_padded('t')} AS target_ids, "
+    f"{_padded('c')} AS masked FROM mx", *_PAIR_CTES, *_WP_CTES, *_masked_sql(), recursive=True))
 def q_masked(spark, sf):
-    p, vocab = _pair_tokens(spark, sf)
-    n_vocab = vocab.count()  # one scalar
-    m = pr.masked_examples(p, n_vocab, vocab)
-    return m.select("pair_seq", "is_next", F.array_join("tokens", " ").alias("tokens"),
-                    F.array_join("masked", " ").alias("masked"))
+    vocab = _vocab(spark, sf)
+    pairs = jobs.line_pairs(fx.v_lines(spark, sf), vocab, period=PERIOD, per_shard=PER_SHARD)
+    keys = ["pair_seq", "shard"]
+    left = wp.vocab_lookup(pairs, [*keys, "right_tokens"], "left_tokens", vocab, "left_ids")
+    both = cut_lineage(wp.vocab_lookup(left, [*keys, "left_ids"], "right_tokens", vocab, "right_ids"))
+    m = pr.masked_examples(both, vocab.count(), wp.special_ids(vocab), MASK_LEN)
+    arrays = ["token_ids", "segment_ids", "target_ids", "masked"]
+    return m.select("pair_seq", "is_next", *[F.array_join(c, " ").alias(c) for c in arrays])
