@@ -36,6 +36,8 @@ BANDS, ROWS, BITS = 36, 5, 4
 SIGMAS = 4.5
 #: Members of a block; a group compared in one task holds two blocks.
 BLOCK = 256
+#: Bytes of text that a worker signs at a time.
+PIECE_BYTES = 1 << 19
 NO_ID = -(1 << 63)
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -97,7 +99,7 @@ def floor_estimate(percent: int = PERCENT, k: int = BANDS * ROWS) -> float:
 
 def _signer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, lower=True):
+        for c in chunks(batches, lower=True, limit=PIECE_BYTES):
             sets, at = shingle_sets(c, width)
             n = np.diff(at)
             full = np.flatnonzero(n)
@@ -120,7 +122,7 @@ def _signer(width: int):
 
 def _set_maker(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, lower=True):
+        for c in chunks(batches, lower=True, limit=PIECE_BYTES):
             sets, at = shingle_sets(c, width)
             raw = sets.tobytes()
             yield pa.RecordBatch.from_arrays([
