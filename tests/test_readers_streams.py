@@ -2,6 +2,9 @@
 
 import json
 import random
+import time
+
+import pytest
 
 from sightline.sources import readers as rd
 from sightline.streaming import streams as st
@@ -99,3 +102,51 @@ def test_ingest_stream(spark, tmp_path):
     assert run() == ["c1-r1", "c1-r2", "c3-r1"]
     bad = spark.read.parquet(out + "/bad").collect()
     assert len(bad) == 3 and {r["id"] for r in bad if r["_corrupt"] is None} == {None, "c2"}
+
+
+def test_ingest_state_is_per_change(spark, tmp_path):
+    """A late revision comes in once whatever its date; repeats over batches and inside one do not."""
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+
+    def land(name, *rows):
+        (tmp_path / "in" / name).write_text("\n".join(rows))
+
+    def run():
+        for q in st.ingest_stream(spark, src, out, ck, max_files_per_trigger=1):
+            assert q.awaitTermination(60)
+        return sorted(r["message"] for r in spark.read.parquet(out + "/comments").collect())
+    land("1.json", _review("c1", "2024-06-01 00:00:00", ["r2"]), _review("c1", "2024-06-01 00:00:00", ["r2"]))
+    land("2.json", _review("c1", "2024-06-01 00:00:00", ["r2"]))
+    assert run() == ["c1-r2"]
+    land("3.json", _review("c1", "1999-01-01 00:00:00", ["r1"]), _review("c2", "2024-06-01 00:00:00", ["r1"]))
+    assert run() == ["c1-r1", "c1-r2", "c2-r1"]
+    with pytest.raises(ValueError):
+        st.ingest_stream(spark, src, out, ck, forget_after=1)
+
+
+def test_ingest_forgets_by_timer(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+
+    def messages():
+        try:
+            return sorted(r["message"] for r in spark.read.parquet(out + "/comments").collect())
+        except Exception:  # nothing written so far
+            return []
+
+    def until(want):
+        end = time.time() + 45
+        while messages() != want and time.time() < end:
+            time.sleep(0.5)
+        assert messages() == want
+    (tmp_path / "in" / "1.json").write_text(_review("c1", "2024-06-01 00:00:00", ["r1"]))
+    queries = st.ingest_stream(spark, src, out, ck, forget_after=2, available_now=False)
+    try:
+        until(["c1-r1"])
+        time.sleep(4)  # the timer fires in a batch without input
+        (tmp_path / "in" / "2.json").write_text(_review("c1", "2024-06-01 00:00:00", ["r1"]))
+        until(["c1-r1", "c1-r1"])
+    finally:
+        for q in queries:
+            q.stop()
