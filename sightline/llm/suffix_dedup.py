@@ -102,24 +102,37 @@ def pieces(c: Chunk, length: int, gram: int, hot: list[np.ndarray] = ()):
 
 
 def _cut(length: int, gram: int, hot: list[np.ndarray]):
+    """Pieces of all texts.  Of equal pieces in a chunk only the first can be the first of its kind: the others are told
+    (a negative ``n2``), so a passage that very many documents share sends one row per chunk to its bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
             bucket, same, row, start, n, self_ = pieces(c, length, gram, hot)
             doc = c.rows.column("doc").to_numpy()[row]
+            n2 = (n.astype(np.int32) << 1) | self_
+            order = np.lexsort((start, doc, same, bucket))
+            again = order[1:][(same[order][1:] == same[order][:-1]) & (bucket[order][1:] == bucket[order][:-1])]
+            n2[again] = -n2[again]
             yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(same.view(np.int64)), pa.array(doc),
-                                              pa.array(start.astype(np.int32)), pa.array((n.astype(np.int32) << 1) | self_)],
+                                              pa.array(start.astype(np.int32)), pa.array(n2.astype(np.int32))],
                                              ["bucket", "same", "doc", "start", "n2"])
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (bucket, same, doc, start).  Repeats of a piece are told as such (open false); the first of
+    """Rows arrive sorted by (bucket, same, doc, start), those told already anywhere between.  Repeats of a piece are told as such (open false); the first of
     its kind is told (open true) when its bucket has other kinds or the piece may repeat inside itself."""
     held = None  # the first row of the running kind, told or not yet
     for b in batches:
         if not b.num_rows:
             continue
         x = {k: b.column(k).to_numpy() for k in ("bucket", "same", "doc", "start", "n2")}
+        told_before = x["n2"] < 0
+        if told_before.any():
+            yield _hits({k: np.abs(v[told_before]) if k == "n2" else v[told_before] for k, v in x.items()}, np.arange(int(told_before.sum())),
+                        np.zeros(int(told_before.sum()), bool))
+            x = {k: v[~told_before] for k, v in x.items()}
+            if not len(x["doc"]):
+                continue
         if held is not None:
             x = {k: np.concatenate([held[0][k], x[k]]) for k in x}
         n = len(x["doc"])
@@ -324,7 +337,8 @@ def bucket_hits(texts: DataFrame, length: int, gram: int) -> DataFrame:
     rows = texts.select("doc", "text").where(F.octet_length("text") >= length)
     while True:
         cut = rows.mapInArrow(_cut(length, gram, hot), "bucket long, same long, doc long, start int, n2 int")
-        hits = cut.repartition("bucket").sortWithinPartitions("bucket", "same", "doc", "start")
+        place = F.when(F.col("n2") < 0, F.xxhash64("doc", "start")).otherwise(F.col("bucket"))
+        hits = cut.repartition(place).sortWithinPartitions("bucket", "same", "doc", "start")
         hits = cut_lineage(hits.mapInArrow(_meet, "bucket long, doc long, start int, n int, open boolean"))
         big = hits.where("open").groupBy("bucket").agg(F.sum(F.col("n") + length - 1).alias("bytes")).where(F.col("bytes") > BUCKET_BYTES)
         names = [r["bucket"] for r in big.select("bucket").collect()] if len(hot) < levels - 1 else []  # one per BUCKET_BYTES at most
