@@ -99,9 +99,12 @@ class TokenWeights:
     def __init__(self, weights: DataFrame, cols: list[str]):
         self.cols = cols
         self.table = cut_lineage(weights.where(F.col("token").isNotNull()).select("token", "n", *cols))
-        head = self.table.where(F.length("token") <= HEAD_LENGTH).orderBy(F.col("n").desc(), "token").limit(HEAD_TOKENS)
+        seen = self.table.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+        head = self.table.where(F.length("token") <= HEAD_LENGTH)
+        if seen["rows"] > HEAD_TOKENS:  # so that at most 2 * HEAD_TOKENS meet in the selection
+            head = head.where(F.col("n") * (2 * HEAD_TOKENS) >= seen["n"]).orderBy(F.col("n").desc(), "token").limit(HEAD_TOKENS)
         rows = head.select("token", *cols).collect()  # at most HEAD_TOKENS short tokens
-        self.whole = len(rows) == self.table.count()
+        self.whole = len(rows) == seen["rows"]
         values = np.array([[r[c] for c in cols] for r in rows], np.float64).reshape(-1, len(cols))
         self.head = weights.sparkSession.sparkContext.broadcast(([r["token"] for r in rows], values))
         self.key = uuid.uuid4().hex

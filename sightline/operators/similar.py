@@ -33,6 +33,8 @@ from .ordering import cpu_partitions
 
 BLOCK_BYTES = 1 << 20
 PIVOT_BYTES = 1 << 24
+#: Tasks that pack the queries of one block.
+SALTS = 16
 #: Allowance for rounding in distances and bounds, relative.
 SLACK = 1e-9
 
@@ -175,7 +177,7 @@ def _router(cells: ReferenceCells, k: int):
 
 
 def _query_packer(size: int):
-    """Rows in order of (block, query): runs of at most ``size`` queries of one block."""
+    """Rows in order of their block: runs of at most ``size`` queries of one block."""
     def pack(block, ids, radius, qs):
         return pa.RecordBatch.from_arrays([
             pa.array([block], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
@@ -244,8 +246,9 @@ def near_pairs(queries: DataFrame, cells: ReferenceCells, k: int = 0, home: bool
         return queries.sparkSession.createDataFrame([], _PAIRS)
     parts = cpu_partitions(queries)
     size = query_block or max(1, BLOCK_BYTES // (8 * cells.width))
-    sent = routed(queries, cells, k if home else 0)
-    packed = sent.repartitionByRange(parts, "block", "query_id").sortWithinPartitions("block", "query_id") \
+    # a block that very many queries reach is dealt over SALTS tasks to be packed, and met in runs of ``size`` queries
+    sent = routed(queries, cells, k if home else 0).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
+    packed = sent.repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "query_id").drop("salt") \
         .mapInArrow(_query_packer(size), "of_block long, q_ids binary, q_radius binary, q_m binary")
     both = packed.join(cells.blocks.select("block", "ids", "m"), F.col("of_block") == F.col("block"))
     return both.select("ids", "m", "q_ids", "q_radius", "q_m").mapInArrow(_kernel(cells.p, cells.width, k), _PAIRS)
