@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import dense_index
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .common import Chunk, chunks, mix
 
 HEAD = 1 << 15
@@ -83,9 +83,15 @@ def _frequent(pairs: bool):
 
 
 def head_runs(docs: DataFrame, pairs: bool = False, size: int = HEAD) -> list[bytes]:
-    """At most ``size`` frequent words or pairs, most frequent first."""
+    """At most ``size`` frequent words or pairs, most frequent first; of all counted, those with at least one in
+    ``16 * size`` places, so at most ``16 * size`` meet in the selection however many tasks count."""
     found = docs.select("text").mapInArrow(_frequent(pairs), "run binary, k long").groupBy("run").agg(F.sum("k").alias("k"))
-    return [bytes(r["run"]) for r in found.orderBy(F.col("k").desc(), "run").limit(size).collect()]
+    found = cut_lineage(found)
+    total = found.agg(F.sum("k")).first()[0] or 0  # one scalar
+    often = found.where(F.col("k") * (16 * size) >= total)
+    rows = often.orderBy(F.col("k").desc(), "run").limit(size).collect()
+    release(found)
+    return [bytes(r["run"]) for r in rows]
 
 
 class Buckets:
