@@ -21,6 +21,8 @@ from ..sources import sinks as sk
 from .catalog import register
 
 W = fx.with_views
+#: Files of a stand-in change at most (the SQL says the same number).
+FILES = 16
 
 
 def scratch(spark, name: str) -> str:
@@ -153,7 +155,7 @@ def q_snapshot_lines(spark, sf):
 
 
 def v_reviews(spark, sf):
-    """Nested review documents: change = source, revision = language, file = document;
+    """Nested review documents: change = source and 16 doc_ids, revision = language, file = document;
     one comment per file (ranged, single-line or whole-file by doc_id % 3) and one
     diff hunk per line (b, ab, or a+b by line_no % 3)."""
     lines = fx.v_lines(spark, sf).select("doc_id", "line_no", "line_contents")
@@ -171,15 +173,16 @@ def v_reviews(spark, sf):
         F.concat(F.lit("comment on "), F.col("doc_id").cast("string")).alias("message"),
         F.when(k == 0, F.struct(start.cast("int").alias("start_line"),
                                 (start + F.col("doc_id") % 3).cast("int").alias("end_line"))).alias("range"))
+    change = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / FILES).cast("string"))
     files = docs.join(diff, "doc_id").select(
-        "source", "lang", F.col("doc_id").cast("string").alias("fname"),
+        "source", change.alias("change"), "lang", F.col("doc_id").cast("string").alias("fname"),
         F.struct(F.col("text").alias("content"), F.array(comment).alias("comments"), "diff").alias("f"))
-    revs = files.groupBy("source", "lang").agg(F.map_from_entries(F.collect_list(F.struct("fname", "f"))).alias("files"))
-    ch = revs.groupBy("source").agg(F.map_from_entries(F.collect_list(
+    revs = files.groupBy("source", "change", "lang").agg(F.map_from_entries(F.collect_list(F.struct("fname", "f"))).alias("files"))
+    ch = revs.groupBy("source", "change").agg(F.map_from_entries(F.collect_list(
         F.struct("lang", F.struct(F.col("files").alias("files"))))).alias("revisions"))
     num = F.regexp_extract("source", r"(\d+)", 1).cast("int")
     created = F.concat(F.lit("2024-01-"), F.lpad((num + 1).cast("string"), 2, "0"), F.lit(" 00:00:00"))
-    return ch.select(F.col("source").alias("id"), created.alias("created"), "revisions")
+    return ch.select(F.col("change").alias("id"), created.alias("created"), "revisions")
 
 
 def _reviews_json(spark, sf):
@@ -189,7 +192,7 @@ def _reviews_json(spark, sf):
 
 
 _FLAT_SQL = """
-    SELECT d.source AS change_id, d.lang AS revision_id, CAST(d.doc_id AS VARCHAR) AS filename,
+    SELECT d.source || '/' || CAST(d.doc_id // 16 AS VARCHAR) AS change_id, d.lang AS revision_id, CAST(d.doc_id AS VARCHAR) AS filename,
            CAST(CASE WHEN d.doc_id % 3 = 0 THEN 1 + d.doc_id % 2 WHEN d.doc_id % 3 = 1 THEN 1 + d.doc_id % 4 END AS INTEGER) AS line,
            CAST(CASE WHEN d.doc_id % 3 = 0 THEN 1 + d.doc_id % 2 ELSE 0 END AS INTEGER) AS start_line,
            CAST(CASE WHEN d.doc_id % 3 = 0 THEN 1 + d.doc_id % 2 + d.doc_id % 3 ELSE 0 END AS INTEGER) AS end_line,
@@ -211,7 +214,7 @@ def q_flatten_comments(spark, sf):
 
 
 @register("flatten_added_lines", W(
-    "SELECT d.source AS change_id, d.lang AS revision_id, CAST(d.doc_id AS VARCHAR) AS filename, l.line_contents, "
+    "SELECT d.source || '/' || CAST(d.doc_id // 16 AS VARCHAR) AS change_id, d.lang AS revision_id, CAST(d.doc_id AS VARCHAR) AS filename, l.line_contents, "
     "CAST('2024-01-' || lpad(CAST(CAST(regexp_extract(d.source, '(\\d+)', 1) AS INTEGER) + 1 AS VARCHAR), 2, '0') AS TIMESTAMP) AS date, "
     "CAST(l.line_no - 1 AS INTEGER) AS hunk_no FROM documents d JOIN v_lines l ON l.doc_id = d.doc_id WHERE l.line_no % 3 = 0"))
 def q_flatten_added(spark, sf):
