@@ -142,3 +142,37 @@ def test_exact_quantile(spark):
         for few in (1, 50, 1 << 16):
             assert abs(sm.exact_quantile(df, "v", at, bins=8, few=few) - np.quantile(x, at)) < 1e-12
     assert sm.exact_quantile(df.limit(0), "v", 0.5) is None
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 3e7, 1e40])
+def test_products_of_powers_lose_no_pair(spark, scale):
+    """Candidates come from products in single precision; results are those of brute force, near ties, copies and
+    vectors of very unlike size included, in groups of few blocks."""
+    rnd = np.random.default_rng(11)
+    R = rnd.normal(size=(300, 7))
+    R[100:200] = R[:100] + rnd.normal(size=(100, 7)) * 1e-7
+    R[200:210] *= 1e-6
+    R[210:220] = R[3]
+    Q = np.vstack([R[:20] + 1e-8, R[200:205], rnd.normal(size=(15, 7)), rnd.normal(size=(5, 7)) * 1e3])
+    Q, R = Q * scale, R * scale
+    frame = lambda m, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"{name} long, embedding array<double>")
+    q, r = frame(Q, "query_id"), frame(R, "ref_id")
+    for p in (2, 6):
+        D = sm.distances(Q, R, p)
+        assert all((sm.pair_distances(Q[[i] * len(R)], R, p) == D[i]).all() for i in range(len(Q)))
+        cells = sm.reference_cells(r, p, ref_block=16, group_bytes=40 * 7 * 8)
+        got = {(x["query_id"], x["rank"], x["ref_id"], x["distance"]) for x in sm.knn_join(q, cells, 3, query_block=9).collect()}
+        assert got == {(i, k + 1, int(j), D[i, j]) for i in range(len(Q)) for k, j in enumerate(np.lexsort((np.arange(len(R)), D[i]))[:3])}
+        cut = float(np.quantile(D[:20], 0.3))
+        assert {(x["query_id"], x["ref_id"]) for x in sm.radius_join(q, cells, cut).collect()} == set(map(tuple, np.argwhere(D <= cut).tolist()))
+
+
+def test_a_query_is_sent_once_to_a_group(spark):
+    Q, R, q, r = clustered(spark)
+    cells = sm.reference_cells(r, ref_block=32, group_bytes=300 * 6 * 8)
+    n_groups, n_blocks = len(cells.starts), cells.blocks.count()
+    assert n_groups <= 8 < n_blocks
+    asked = sm._usable(q.select("query_id", "embedding", F.lit(1e9).alias("radius")), "query_id", "radius")
+    assert asked.mapInArrow(sm._group_router(cells), sm._SENT).count() == n_groups * len(Q)
+    near = sm._usable(q.where("query_id >= 4").select("query_id", "embedding", F.lit(0.5).alias("radius")), "query_id", "radius")
+    assert near.mapInArrow(sm._group_router(cells), sm._SENT).count() <= 2 * (len(Q) - 4)  # cells next to each other are close by
