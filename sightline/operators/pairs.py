@@ -44,8 +44,10 @@ def line_buckets(lines: DataFrame, period: int = 64, file_col: str = "doc_id", n
 
 
 def unique_pairs(pairs: DataFrame) -> DataFrame:
-    """Row 61: ``pairs`` has ``bucket, gidx, left, right``; returns the accepted ones."""
-    grouped = pairs.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("gidx", "left", "right"))).alias("_p"))
+    """Row 61: ``pairs`` has ``bucket, gidx, left, right``; returns the accepted ones, with their other columns.  A
+    bucket's pairs are brought together once and come out of there; the pairs are not made and joined a second time."""
+    more = [c for c in pairs.columns if c not in ("bucket", "gidx", "left", "right")]
+    grouped = pairs.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("gidx", "left", "right", *more))).alias("_p"))
     init = F.struct(F.array().cast("array<string>").alias("ls"), F.array().cast("array<string>").alias("rs"),
                     F.array().cast("array<long>").alias("acc"))
 
@@ -55,8 +57,9 @@ def unique_pairs(pairs: DataFrame) -> DataFrame:
                         F.when(ok, F.concat(st["rs"], F.array(x["right"]))).otherwise(st["rs"]).alias("rs"),
                         F.when(ok, F.concat(st["acc"], F.array(x["gidx"]))).otherwise(st["acc"]).alias("acc"))
 
-    kept = grouped.select("bucket", F.explode(F.aggregate("_p", init, step)["acc"]).alias("gidx"))
-    return pairs.join(kept, ["bucket", "gidx"], "left_semi")
+    told = grouped.where(F.col("bucket").isNotNull()).select("bucket", F.aggregate("_p", init, step)["acc"].alias("_acc"), "_p")
+    each = told.select("bucket", "_acc", F.explode_outer("_p").alias("_x")).where(F.array_contains("_acc", F.col("_x.gidx")))
+    return each.select(*[F.col("bucket") if c == "bucket" else F.col("_x").getField(c).alias(c) for c in pairs.columns])
 
 
 def generate_pairs(lines: DataFrame, period: int = 64, file_col: str = "doc_id", no_col: str = "line_no",

@@ -3,8 +3,10 @@
 Greedy longest-match word pieces: the vocabulary goes to every task as a trie with failure links, which cuts a word in
 time linear in its length.  Lines are cut where they are, batch by batch, each distinct word of a batch once, so no
 token is shuffled and a word that holds a third of all tokens is no hot key.  That path is for vocabularies of at most
-``VOCAB_CHARS`` characters, which is checked; a larger one is joined: distinct words -> every (start, length)
-substring -> longest entry per start -> a fold over the word's positions -> joined back by word.
+``VOCAB_CHARS`` characters, which is checked.  Of a larger one the ``HEAD_TOKENS`` first entries go to every task: a word
+among them is a piece of its own, and only a line's other words (each once) are joined: with the vocabulary, and those
+that are no entries as distinct words -> every (start, length) substring -> longest entry per start -> a fold over the
+word's positions.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from pyspark.sql import types as T
 
 from ..functions.text import drop_blank_tokens, is_number, split_code, token_signature
 from ..schemas import TOKEN_CLS, TOKEN_MASK, TOKEN_NUMBER, TOKEN_SEP, TOKEN_UNK
-from .ordering import posexplode_rows
+from ..session import cut_lineage
+from .ordering import cpu_partitions, posexplode_rows
 from .trie import PieceTrie
 
 #: Characters of a vocabulary that goes to every task; the trie has at most twice as many nodes.
 VOCAB_CHARS = 1 << 21
+#: Entries of a larger vocabulary that go to every task, and the longest one among them (in characters).
+HEAD_TOKENS, HEAD_LENGTH = 1 << 17, 64
 #: Words whose pieces a worker keeps before it starts afresh.
 KEPT_WORDS = 200_000
 
@@ -109,33 +114,86 @@ def with_pieces(df: DataFrame, words: Column, vocab: DataFrame, whole=(TOKEN_NUM
     if told is not None:
         out = T.StructType([*df.schema.fields, T.StructField("_pieces", T.ArrayType(T.ArrayType(T.StringType())))])
         return df.select("*", *extra).mapInArrow(_cutter(told, "_words", frozenset(whole), "_instead" if instead is not None else None), out)
-    rows = df.select("*", F.monotonically_increasing_id().alias("_row"), *extra)
-    each = rows.select("_row", F.posexplode_outer("_words").alias("_wp", "_word"), *([F.col("_instead")] if instead is not None else []))
-    if instead is not None:
-        entry = vocab.select(F.col("token").alias("_word"), F.lit(True).alias("_known"))
-        each = each.join(entry, "_word", "left").withColumn("_word", F.when(F.col("_known"), F.col("_word")).otherwise(
-            F.try_element_at("_instead", F.col("_wp") + 1)))
-    pieces = pieces_by_join(each.where(~F.col("_word").isin(list(whole))), vocab, "_word")
-    each = each.join(pieces, F.col("_word") == F.col("word"), "left")
-    p = F.when(F.col("_word").isin(list(whole)), F.array("_word")).otherwise(F.coalesce("pieces", F.array().cast("array<string>")))
-    got = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.when(F.col("_wp").isNotNull(), F.struct("_wp", p.alias("p"))))).alias("_e"))
-    back = rows.select("_row", F.struct(*df.columns).alias("_r")).join(got, "_row")
-    return back.select("_r.*", F.transform("_e", lambda e: e["p"]).alias("_pieces"))
+    src = df.select("*", *extra)
+    if instead is None:
+        src = src.withColumn("_instead", F.col("_words"))
+    head = told_head(vocab)
+    got = cut_lineage(_with_left(src, "_words", head, frozenset(["", *whole]), "_instead"))
+    asked = got.select("_row", F.explode(F.array_distinct(F.arrays_zip("_left", "_left_instead"))).alias("_k")) \
+        .select("_row", F.col("_k._left").alias("_w"), F.col("_k._left_instead").alias("_o"))
+    entries = vocab.where(F.col("token").isNotNull()).select(F.col("token").alias("_entry")).distinct()
+    keys = asked.select("_w", "_o").distinct().join(entries, F.col("_w") == F.col("_entry"), "left")
+    keys = cut_lineage(keys.select("_w", "_o", F.col("_entry").isNotNull().alias("_known")))
+    cut = pieces_by_join(keys.where(~F.col("_known")), vocab, "_o")
+    pieces = keys.where("_known").select("_w", "_o", F.array("_w").alias("pieces")).unionByName(
+        keys.where(~F.col("_known")).join(cut, F.col("_o") == F.col("word"), "left")
+        .select("_w", "_o", F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces")))
+    own = F.map_from_entries(F.collect_list(F.struct(F.struct("_w", "_o").alias("k"), "pieces"))).alias("_of")
+    back = asked.join(pieces, ["_w", "_o"]).groupBy("_row").agg(own)
+    none = lambda w: F.when(F.length(w) == 0, F.array().cast("array<string>"))
+    plain = got.where(F.size("_left") == 0).select(*df.columns, F.transform("_words", lambda w: none(w).otherwise(F.array(w))).alias("_pieces"))
+    joined = got.where(F.size("_left") > 0).join(back, "_row").select(*df.columns, F.zip_with("_words", "_instead", lambda w, o: none(w).otherwise(
+        F.coalesce(F.try_element_at("_of", F.struct(w.alias("_w"), o.alias("_o"))), F.array(w)))).alias("_pieces"))
+    return plain.unionAll(joined)
+
+
+def told_head(vocab: DataFrame):
+    """The first short entries of a vocabulary for every task (the frequent ones, where it is in that order): at most
+    ``HEAD_TOKENS`` of ``HEAD_LENGTH`` characters.  They decide speed only."""
+    cols = [c for c in ("token", "token_id") if c in vocab.columns]
+    rows = vocab.where(F.length("token").between(1, HEAD_LENGTH)).select(*cols).orderBy(cols[-1]).limit(HEAD_TOKENS).collect()
+    return uuid.uuid4().hex, vocab.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+
+_heads: dict[str, dict] = {}
+
+
+def _head(key: str, tokens) -> dict:
+    if key not in _heads:
+        if len(_heads) >= 2:
+            _heads.clear()
+        _heads[key] = {t[0]: t[-1] for t in tokens.value}
+    return _heads[key]
+
+
+def _leaver(head, words: str, whole: frozenset, instead: str):
+    """Adds each row's words that are neither in the head nor in ``whole``, with what stands at their places in
+    ``instead``."""
+    def run(batches):
+        known = _head(*head)
+        for b in batches:
+            col = b.column(b.schema.get_field_index(words))
+            flat = col.flatten().dictionary_encode()
+            left = np.array([t not in known and t not in whole for t in flat.dictionary.to_pylist()], bool)
+            on = left[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, bool)
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(col.offsets)))
+            sizes = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[on], minlength=b.num_rows))]).astype(np.int32))
+            mask = pa.array(on)
+            more = [pa.ListArray.from_arrays(sizes, b.column(b.schema.get_field_index(c)).flatten().filter(mask)) for c in (words, instead)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_left", "_left_instead"])
+    return run
+
+
+def _with_left(src: DataFrame, words: str, head, whole: frozenset, instead: str) -> DataFrame:
+    strings = T.ArrayType(T.StringType())
+    out = T.StructType([*src.schema.fields, T.StructField("_left", strings), T.StructField("_left_instead", strings)])
+    return src.mapInArrow(_leaver(head, words, whole, instead), out).withColumn("_row", F.monotonically_increasing_id())
 
 
 def pieces_by_join(words: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
     """``word, pieces`` for distinct words, by joining their substrings with a vocabulary of any size."""
     v = vocab.select(F.col("token").alias("_piece"), F.lit(True).alias("_hit"))
     lmax = v.select(F.max(F.length(F.regexp_replace("_piece", "^##", ""))).alias("m")).first()["m"] or 1  # scalar
-    w = words.select(F.col(word_col).alias("word")).distinct().where(F.length("word") > 0)
+    w = words.select(F.col(word_col).alias("word")).where(F.length("word") > 0).distinct().repartition(cpu_partitions(words), "word")
     cand = w.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     cand = cand.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(lmax), F.length("word") - F.col("s"))))
                        .alias("l"))
     cand = cand.withColumn("_piece", F.concat(F.when(F.col("s") > 0, F.lit("##")).otherwise(F.lit("")),
                                               F.substring(F.col("word"), F.col("s") + 1, F.col("l"))))
-    hits = cand.join(v, "_piece", "left")
-    jumps = hits.groupBy("word").agg(
-        F.collect_list(F.when(F.col("_hit"), F.struct("s", "l"))).alias("_hits"))
+    # the longest entry at every start; a word without any is joined back to none
+    longest = cand.join(v, "_piece").groupBy("word", "s").agg(F.max("l").alias("l"))
+    hits = longest.groupBy("word").agg(F.collect_list(F.struct("s", "l")).alias("_found"))
+    jumps = w.join(hits, "word", "left").select("word", F.coalesce("_found", F.array().cast("array<struct<s:int,l:int>>")).alias("_hits"))
     state = F.struct(F.lit(0).alias("nxt"), F.array().cast("array<string>").alias("ps"))
 
     def step(acc, i):
@@ -203,13 +261,18 @@ def signature_word_pieces(df: DataFrame, ids: list[str], line_col: str, vocab: D
     return cut.select(*ids, F.flatten("_pieces").alias("tokens"))
 
 
-def _finder(told, tokens: str, unknown: int):
+def _finder(told, tokens: str, unknown: int, more: str | None = None):
+    """Adds each row's ids; ``more`` names a column with ids (token, i) of tokens that are not told."""
     def run(batches):
-        ids = {t: int(i) for t, i in told[1].value}
+        ids = _head(*told)
         for b in batches:
             col = b.column(b.schema.get_field_index(tokens))
             flat = col.flatten().dictionary_encode()
-            found = pa.array([ids.get(t, unknown) for t in flat.dictionary.to_pylist()], pa.int32()).take(flat.indices)
+            own = ids
+            if more:  # equal tokens have equal ids in all rows
+                told_here = b.column(b.schema.get_field_index(more)).flatten()
+                own = ids | dict(zip(told_here.field("token").to_pylist(), told_here.field("i").to_pylist()))
+            found = pa.array([int(own.get(t, unknown)) for t in flat.dictionary.to_pylist()], pa.int32()).take(flat.indices)
             sizes = np.concatenate([[0], np.cumsum(np.diff(np.asarray(col.offsets)))]).astype(np.int32)
             keep = [i for i, n in enumerate(b.schema.names) if n != tokens]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.ListArray.from_arrays(pa.array(sizes), found)],
@@ -227,11 +290,19 @@ def vocab_lookup(df: DataFrame, ids: list[str], tokens_col: str, vocab: DataFram
         fields = [f for f in src.schema.fields if f.name != "_t"]
         found = src.mapInArrow(_finder(told, "_t", int(unk_id)), T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
         return found.withColumnRenamed("_ids", out)
-    rows = posexplode_rows(df, ids, F.col(tokens_col), "_p", "token")
-    j = rows.join(vocab.select("token", "token_id"), "token", "left")
-    j = j.select(*ids, "_p", F.coalesce(F.col("token_id"), F.lit(unk_id)).cast("int").alias("_id"))
-    got = collect_ordered(j, ids, "_p", "_id", out)
-    return df.select(*ids).join(got, ids, "left").select(*ids, F.coalesce(out, F.array().cast("array<int>")).alias(out))
+    src = df.select(*ids, F.coalesce(tokens_col, F.array().cast("array<string>")).alias("_t"))
+    head = told_head(vocab)
+    # a token of the head is a number where it is; the others of a line, each once, are joined
+    got = cut_lineage(_with_left(src, "_t", head, frozenset(), "_t"))
+    fields, number = [got.schema[c] for c in ids], T.StructField("_ids", T.ArrayType(T.IntegerType()))
+    plain = got.where(F.size("_left") == 0).select(*ids, "_t").mapInArrow(_finder(head, "_t", int(unk_id)), T.StructType([*fields, number]))
+    some = got.where(F.size("_left") > 0)
+    asked = some.select("_row", F.explode(F.array_distinct("_left")).alias("token")).where(F.col("token").isNotNull())
+    own = F.collect_list(F.struct("token", F.col("token_id").cast("int").alias("i")))
+    of = asked.join(vocab.select("token", "token_id"), "token").groupBy("_row").agg(own.alias("_of"))
+    both = some.join(of, "_row", "left").select(*ids, "_t", "_of").mapInArrow(
+        _finder(head, "_t", int(unk_id), "_of"), T.StructType([*fields, T.StructField("_of", of.schema["_of"].dataType), number]))
+    return plain.unionAll(both.drop("_of")).withColumnRenamed("_ids", out)
 
 
 def cut_pair(a: Column, b: Column, seq_len: int) -> tuple[Column, Column]:
