@@ -150,3 +150,18 @@ def test_ingest_forgets_by_timer(spark, tmp_path):
     finally:
         for q in queries:
             q.stop()
+
+
+def test_ingest_query_writes_few_files(spark, tmp_path):
+    """The stream's input is files of some size, not one for every partition of the reviews."""
+    from pathlib import Path
+    from sightline.plans.stream_queries import q_ingest_stream
+    from sightline.session import checkpoint_dir
+    docs = [(i, f"one {i}\ntwo\nthree", "en", f"src{i % 20}", 10) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(checkpoint_dir(spark).removeprefix("file:")) / "sightline-scratch"
+    before = set(folder.glob("in-*"))
+    rows = q_ingest_stream(spark, str(tmp_path)).collect()
+    assert len({(r["change_id"], r["filename"], r["line_no"]) for r in rows}) == len(rows) > 60
+    own, = set(folder.glob("in-*")) - before
+    assert all(len(list((own / part).glob("part-*"))) == 1 for part in ("part1", "part2", "again"))
