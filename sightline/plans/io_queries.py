@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_dates, sanitize_text
 from ..operators import metrics as mt
+from ..operators.ordering import cpu_partitions, dense_index
 from ..schemas import REVIEW_SCHEMA
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
@@ -69,22 +70,25 @@ def q_read_corpus(spark, sf):
 
 
 def _one_document(rows, path):
-    """Writes rows (order, JSON) as one document ``[a, b, ...]``, in one file."""
-    first = rows.agg(F.min("o")).first()[0]
-    shown = rows.select(F.col("o").cast("long").alias("o"), F.concat(F.when(F.col("o") == first, "").otherwise(",\n "), F.col("j")).alias("j"))
-    ends = rows.sparkSession.createDataFrame([(-(1 << 62), "["), (1 << 62, "]")], "o long, j string")
-    shown.unionByName(ends).repartition(1).sortWithinPartitions("o").select(F.col("j").alias("value")).write.option("lineSep", " ").text(path)
+    """Writes rows (order, JSON) as one document ``[a, b, ...]``, in parts that follow each other by name."""
+    told = dense_index(rows.where(F.col("j").isNotNull()).select(F.col("o").cast("long").alias("o"), "j"), [F.col("o")], "i")
+    n = told.count()
+    if not n:
+        told, n = rows.sparkSession.createDataFrame([(0, "")], "i long, j string"), 1
+    shown = F.concat(F.when(F.col("i") == 0, "[").otherwise(",\n "), F.col("j"), F.when(F.col("i") == n - 1, "]").otherwise(""))
+    told.repartitionByRange(cpu_partitions(rows), "i").sortWithinPartitions("i").select(shown.alias("value")) \
+        .write.option("lineSep", " ").text(path)
 
 
 @register("read_corpus_document", W(
     "SELECT doc_id, CAST(line_no - 1 AS BIGINT) AS line_no, line_contents AS line FROM v_lines"))
 def q_read_corpus_document(spark, sf):
-    """Row 3 in the reference's own form: one JSON document, read by many tasks."""
+    """Row 3 in the reference's own form: one JSON document, written in parts and read by many tasks."""
     path = scratch(spark, "corpus-document")
     docs = fx.table(spark, sf, "documents")
     lines = F.concat(F.array(F.col("doc_id").cast("string")), F.split("text", "\n", -1))
     _one_document(docs.select(F.col("doc_id").alias("o"), F.to_json(lines).alias("j")), path)
-    out = rd.read_corpus(spark, path, json_lines=False)
+    out = rd.read_corpus(spark, path, json_lines=False, parts=True)
     name = out.where("line_no = 0").select("file_no", F.col("line").cast("long").alias("doc_id"))
     return out.where("line_no > 0").join(name, "file_no") \
         .select("doc_id", (F.col("line_no") - 1).cast("bigint").alias("line_no"), "line")
@@ -256,9 +260,9 @@ def q_embedding_store_document(spark, sf):
     halves = [e.select(F.lit(k).alias("k"), F.col("vec_id").alias("o"), F.concat(comma, j).alias("value"))
               for k, j in ((1, F.concat(F.lit('"'), F.col("line"), F.lit('"'))), (3, F.to_json("embedding")))]
     marks = spark.createDataFrame([(0, 0, "["), (2, 0, "], "), (4, 0, "]]")], "k int, o long, value string")
-    halves[0].unionByName(halves[1]).unionByName(marks).repartition(1).sortWithinPartitions("k", "o").select("value") \
-        .write.option("lineSep", " ").text(path)
-    return rd.read_embeddings(spark, path, "json")
+    halves[0].unionByName(halves[1]).unionByName(marks).repartitionByRange(cpu_partitions(e), "k", "o").sortWithinPartitions("k", "o") \
+        .select("value").write.option("lineSep", " ").text(path)
+    return rd.read_embeddings(spark, path, "json", parts=True)
 
 
 @register("sanitize_text", W(

@@ -64,16 +64,17 @@ def read_comments(spark, paths, cols=None, sep=";", schema=None, fmt="csv") -> D
     return read_table(spark, paths, schema, cols, sep, fmt)
 
 
-def read_corpus(spark: SparkSession, path: str, json_lines: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, json_lines: bool = True, parts: bool = False) -> DataFrame:
     """Row 3: corpus of files (lists of lines) -> ``file_no, line_no, line``.
 
     ``json_lines``: one JSON array (a file's lines) per text line.  Otherwise the
-    reference's single JSON document (a list of lists).  Both are split across tasks."""
+    reference's single JSON document (a list of lists); with ``parts`` the files of the folder ``path``, in order of
+    their names, are one document.  All are split across tasks."""
     if json_lines:
         raw = spark.read.text(path).withColumn("_seq", F.monotonically_increasing_id())
         files = raw.select(F.col("_seq").alias("file_no"), F.from_json("value", "array<string>").alias("lines"))
         return files.select("file_no", F.posexplode("lines").alias("line_no", "line"))
-    return read_lists_of_strings(spark, path)
+    return read_lists_of_strings(spark, path, parts)
 
 
 def extract_lines(spark: SparkSession, code_path: str, file_extensions: list[str],
@@ -134,10 +135,10 @@ def read_vocab(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return v if limit is None else v.where(F.col("token_id") < limit)
 
 
-def read_embeddings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_embeddings(spark: SparkSession, path: str, fmt: str = "parquet", parts: bool = False) -> DataFrame:
     """Row 12: ``line, embedding``.  ``fmt='json'`` reads the reference's
-    ``[lines, vectors]`` documents (aligned by position), split across tasks."""
-    return spark.read.parquet(path) if fmt == "parquet" else read_lines_and_vectors(spark, path)
+    ``[lines, vectors]`` documents (aligned by position; ``parts`` as in ``read_corpus``), split across tasks."""
+    return spark.read.parquet(path) if fmt == "parquet" else read_lines_and_vectors(spark, path, parts)
 
 
 def file_line_table(spark: SparkSession, code_path: str, file_extensions: list[str], limit_files: int | None = None,

@@ -165,3 +165,37 @@ def test_ingest_query_writes_few_files(spark, tmp_path):
     assert len({(r["change_id"], r["filename"], r["line_no"]) for r in rows}) == len(rows) > 60
     own, = set(folder.glob("in-*")) - before
     assert all(len(list((own / part).glob("part-*"))) == 1 for part in ("part1", "part2", "again"))
+
+
+def test_one_document_in_parts(spark, tmp_path):
+    """A document cut into files at any place but after a comma or a backslash."""
+    rnd = random.Random(7)
+    odd = ['a, "b"', "[1, 2]", "\\\\", '\\"', "], [", "é漢", "", " ", ",,,", '"', "x" * 90, "null", "end\\"]
+    files = [[rnd.choice(odd) for _ in range(rnd.choice([0, 1, 3, 12]))] for _ in range(40)]
+    lines, vectors = odd, [[rnd.randrange(64) / 8 for _ in range(5)] for _ in odd]
+    for name, held in (("c", files), ("v", [lines, vectors])):
+        raw = json.dumps(held, ensure_ascii=False)
+        cuts = sorted({0, len(raw), *(i for i in rnd.sample(range(1, len(raw)), 60) if raw[i - 1] not in ",\\")})
+        (tmp_path / name).mkdir()
+        for i, (a, z) in enumerate(zip(cuts, cuts[1:])):
+            (tmp_path / name / f"part-{i:05d}.txt").write_text(raw[a:z])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        got = rd.read_corpus(spark, str(tmp_path / "c"), json_lines=False, parts=True).collect()
+        emb = rd.read_embeddings(spark, str(tmp_path / "v"), "json", parts=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, got)) == sorted((f, i, x) for f, own in enumerate(files) for i, x in enumerate(own))
+    assert sorted((r["line"], r["embedding"]) for r in emb) == sorted((x, v) for x, v in zip(lines, vectors))
+
+
+def test_one_document_is_written_by_many_tasks(spark, tmp_path):
+    from sightline.plans.io_queries import _one_document
+    rows = [(i // 2, json.dumps([str(i // 2), "x, y"])) for i in range(400)]  # every order comes twice
+    _one_document(spark.createDataFrame(rows + [(7, None)], "o long, j string"), str(tmp_path / "d"))
+    names = sorted(f.name for f in (tmp_path / "d").glob("part-*"))
+    assert len(names) > 1
+    whole = "".join((tmp_path / "d" / f).read_text() for f in names)
+    assert json.loads(whole) == [json.loads(j) for _, j in rows]
+    _one_document(spark.createDataFrame([], "o long, j string"), str(tmp_path / "e"))
+    assert rd.read_corpus(spark, str(tmp_path / "e"), json_lines=False, parts=True).collect() == []
