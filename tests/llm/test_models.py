@@ -218,6 +218,25 @@ def test_language_model_probabilities_sum_to_one():
         assert p[own & known[part.word]].sum() + (unknown[0] if len(unknown) else 0) == pytest.approx(1, abs=0.04 if not len(unknown) else 1e-9)
 
 
+def test_every_context_has_a_restaurant_of_its_own(spark, monkeypatch):
+    """More contexts than any fixed number of restaurants, one customer in each: all seats are certain, over all parts."""
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 20_000)
+    n = 20_000
+    in_training = next(d for d in range(99) if zlib.crc32(str(d).encode()) % 5 != 1)
+    apart = next(d for d in range(99) if zlib.crc32(str(d).encode()) % 5 == 1)
+    got = {r.doc_id: r for r in pitman_yor.score(frame(spark, [
+        (in_training, " ".join(f"w{i}" for i in range(n))), (apart, "w7 w8 w3 nowhere")])).collect()}
+    d1, s1, d0, s0 = pitman_yor.D1, pitman_yor.S1, pitman_yor.D0, pitman_yor.S0
+    base = (s0 + d0 * (n + 1)) / (n + 2)  # the end is a word, and the unknown word is one more
+    known, unknown = (1 - d0 + base) / (s0 + n + 1), base / (s0 + n + 1)
+    seen = (1 - d1 + (s1 + d1) * known) / (s1 + 1)
+    assert got[in_training].score == pytest.approx((n + 1) * math.log10(seen), rel=1e-9)
+    after = (s1 + d1) * known / (s1 + 1)  # a known word in a context that has another
+    # start w7, w7 w8 (seen), w8 w3, w3 nowhere, nowhere end (a context without customers)
+    want = 2 * math.log10(after) + math.log10(seen) + math.log10((s1 + d1) * unknown / (s1 + 1)) + math.log10(known)
+    assert got[apart].score == pytest.approx(want, rel=1e-9)
+
+
 def test_seats_follow_the_restaurant():
     """The mean number of tables against the exact distribution, summed step by step."""
     rng = np.random.default_rng(0)
