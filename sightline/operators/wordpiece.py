@@ -1,17 +1,18 @@
 """Word pieces, vocabulary lookup and encoding (rows 30, 75-78, 105).
 
-Greedy longest-match word pieces: the vocabulary goes to every task as a trie with failure links, which cuts a word in
-time linear in its length.  Lines are cut where they are, batch by batch, each distinct word of a batch once, so no
-token is shuffled and a word that holds a third of all tokens is no hot key.  That path is for vocabularies of at most
-``VOCAB_CHARS`` characters, which is checked.  Of a larger one the ``HEAD_TOKENS`` first entries go to every task: a word
-among them is a piece of its own, and only a line's other words (each once) are joined: with the vocabulary, and those
-that are no entries as distinct words -> every (start, length) substring -> longest entry per start -> a fold over the
-word's positions.
+Greedy longest-match word pieces: the vocabulary goes to every task, as a trie with failure links where it is small,
+else packed in flat arrays (``packed.py``).  Lines are cut where they are, batch by batch, each distinct word of a batch
+once, so no line is stored, no token is shuffled, and a word that holds a third of all tokens is no hot key.  That path
+is for vocabularies of at most ``VOCAB_CHARS`` characters, which is checked.  Of a larger one the ``HEAD_TOKENS`` first
+entries go to every task: a word among them is a piece of its own, and only a line's other words (each once) are joined:
+with the vocabulary, and those that are no entries as distinct words -> every (start, length) substring -> longest entry
+per start -> a fold over the word's positions.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +20,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import drop_blank_tokens, is_number, split_code, token_signature
+from ..functions.text import drop_blank_tokens, is_number, signature_of, split_code, token_signature
 from ..schemas import TOKEN_CLS, TOKEN_MASK, TOKEN_NUMBER, TOKEN_SEP, TOKEN_UNK
 from ..session import cut_lineage
 from .ordering import cpu_partitions, posexplode_rows
+from .packed import PackedVocabulary
 from .trie import PieceTrie
 
-#: Characters of a vocabulary that goes to every task; the trie has at most twice as many nodes.
-VOCAB_CHARS = 1 << 21
+#: Characters of a vocabulary that goes to every task (some 5 bytes each in a worker), and of one that goes there as a
+#: trie, which has at most twice as many nodes.
+VOCAB_CHARS, TRIE_CHARS = 1 << 25, 1 << 16
 #: Entries of a larger vocabulary that go to every task, and the longest one among them (in characters).
 HEAD_TOKENS, HEAD_LENGTH = 1 << 17, 64
 #: Words whose pieces a worker keeps before it starts afresh.
 KEPT_WORDS = 200_000
 
-_tries: dict[str, tuple[PieceTrie, dict]] = {}
+_vocabularies: dict[str, TrieVocabulary | PackedVocabulary] = {}
 
 
 def code_words(line: Column, preserve_whitespace: bool = True, use_digit_token: bool = True) -> Column:
@@ -55,68 +58,98 @@ def signature_words(line: Column, vocab_words: Column | None = None, preserve_wh
     return F.transform(w, lambda t: F.when(is_number(t), F.lit("0")).otherwise(t))
 
 
-def told_vocabulary(vocab: DataFrame):
-    """The vocabulary's tokens (with ids where it has them) for every task, or None where it is too large for that."""
-    cols = [c for c in ("token", "token_id") if c in vocab.columns]
-    size = vocab.agg(F.sum(F.length("token") + 1).alias("n")).first()["n"] or 0
-    if size > VOCAB_CHARS:
-        return None
-    rows = vocab.select(*cols).where(F.col("token").isNotNull()).collect()  # at most VOCAB_CHARS characters
-    return uuid.uuid4().hex, vocab.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+class TrieVocabulary:
+    """A small vocabulary in a worker: entries by text, words cut by a trie and kept."""
+
+    def __init__(self, tokens: pa.Array, ids: np.ndarray):
+        self.row = {t: i for i, t in enumerate(tokens.to_pylist())}
+        self.ids, self.trie, self.kept = ids, PieceTrie(self.row), {}
 
+    def find(self, words: pa.Array) -> np.ndarray:
+        return np.array([self.row.get(w, -1) for w in words.to_pylist()], np.int64)
 
-def _trie(key: str, tokens) -> tuple[PieceTrie, dict]:
-    """This worker's trie of a vocabulary, and the words it has cut so far."""
-    if key not in _tries:
-        if len(_tries) >= 2:
-            _tries.clear()
-        _tries[key] = PieceTrie(t[0] for t in tokens.value), {}
-    return _tries[key]
+    def find_ids(self, words: pa.Array, unknown: int) -> np.ndarray:
+        return np.array([unknown if i < 0 else self.ids[i] for i in self.find(words)], np.int64)
 
+    def pieces(self, words: pa.Array) -> list[list[str]]:
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        out = []
+        for w in words.to_pylist():
+            p = self.kept.get(w)
+            if p is None:
+                p = self.trie.pieces(w)
+                if len(w) < 100:
+                    self.kept[w] = p
+            out.append(p)
+        return out
 
-def _cutter(told, words: str, whole: frozenset, instead: str | None):
-    """Adds each row's pieces, word by word; a word of ``whole`` is one piece.  With ``instead``, a word that is no
-    entry is cut as the word at its place there."""
+
+def told_vocabulary(vocab: DataFrame):
+    """The vocabulary's tokens (with ids where it has them) for every task, or None where it is too large for that.  Made
+    once for a table."""
+    if getattr(vocab, "_told_size", None) is None:
+        vocab._told_size = vocab.agg(F.sum(F.length("token") + 1).alias("n")).first()["n"] or 0
+    if vocab._told_size > VOCAB_CHARS:
+        return None
+    if getattr(vocab, "_told", None) is None:
+        id_ = F.col("token_id") if "token_id" in vocab.columns else F.lit(-1)
+        rows = vocab.where(F.col("token").isNotNull()).select("token", id_.cast("long").alias("i")).toArrow()  # at most VOCAB_CHARS characters
+        tokens, ids = rows.column("token").combine_chunks(), rows.column("i").combine_chunks()
+        kind = TrieVocabulary if vocab._told_size <= TRIE_CHARS else PackedVocabulary
+        vocab._told = uuid.uuid4().hex, vocab.sparkSession.sparkContext.broadcast((kind, tokens, ids.to_numpy(zero_copy_only=False)))
+    return vocab._told
+
+
+def _vocabulary(key: str, told) -> TrieVocabulary | PackedVocabulary:
+    """This worker's own form of a vocabulary."""
+    if key not in _vocabularies:
+        if len(_vocabularies) >= 2:
+            _vocabularies.clear()
+        kind, tokens, ids = told.value
+        _vocabularies[key] = kind(tokens, ids)
+        vars(told).pop("_value", None)  # the copy of what was sent
+    return _vocabularies[key]
+
+
+def _cutter(told, words: str, whole: frozenset, instead: Callable | None, flat: bool):
+    """Adds each row's pieces, word by word or (``flat``) one after the other; a word of ``whole`` is one piece.  With
+    ``instead``, a word that is no entry is cut as what that gives for it."""
     def run(batches):
-        trie, kept = _trie(*told)
-        known = {t[0] for t in told[1].value} if instead else None
+        known = _vocabulary(*told)
         for b in batches:
             col = b.column(b.schema.get_field_index(words))
-            flat = col.flatten().dictionary_encode()
-            texts, index = flat.dictionary.to_pylist(), flat.indices
+            every = col.flatten().dictionary_encode()
+            texts, index = every.dictionary, every.indices
+            asked = texts
             if instead:
-                other = b.column(b.schema.get_field_index(instead)).flatten().to_pylist()
-                pairs = [texts[i] if texts[i] in known else o for i, o in zip(index.to_pylist(), other)]
-                flat = pa.array(pairs, pa.string()).dictionary_encode()
-                texts, index = flat.dictionary.to_pylist(), flat.indices
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-            cut = []
-            for w in texts:
-                p = kept.get(w)
-                if p is None:
-                    p = trie.pieces(w)
-                    if len(w) < 100:
-                        kept[w] = p
-                cut.append([w] if w in whole else p)
+                asked = pa.array([t if i >= 0 else instead(t) for t, i in zip(texts.to_pylist(), known.find(texts).tolist())], pa.string())
+            cut = known.pieces(asked)
+            if whole:
+                cut = [[w] if w in whole else p for w, p in zip(texts.to_pylist(), cut)]
             of_word = pa.array(cut, pa.list_(pa.string())).take(index)
-            sizes = np.concatenate([[0], np.cumsum(np.diff(np.asarray(col.offsets)))]).astype(np.int32)
-            pieces = pa.ListArray.from_arrays(pa.array(sizes), of_word)
-            keep = [i for i, n in enumerate(b.schema.names) if n not in (words, instead)]
+            sizes = np.concatenate([[0], np.cumsum(np.diff(np.asarray(col.offsets)))])
+            if flat:
+                n = of_word.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                sizes, of_word = np.concatenate([[0], np.cumsum(n)])[sizes], of_word.flatten()
+            pieces = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), of_word)
+            keep = [i for i, n in enumerate(b.schema.names) if n != words]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pieces], [*(b.schema.names[i] for i in keep), "_pieces"])
     return run
 
 
-def with_pieces(df: DataFrame, words: Column, vocab: DataFrame, whole=(TOKEN_NUMBER,), instead: Column | None = None) -> DataFrame:
-    """``df`` with ``_pieces``: per word of the array ``words`` the array of its pieces.  An empty word has none."""
+def with_pieces(df: DataFrame, words: Column, vocab: DataFrame, whole=(TOKEN_NUMBER,), instead: tuple[Column, Callable] | None = None,
+                empty: bool = False, flat: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (its columns ``keep``) with ``_pieces``: per word of the array ``words`` the array of its pieces, or (``flat``) all pieces of the
+    row.  An empty word has none, or (``empty``) is a piece.  ``instead`` gives what is cut for words that are no entries:
+    the array, and a function that makes each of its words of the word at its place."""
     told = told_vocabulary(vocab)
-    extra = [words.alias("_words")] + ([instead.alias("_instead")] if instead is not None else [])
+    keep, strings = df.columns if keep is None else keep, T.ArrayType(T.StringType())
     if told is not None:
-        out = T.StructType([*df.schema.fields, T.StructField("_pieces", T.ArrayType(T.ArrayType(T.StringType())))])
-        return df.select("*", *extra).mapInArrow(_cutter(told, "_words", frozenset(whole), "_instead" if instead is not None else None), out)
-    src = df.select("*", *extra)
-    if instead is None:
-        src = src.withColumn("_instead", F.col("_words"))
+        out = T.StructType([*df.select(*keep).schema.fields, T.StructField("_pieces", strings if flat else T.ArrayType(strings))])
+        whole = frozenset(["", *whole] if empty else whole)
+        return df.select(*keep, words.alias("_words")).mapInArrow(_cutter(told, "_words", whole, instead[1] if instead else None, flat), out)
+    src = df.select(*keep, words.alias("_words"), (instead[0] if instead else words).alias("_instead"))
     head = told_head(vocab)
     got = cut_lineage(_with_left(src, "_words", head, frozenset(["", *whole]), "_instead"))
     asked = got.select("_row", F.explode(F.array_distinct(F.arrays_zip("_left", "_left_instead"))).alias("_k")) \
@@ -130,10 +163,11 @@ def with_pieces(df: DataFrame, words: Column, vocab: DataFrame, whole=(TOKEN_NUM
         .select("_w", "_o", F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces")))
     own = F.map_from_entries(F.collect_list(F.struct(F.struct("_w", "_o").alias("k"), "pieces"))).alias("_of")
     back = asked.join(pieces, ["_w", "_o"]).groupBy("_row").agg(own)
-    none = lambda w: F.when(F.length(w) == 0, F.array().cast("array<string>"))
-    plain = got.where(F.size("_left") == 0).select(*df.columns, F.transform("_words", lambda w: none(w).otherwise(F.array(w))).alias("_pieces"))
-    joined = got.where(F.size("_left") > 0).join(back, "_row").select(*df.columns, F.zip_with("_words", "_instead", lambda w, o: none(w).otherwise(
-        F.coalesce(F.try_element_at("_of", F.struct(w.alias("_w"), o.alias("_o"))), F.array(w)))).alias("_pieces"))
+    none = lambda w: F.when(F.length(w) == 0, F.array(w) if empty else F.array().cast("array<string>"))
+    shown = lambda c: (F.flatten(c) if flat else c).alias("_pieces")
+    plain = got.where(F.size("_left") == 0).select(*keep, shown(F.transform("_words", lambda w: none(w).otherwise(F.array(w)))))
+    joined = got.where(F.size("_left") > 0).join(back, "_row").select(*keep, shown(F.zip_with("_words", "_instead", lambda w, o: none(w).otherwise(
+        F.coalesce(F.try_element_at("_of", F.struct(w.alias("_w"), o.alias("_o"))), F.array(w))))))
     return plain.unionAll(joined)
 
 
@@ -217,9 +251,7 @@ def word_pieces_of(words: DataFrame, vocab: DataFrame, word_col: str = "word") -
 def word_pieces(df: DataFrame, ids: list[str], words: Column, vocab: DataFrame, pos: str = "pos",
                 out: str = "token") -> DataFrame:
     """Rows 75/77: one row per piece: ``ids, pos`` (piece order in the line), ``token``."""
-    cut = with_pieces(df.select(*ids, words.alias("_w")), F.col("_w"), vocab)
-    # an empty word stays as it is
-    cut = cut.select(*ids, F.zip_with("_w", "_pieces", lambda w, p: F.when(F.length(w) == 0, F.array(w)).otherwise(p)).alias("_pieces"))
+    cut = with_pieces(df, words, vocab, empty=True, keep=ids)  # an empty word stays as it is
     each = posexplode_rows(cut, ids, F.col("_pieces"), "_wp", "_p")
     p = posexplode_rows(each, [*ids, "_wp"], F.col("_p"), "_pp", out)
     return p.select(*ids, F.struct("_wp", "_pp").alias(pos), out)
@@ -239,26 +271,40 @@ def tokenize_lines(df: DataFrame, ids: list[str], line_col: str, vocab: DataFram
     words = tokenizer(line) if tokenizer is not None else code_words(line, preserve_whitespace)
     if vocab is None:
         return df.select(*ids, words.alias("tokens"))
-    cut = with_pieces(df.select(*ids, F.coalesce(words, F.array().cast("array<string>")).alias("_w")), F.col("_w"), vocab)
-    pieces = F.zip_with("_w", "_pieces", lambda w, p: F.when(F.length(w) == 0, F.array(w)).otherwise(p))
-    return cut.select(*ids, F.flatten(pieces).alias("tokens"))
+    words = F.coalesce(words, F.array().cast("array<string>"))
+    return with_pieces(df, words, vocab, empty=True, flat=True, keep=ids).select(*ids, F.col("_pieces").alias("tokens"))
 
 
 def signature_pieces(df: DataFrame, ids: list[str], line_col: str, vocab: DataFrame, preserve_whitespace: bool = True,
-                     tokenizer=None) -> DataFrame:
-    """Row 76 word by word: ``ids, _pieces`` (array per word).  Digits -> "0"; a word outside the vocabulary -> its
-    signature (74); then word pieces."""
+                     tokenizer=None, flat: bool = False) -> DataFrame:
+    """Row 76 word by word: ``ids, _pieces`` (array per word; with ``flat`` all pieces of the line).  Digits -> "0"; a word
+    outside the vocabulary -> its signature (74), taken of each distinct word where that is cut; then word pieces."""
     line = F.col(line_col)
     words = tokenizer(line) if tokenizer is not None else signature_words(line, preserve_whitespace=preserve_whitespace)
-    staged = df.select(*ids, F.coalesce(words, F.array().cast("array<string>")).alias("_w"))
-    return with_pieces(staged, F.col("_w"), vocab, whole=(), instead=F.transform("_w", token_signature)).drop("_w")
+    words = F.coalesce(words, F.array().cast("array<string>"))
+    return with_pieces(df, words, vocab, whole=(), instead=(F.transform(words, token_signature), signature_of), flat=flat, keep=ids)
 
 
 def signature_word_pieces(df: DataFrame, ids: list[str], line_col: str, vocab: DataFrame,
                           preserve_whitespace: bool = True, tokenizer=None) -> DataFrame:
     """Row 76 per line: ``ids, tokens``."""
-    cut = signature_pieces(df, ids, line_col, vocab, preserve_whitespace, tokenizer)
-    return cut.select(*ids, F.flatten("_pieces").alias("tokens"))
+    cut = signature_pieces(df, ids, line_col, vocab, preserve_whitespace, tokenizer, flat=True)
+    return cut.select(*ids, F.col("_pieces").alias("tokens"))
+
+
+def _places(told, tokens: str, unknown: int):
+    """Each row's ids in place."""
+    def run(batches):
+        known = _vocabulary(*told)
+        for b in batches:
+            col = b.column(b.schema.get_field_index(tokens))
+            flat = col.flatten().dictionary_encode(null_encoding="encode")
+            found = pa.array(known.find_ids(flat.dictionary, unknown).astype(np.int32)).take(flat.indices)
+            sizes = np.concatenate([[0], np.cumsum(np.diff(np.asarray(col.offsets)))]).astype(np.int32)
+            keep = [i for i, n in enumerate(b.schema.names) if n != tokens]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.ListArray.from_arrays(pa.array(sizes), found)],
+                                             [*(b.schema.names[i] for i in keep), "_ids"])
+    return run
 
 
 def _finder(told, tokens: str, unknown: int, more: str | None = None):
@@ -288,7 +334,7 @@ def vocab_lookup(df: DataFrame, ids: list[str], tokens_col: str, vocab: DataFram
     if told is not None:
         src = df.select(*ids, F.coalesce(tokens_col, F.array().cast("array<string>")).alias("_t"))
         fields = [f for f in src.schema.fields if f.name != "_t"]
-        found = src.mapInArrow(_finder(told, "_t", int(unk_id)), T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
+        found = src.mapInArrow(_places(told, "_t", int(unk_id)), T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
         return found.withColumnRenamed("_ids", out)
     src = df.select(*ids, F.coalesce(tokens_col, F.array().cast("array<string>")).alias("_t"))
     head = told_head(vocab)

@@ -73,7 +73,7 @@ _WP_CTES = _VOCAB_CTES + [("lw", _LINE_WORDS)] + _walk_ctes("SELECT word FROM lw
 
 def _vocab(spark, sf):
     # the vocabulary is an artifact used by every tokenizing step: materialized once
-    return cut_lineage(vb.build_vocab(fx.v_lines(spark, sf), min_count=MIN_COUNT))
+    return cut_lineage(vb.build_vocab(fx.v_lines_in_place(spark, sf), min_count=MIN_COUNT, dealt=True))
 
 
 @register("build_vocab", W("SELECT token, token_id, n FROM vocab", *_VOCAB_CTES))
@@ -87,7 +87,7 @@ def q_load_vocab(spark, sf):
 
 
 def _wp_rows(spark, sf):
-    lines = fx.v_lines(spark, sf)
+    lines = fx.v_lines_in_place(spark, sf)
     rows = wp.word_pieces(lines, IDS, wp.code_words(F.col("line_contents")), _vocab(spark, sf))
     return rows.select(*IDS, F.col("pos._wp").cast("int").alias("word_pos"), F.col("pos._pp").cast("int")
                        .alias("piece_pos"), "token")
@@ -100,7 +100,7 @@ def q_word_piece(spark, sf):
 
 def _ids(spark, sf):
     vocab = _vocab(spark, sf)
-    toks = wp.tokenize_lines(fx.v_lines(spark, sf), IDS, "line_contents", vocab)
+    toks = wp.tokenize_lines(fx.v_lines_in_place(spark, sf), IDS, "line_contents", vocab)
     return wp.vocab_lookup(toks, IDS, "tokens", vocab), vocab
 
 
@@ -148,6 +148,9 @@ def _pair_sql() -> str:
 def q_tokenize_pair(spark, sf):
     ids, vocab = _ids(spark, sf)
     sp = wp.special_ids(vocab)
+    # a pair is cut to PAIR_LEN - 3 ids, the longer side first, so no later id of either side is ever in it; both sides
+    # read the same stored ids
+    ids = cut_lineage(ids.select(*IDS, F.slice("token_ids", 1, PAIR_LEN - 3).alias("token_ids")))
     nxt = ids.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("token_ids").alias("next_ids"))
     pairs = ids.join(nxt, IDS)  # unique (file, line) keys: no skew
     tid, seg = wp.encode_ids(F.col("token_ids"), sp["[CLS]"], sp["[SEP]"], PAIR_LEN, F.col("next_ids"))
@@ -168,7 +171,7 @@ def _sig_sql() -> list:
 @register("signature_word_piece", W("SELECT doc_id, line_no, word_pos, piece_pos, token FROM sig",
                                     *_VOCAB_CTES, *_sig_sql(), recursive=True))
 def q_signature_wp(spark, sf):
-    cut = wp.signature_pieces(fx.v_lines(spark, sf), IDS, "line_contents", _vocab(spark, sf))
+    cut = wp.signature_pieces(fx.v_lines_in_place(spark, sf), IDS, "line_contents", _vocab(spark, sf))
     each = posexplode_rows(cut, IDS, F.col("_pieces"), "word_pos", "_p")
     return posexplode_rows(each, [*IDS, "word_pos"], F.col("_p"), "piece_pos", "token") \
         .select(*IDS, F.col("word_pos").cast("int").alias("word_pos"), F.col("piece_pos").cast("int").alias("piece_pos"),
