@@ -8,6 +8,9 @@
   an ordered fold keeps a pair only if its left text was not yet a left and its
   right text not yet a right; rejected pairs leave no trace;
 * shards (11): pair_seq = dense position of accepted pairs; shard = pair_seq div n.
+
+Pairs are found, accepted and numbered by digests of their lines (128 bits of SHA-256); texts travel once to the task of
+their bucket or shard (``deal_lines``), where a line serves the pair that it begins and the one that it ends.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import TOKEN_CLS, TOKEN_MASK, TOKEN_SEP
-from .ordering import dense_index, running_sum_max
+from ..session import cut_lineage, shuffles_go
+from .ordering import cpu_partitions, dense_index, running_sum_max
 from .wordpiece import cut_pair
 
 
@@ -48,8 +52,8 @@ def unique_pairs(pairs: DataFrame) -> DataFrame:
     bucket's pairs are brought together once and come out of there; the pairs are not made and joined a second time."""
     more = [c for c in pairs.columns if c not in ("bucket", "gidx", "left", "right")]
     grouped = pairs.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("gidx", "left", "right", *more))).alias("_p"))
-    init = F.struct(F.array().cast("array<string>").alias("ls"), F.array().cast("array<string>").alias("rs"),
-                    F.array().cast("array<long>").alias("acc"))
+    texts = [F.array().cast(f"array<{pairs.schema[c].dataType.simpleString()}>").alias(n) for c, n in (("left", "ls"), ("right", "rs"))]
+    init = F.struct(*texts, F.array().cast("array<long>").alias("acc"))
 
     def step(st, x):
         ok = ~F.array_contains(st["ls"], x["left"]) & ~F.array_contains(st["rs"], x["right"])
@@ -62,12 +66,53 @@ def unique_pairs(pairs: DataFrame) -> DataFrame:
     return each.select(*[F.col("bucket") if c == "bucket" else F.col("_x").getField(c).alias(c) for c in pairs.columns])
 
 
+def digest(text: Column) -> Column:
+    """128 bits of a text's SHA-256; null for null."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def generate_pairs(lines: DataFrame, period: int = 64, file_col: str = "doc_id", no_col: str = "line_no",
-                   line_col: str = "line_contents") -> DataFrame:
-    """Rows 59-61: accepted ``file, line_no, gidx, bucket, left, right``."""
-    cons = consecutive_lines(lines, file_col, no_col, line_col)
-    b = line_buckets(lines, period, file_col, no_col)
-    return unique_pairs(cons.join(b, [file_col, no_col]))
+                   line_col: str = "line_contents", texts: bool = True) -> DataFrame:
+    """Rows 59-61: accepted ``file, line_no, left, right, gidx, bucket``; without ``texts``, ``left`` and ``right`` are
+    digests of the lines."""
+    told = cut_lineage(lines.select(file_col, no_col, digest(F.col(line_col)).alias(line_col)))
+    cons = consecutive_lines(told, file_col, no_col, line_col)
+    b = line_buckets(told, period, file_col, no_col)
+    pairs = unique_pairs(cons.join(b, [file_col, no_col]))
+    return with_texts(pairs, lines, "bucket", file_col, no_col, line_col) if texts else pairs
+
+
+def deal_lines(pairs: DataFrame, lines: DataFrame, by: str, file_col: str = "doc_id", no_col: str = "line_no",
+               line_col: str = "line_contents", dealt: bool = True) -> DataFrame:
+    """Every line that a pair of ``pairs`` (``file, line_no`` of its left line, and more) has, once for each value of
+    ``by``, in that value's task (if ``dealt``): ``by, line`` and ``_of``, the pairs' rows with ``_right`` (whether it ends
+    the pair; then only the row's number and its digest are told)."""
+    def role(right: bool) -> DataFrame:
+        at = (F.col(no_col) + int(right)).cast(pairs.schema[no_col].dataType).alias(no_col)
+        told = [c if c in ("pair_seq", "_row", "right" if right else "left") or not right and c != "right" else
+                F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in pairs.columns if c != by]
+        told = [F.substring(c, 1, 8).alias(c) if isinstance(c, str) and c in ("left", "right") else c for c in told]  # only lines of one place are told apart
+        return pairs.select(file_col, at, by, F.struct(*told, F.lit(right).alias("_right")).alias("_x"))
+
+    of = role(False).unionByName(role(True)).repartition(file_col, no_col).groupBy(file_col, no_col, by).agg(F.collect_list("_x").alias("_of"))
+    got = lines.select(file_col, no_col, line_col).join(of, [file_col, no_col]).select(by, line_col, "_of")
+    return got.repartition(cpu_partitions(lines), by) if dealt else got
+
+
+def with_texts(pairs: DataFrame, lines: DataFrame, by: str = "shard", file_col: str = "doc_id", no_col: str = "line_no",
+               line_col: str = "line_contents") -> DataFrame:
+    """``pairs`` with the lines themselves for their digests ``left`` and ``right``, dealt by ``by``."""
+    # each row of pairs has a number; of lines that have one place the pair's own one is told by its digest
+    row = "pair_seq" if "pair_seq" in pairs.columns else "_row"
+    # both roles are made of one set of rows; numbered ones are read from a stored table as they are
+    told = pairs if row == "pair_seq" else cut_lineage(pairs.withColumn("_row", F.monotonically_increasing_id()))
+    got = cut_lineage(deal_lines(told, lines, by, file_col, no_col, line_col, dealt=False))
+    each = got.repartition(cpu_partitions(lines), by).select(by, line_col, digest(F.col(line_col)).alias("_digest"), F.explode("_of").alias("_x"))
+    text = lambda c, right: F.first(F.when((F.col("_x._right") == right) & (F.substring("_digest", 1, 8) == F.col(f"_x.{c}")), F.col(line_col)), True).alias(f"_{c}")
+    more = [c for c in pairs.columns if c not in (by, row, "left", "right")]
+    kept = [F.first(F.when(~F.col("_x._right"), F.col("_x").getField(c)), True).alias(f"_{c}") for c in more]
+    own = each.groupBy(by, F.col("_x").getField(row).alias(f"_{row}")).agg(text("left", False), text("right", True), *kept)
+    return own.select(*[F.col(by if c == by else f"_{c}").alias(c) for c in pairs.columns])
 
 
 def shard_pairs(pairs: DataFrame, per_shard: int = 10000) -> DataFrame:
@@ -76,10 +121,13 @@ def shard_pairs(pairs: DataFrame, per_shard: int = 10000) -> DataFrame:
     return seq.withColumn("shard", F.floor(F.col("pair_seq") / per_shard).cast("long"))
 
 
-def write_shards(pairs: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_shards(pairs: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", dealt: bool = False) -> None:
     """Row 11 sink: one folder per shard (``shard=i``); rows of shard i are pairs
-    [i*n, (i+1)*n)."""
-    pairs.repartition("shard").write.mode(mode).partitionBy("shard").format(fmt).save(path)
+    [i*n, (i+1)*n).  Pairs that lie by shard already (``dealt``) do not travel once more."""
+    rows = pairs if dealt else pairs.repartition("shard")
+    w = rows.write.mode(mode).partitionBy("shard").format(fmt)
+    with shuffles_go(pairs.sparkSession):
+        (w.option("compression", "zstd") if fmt == "parquet" else w).save(path)
 
 
 def _h(*parts: Column) -> Column:
@@ -111,6 +159,8 @@ def masked_examples(pairs: DataFrame, vocab_size: int, special: dict[str, int],
       (80 %), an id picked by hash (10 %) or stays (10 %)."""
     scale = float(2 ** 32)
     swap = _h(F.lit(seed), F.lit("s"), F.col("pair_seq")) / scale < swap_rate
+    # a side's ids beyond seq_len - 3 are never in an example: the longer side is cut first
+    pairs = pairs.select("pair_seq", "shard", *[F.slice(c, 1, seq_len - 3).alias(c) for c in ("left_ids", "right_ids")])
     # next pair in the same shard, cyclic: a keyed self join (no window over a shard)
     sizes = pairs.groupBy("shard").agg(F.min("pair_seq").alias("_lo"), F.count(F.lit(1)).alias("_n"))
     p = pairs.join(sizes, "shard")

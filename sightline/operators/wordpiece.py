@@ -112,32 +112,80 @@ def _vocabulary(key: str, told) -> TrieVocabulary | PackedVocabulary:
     return _vocabularies[key]
 
 
-def _cutter(told, words: str, whole: frozenset, instead: Callable | None, flat: bool):
-    """Adds each row's pieces, word by word or (``flat``) one after the other; a word of ``whole`` is one piece.  With
+def _cut(known, col, whole: frozenset, instead: Callable | None, flat: bool):
+    """Each row's pieces, word by word or (``flat``) one after the other; a word of ``whole`` is one piece.  With
     ``instead``, a word that is no entry is cut as what that gives for it."""
+    every = col.flatten().dictionary_encode()
+    texts, index = every.dictionary, every.indices
+    asked = texts
+    if instead:
+        asked = pa.array([t if i >= 0 else instead(t) for t, i in zip(texts.to_pylist(), known.find(texts).tolist())], pa.string())
+    cut = known.pieces(asked)
+    if whole:
+        cut = [[w] if w in whole else p for w, p in zip(texts.to_pylist(), cut)]
+    of_word = pa.array(cut, pa.list_(pa.string())).take(index)
+    sizes = np.concatenate([[0], np.cumsum(np.diff(np.asarray(col.offsets)))])
+    if flat:
+        n = of_word.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        sizes, of_word = np.concatenate([[0], np.cumsum(n)])[sizes], of_word.flatten()
+    return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), of_word)
+
+
+def _cutter(told, words: str, whole: frozenset, instead: Callable | None, flat: bool):
+    """Adds each row's pieces in place."""
     def run(batches):
         known = _vocabulary(*told)
         for b in batches:
-            col = b.column(b.schema.get_field_index(words))
-            every = col.flatten().dictionary_encode()
-            texts, index = every.dictionary, every.indices
-            asked = texts
-            if instead:
-                asked = pa.array([t if i >= 0 else instead(t) for t, i in zip(texts.to_pylist(), known.find(texts).tolist())], pa.string())
-            cut = known.pieces(asked)
-            if whole:
-                cut = [[w] if w in whole else p for w, p in zip(texts.to_pylist(), cut)]
-            of_word = pa.array(cut, pa.list_(pa.string())).take(index)
-            sizes = np.concatenate([[0], np.cumsum(np.diff(np.asarray(col.offsets)))])
-            if flat:
-                n = of_word.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                sizes, of_word = np.concatenate([[0], np.cumsum(n)])[sizes], of_word.flatten()
-            pieces = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), of_word)
+            pieces = _cut(known, b.column(b.schema.get_field_index(words)), whole, instead, flat)
             keep = [i for i, n in enumerate(b.schema.names) if n != words]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pieces], [*(b.schema.names[i] for i in keep), "_pieces"])
     return run
 
 
+def _pairer(told, whole: frozenset, instead: Callable | None, cols: list[str], by: str):
+    """The lines of one value of ``by``, each cut once -> its pairs with the pieces of both lines."""
+    def run(t: pa.Table) -> pa.Table:
+        known = _vocabulary(*told)
+        words, of = (t.column(c).combine_chunks() for c in ("_words", "_of"))
+        words, of = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (words, of))
+        tokens = _cut(known, words, whole, instead, True)
+        row, x = of.value_parent_indices().to_numpy(), of.flatten()
+        right = x.field("_right").to_numpy(zero_copy_only=False)
+        seq = x.field("pair_seq").to_numpy(zero_copy_only=False)
+        left, rest = np.flatnonzero(~right), np.flatnonzero(right)
+        rest = rest[np.argsort(seq[rest], kind="stable")]
+        lo, hi = (np.searchsorted(seq[rest], seq[left], side) for side in ("left", "right"))
+        n = hi - lo  # every left line of a pair meets every right one
+        ends = np.cumsum(n)
+        a, b = np.repeat(left, n), rest[np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        at = pa.array(a)
+        own = [pa.repeat(t.column(by)[0], len(a)) if c == by else x.field(c).take(at) for c in cols]
+        return pa.table([*own, tokens.take(pa.array(row[a])), tokens.take(pa.array(row[b]))], names=[*cols, "left_tokens", "right_tokens"])
+    return run
+
+
+def paired_pieces(dealt: DataFrame, pair_schema: T.StructType, by: str, line_col: str, vocab: DataFrame, preserve_whitespace: bool = True,
+                  tokenizer=None, signatures: bool = False) -> DataFrame | None:
+    """Pairs of the lines that ``pairs.deal_lines`` has dealt, with ``left_tokens`` and ``right_tokens`` (as
+    ``tokenize_lines`` or ``signature_word_pieces`` give them): a line is cut once, in the task of its pairs.  None for a
+    vocabulary that is too large for every task."""
+    told = told_vocabulary(vocab)
+    if told is None:
+        return None
+    words, whole, instead = line_words(F.col(line_col), preserve_whitespace, tokenizer, signatures)
+    strings = T.ArrayType(T.StringType())
+    out = T.StructType([*pair_schema.fields, T.StructField("left_tokens", strings), T.StructField("right_tokens", strings)])
+    rows = dealt.select(by, words.alias("_words"), "_of")
+    return rows.groupBy(by).applyInArrow(_pairer(told, whole, instead, pair_schema.names, by), out)
+
+
+def line_words(line: Column, preserve_whitespace: bool = True, tokenizer=None, signatures: bool = False):
+    """What is cut of a line: its words, those that are a piece as they are, and what unknown words are cut as."""
+    plain = signature_words(line, preserve_whitespace=preserve_whitespace) if signatures else code_words(line, preserve_whitespace)
+    words = F.coalesce(tokenizer(line) if tokenizer is not None else plain, F.array().cast("array<string>"))
+    return words, frozenset() if signatures else frozenset(["", TOKEN_NUMBER]), signature_of if signatures else None
+
+
 def with_pieces(df: DataFrame, words: Column, vocab: DataFrame, whole=(TOKEN_NUMBER,), instead: tuple[Column, Callable] | None = None,
                 empty: bool = False, flat: bool = False, keep: list[str] | None = None) -> DataFrame:
     """``df`` (its columns ``keep``) with ``_pieces``: per word of the array ``words`` the array of its pieces, or (``flat``) all pieces of the

@@ -64,8 +64,12 @@ def line_pairs(lines: DataFrame, vocab: DataFrame, vocab_size: int | None = None
     signature; ``omit_whitespace`` leaves blank tokens out; ``tokenizer`` (Column -> Column) gives the words instead."""
     ids = [file_col, no_col]
     vocab = load_vocab(vocab, vocab_size)
+    pairs = pr.shard_pairs(pr.generate_pairs(lines, period, file_col, no_col, line_col, texts=False).drop("left", "right"), per_shard)
+    dealt = pr.deal_lines(pairs, lines, "shard", file_col, no_col, line_col)
+    got = wp.paired_pieces(dealt, pairs.schema, "shard", line_col, vocab, not omit_whitespace, tokenizer, signatures)
+    if got is not None:
+        return got
     cut = wp.signature_word_pieces if signatures else wp.tokenize_lines
     toks = cut_lineage(cut(lines, ids, line_col, vocab, preserve_whitespace=not omit_whitespace, tokenizer=tokenizer))
     nxt = toks.select(file_col, (F.col(no_col) - 1).alias(no_col), F.col("tokens").alias("right_tokens"))
-    pairs = pr.shard_pairs(pr.generate_pairs(lines, period, file_col, no_col, line_col).drop("left", "right"), per_shard)
     return pairs.join(toks.withColumnRenamed("tokens", "left_tokens"), ids).join(nxt, ids)  # unique (file, line) keys

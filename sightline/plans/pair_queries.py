@@ -45,7 +45,7 @@ _PAIR_CTES = [
 
 
 def _accepted(spark, sf):
-    return pr.shard_pairs(pr.generate_pairs(fx.v_lines(spark, sf), PERIOD), PER_SHARD)
+    return pr.shard_pairs(pr.generate_pairs(fx.v_lines_in_place(spark, sf), PERIOD, texts=False), PER_SHARD)
 
 
 @register("consecutive_lines", W("SELECT doc_id, line_no, lft AS left, rgt AS right FROM cons", *_PAIR_CTES))
@@ -60,21 +60,21 @@ def q_buckets(spark, sf):
 
 @register("unique_pairs", W("SELECT doc_id, line_no, gidx, bucket FROM accepted", *_PAIR_CTES, recursive=True))
 def q_unique_pairs(spark, sf):
-    return pr.generate_pairs(fx.v_lines(spark, sf), PERIOD).select("doc_id", "line_no", "gidx", "bucket")
+    return pr.generate_pairs(fx.v_lines_in_place(spark, sf), PERIOD, texts=False).select("doc_id", "line_no", "gidx", "bucket")
 
 
 @register("write_shards", W(f"SELECT doc_id, line_no, pair_seq, CAST(pair_seq // {PER_SHARD} AS BIGINT) AS shard "
                             "FROM accepted", *_PAIR_CTES, recursive=True))
 def q_shards(spark, sf):
     path = scratch(spark, "shards")
-    pr.write_shards(_accepted(spark, sf), path)
+    pr.write_shards(pr.with_texts(_accepted(spark, sf), fx.v_lines_in_place(spark, sf)), path, dealt=True)
     return spark.read.parquet(path).select("doc_id", "line_no", "pair_seq", F.col("shard").cast("long").alias("shard"))
 
 
 @register("steps_per_epoch", W(f"SELECT CAST(floor(count(*) / {BATCH}) AS BIGINT) AS steps_per_epoch FROM accepted",
                                *_PAIR_CTES, recursive=True))
 def q_steps(spark, sf):
-    return mt.steps_per_epoch(pr.generate_pairs(fx.v_lines(spark, sf), PERIOD), BATCH)
+    return mt.steps_per_epoch(pr.generate_pairs(fx.v_lines_in_place(spark, sf), PERIOD, texts=False), BATCH)
 
 
 @register("epoch_order", W(
@@ -96,7 +96,7 @@ def _shown(pairs):
     "l.line_no = a.line_no JOIN wp_lines r ON r.doc_id = a.doc_id AND r.line_no = a.line_no + 1",
     *_PAIR_CTES, *_WP_CTES, recursive=True))
 def q_line_pairs(spark, sf):
-    return _shown(jobs.line_pairs(fx.v_lines(spark, sf), _vocab(spark, sf), period=PERIOD, per_shard=PER_SHARD))
+    return _shown(jobs.line_pairs(fx.v_lines_in_place(spark, sf), _vocab(spark, sf), period=PERIOD, per_shard=PER_SHARD))
 
 
 _LIMITED = [(n, q) if n != "vocab" else ("vocab", f"SELECT * FROM ({q}) WHERE token_id < {LIMIT}") for n, q in _VOCAB_CTES]
@@ -119,7 +119,7 @@ _SIG_CTES = [
     *_PAIR_CTES, *_LIMITED, *_SIG_CTES, recursive=True))
 def q_line_pairs_signatures(spark, sf):
     """Row 89 with signatures, without white space, and the first entries of the vocabulary only."""
-    return _shown(jobs.line_pairs(fx.v_lines(spark, sf), _vocab(spark, sf), LIMIT, signatures=True, omit_whitespace=True, period=PERIOD,
+    return _shown(jobs.line_pairs(fx.v_lines_in_place(spark, sf), _vocab(spark, sf), LIMIT, signatures=True, omit_whitespace=True, period=PERIOD,
                                   per_shard=PER_SHARD))
 
 
@@ -160,8 +160,10 @@ def _padded(col: str) -> str:
     f"{_padded('c')} AS masked FROM mx", *_PAIR_CTES, *_WP_CTES, *_masked_sql(), recursive=True))
 def q_masked(spark, sf):
     vocab = _vocab(spark, sf)
-    pairs = jobs.line_pairs(fx.v_lines(spark, sf), vocab, period=PERIOD, per_shard=PER_SHARD)
+    pairs = jobs.line_pairs(fx.v_lines_in_place(spark, sf), vocab, period=PERIOD, per_shard=PER_SHARD)
     keys = ["pair_seq", "shard"]
+    # an example has MASK_LEN - 3 ids of its lines, the longer one cut first: later ones are never in it
+    pairs = pairs.select(*keys, *[F.slice(c, 1, MASK_LEN - 3).alias(c) for c in ("left_tokens", "right_tokens")])
     left = wp.vocab_lookup(pairs, [*keys, "right_tokens"], "left_tokens", vocab, "left_ids")
     both = cut_lineage(wp.vocab_lookup(left, [*keys, "left_ids"], "right_tokens", vocab, "right_ids"))
     m = pr.masked_examples(both, vocab.count(), wp.special_ids(vocab), MASK_LEN)
