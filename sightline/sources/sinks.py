@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import cpu_partitions
+from ..session import shuffles_go
 
 #: How Spark names the folder of a null or empty value, and what it escapes in a folder's name.
 _NO_VALUE, _ESCAPED = "__HIVE_DEFAULT_PARTITION__", re.compile(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
@@ -84,4 +85,5 @@ def write_tree(df: DataFrame, path: str, folder_col: str, text_col: str) -> int
         return None
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    return rows.mapInArrow(_tree_writer(uri, folder_col), "n long").agg(F.sum("n")).first()[0]
+    with shuffles_go(df.sparkSession):
+        return rows.mapInArrow(_tree_writer(uri, folder_col), "n long").agg(F.sum("n")).first()[0]
