@@ -78,7 +78,7 @@ def generate_pairs(lines: DataFrame, period: int = 64, file_col: str = "doc_id",
     told = cut_lineage(lines.select(file_col, no_col, digest(F.col(line_col)).alias(line_col)))
     cons = consecutive_lines(told, file_col, no_col, line_col)
     b = line_buckets(told, period, file_col, no_col)
-    pairs = unique_pairs(cons.join(b, [file_col, no_col]))
+    pairs = cut_lineage(unique_pairs(cons.join(b, [file_col, no_col])))  # numbering reads them twice
     return with_texts(pairs, lines, "bucket", file_col, no_col, line_col) if texts else pairs
 
 

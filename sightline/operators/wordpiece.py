@@ -44,9 +44,13 @@ def code_words(line: Column, preserve_whitespace: bool = True, use_digit_token:
     w = split_code(F.coalesce(line, F.lit("")))
     if not preserve_whitespace:
         w = drop_blank_tokens(w)
-    if use_digit_token:
-        w = F.transform(w, lambda t: F.when(is_number(t), F.lit(TOKEN_NUMBER)).otherwise(t))
-    return w
+    return _numbers_as(line, w, TOKEN_NUMBER) if use_digit_token else w
+
+
+def _numbers_as(line: Column, words: Column, token: str) -> Column:
+    """``words`` with ``token`` for all-digit ones, which are only looked for in lines with a digit."""
+    told = F.transform(words, lambda t: F.when(is_number(t), F.lit(token)).otherwise(t))
+    return F.when(line.rlike(r"\p{Nd}"), told).otherwise(words)
 
 
 def signature_words(line: Column, vocab_words: Column | None = None, preserve_whitespace: bool = True) -> Column:
@@ -55,7 +59,7 @@ def signature_words(line: Column, vocab_words: Column | None = None, preserve_wh
     w = split_code(F.coalesce(line, F.lit("")))
     if not preserve_whitespace:
         w = drop_blank_tokens(w)
-    return F.transform(w, lambda t: F.when(is_number(t), F.lit("0")).otherwise(t))
+    return _numbers_as(line, w, "0")
 
 
 class TrieVocabulary:
@@ -104,6 +108,7 @@ def told_vocabulary(vocab: DataFrame):
 def _vocabulary(key: str, told) -> TrieVocabulary | PackedVocabulary:
     """This worker's own form of a vocabulary."""
     if key not in _vocabularies:
+        pa.default_memory_pool().release_unused()  # of earlier stages in this worker
         if len(_vocabularies) >= 2:
             _vocabularies.clear()
         kind, tokens, ids = told.value

@@ -78,3 +78,11 @@ def test_lines_in_place_are_the_lines(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fx.v_lines(spark, f"{tmp_path}/{name}").collect()))
         assert ("Exchange" in got._jdf.queryExecution().toString()) == (name == "few")
     spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_numbers_are_found_in_lines_that_have_digits(spark):
+    rows = [(0, "a b"), (1, "12 x1"), (2, "x ١٢"), (3, None), (4, ""), (5, "1a")]
+    df = spark.createDataFrame(rows, "i long, line string")
+    got = df.select("i", wp.code_words(F.col("line"), False).alias("w"), wp.signature_words(F.col("line"), preserve_whitespace=False).alias("s")).orderBy("i").collect()
+    assert [r["w"] for r in got] == [["a", "b"], ["[NUMBER]", "x1"], ["x", "[NUMBER]"], [], [], ["1a"]]
+    assert [r["s"] for r in got] == [["a", "b"], ["0", "x1"], ["x", "0"], [], [], ["1a"]]
